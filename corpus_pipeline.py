@@ -1,0 +1,13 @@
+"""The corpus pipeline: five of the operators, each over what the one before it kept."""
+
+from __future__ import annotations
+
+STAGES: list = []
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}

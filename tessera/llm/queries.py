@@ -1,0 +1,57 @@
+"""The thin queries opN_<name>: each applies its operator with production parameters and derives the digest columns."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import common
+from .fast_ids import byte_level_ids, word_ids
+from .packing import pack
+from .prefix_bpe import encode_documents
+from .token_counts import token_counts
+from .token_store import read_documents, write_tokens
+
+END_ID = 1
+SEQUENCE = 2048
+
+
+def byte_encoder():
+    """Encoder of byte_bpe_50k.json; the paths are fixed on the driver and must exist on every executor."""
+    vocab, ranks, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return lambda text: byte_level_ids(text, vocab, ranks, pattern)
+
+
+def word_encoder():
+    vocab = public_tokenizers.path("word_bpe_49k.json")
+    return lambda text: word_ids(text, vocab)
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(common.documents(spark, sf_dir), byte_encoder(), END_ID, SEQUENCE)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch_path(spark, "tokens")
+    write_tokens(common.documents(spark, sf_dir), path, word_encoder(), END_ID)
+    out = read_documents(spark, path)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op8_token_counts, op9_token_store)}
+
+
+def oracle_sql() -> dict:
+    return {}
