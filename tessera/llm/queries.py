@@ -10,7 +10,9 @@ from . import common
 from .exact_search import exact_top_k
 from .fast_ids import byte_level_ids, word_ids
 from .packing import pack
+from .pii import KINDS, personal_data, spans_string
 from .prefix_bpe import encode_documents
+from .quality import quality
 from .simhash import near_duplicates
 from .token_counts import token_counts
 from .token_store import read_documents, write_tokens
@@ -30,6 +32,10 @@ def word_encoder():
     return lambda text: word_ids(text, vocab)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(common.documents(spark, sf_dir))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -40,6 +46,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data(common.documents(spark, sf_dir))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(spans_string(F.col("base")), 256).alias("base_sha256"), spans_string(F.concat("base", "terms")).alias("spans"))
+
+
 def op6_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -80,7 +92,7 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_packing, op6_exact_search, op7_simhash, op8_token_counts, op9_token_store)}
+    return {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_packing, op4_pii, op6_exact_search, op7_simhash, op8_token_counts, op9_token_store)}
 
 
 def oracle_sql() -> dict:
