@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, hmm, toxicity
 from .exact_search import exact_top_k
 from .fast_ids import byte_level_ids, word_ids
 from .packing import pack
@@ -52,6 +52,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(spans_string(F.col("base")), 256).alias("base_sha256"), spans_string(F.concat("base", "terms")).alias("spans"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return toxicity.toxicity(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op6_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -91,8 +96,12 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(common.documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_packing, op4_pii, op6_exact_search, op7_simhash, op8_token_counts, op9_token_store)}
+    return {f.__name__: f for f in (op1_quality, op2_byte_bpe, op3_packing, op4_pii, op5_toxicity, op6_exact_search, op7_simhash, op8_token_counts, op9_token_store, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict:
