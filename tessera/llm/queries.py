@@ -41,9 +41,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def piece_columns(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack(common.documents(spark, sf_dir), byte_encoder(), END_ID, SEQUENCE)
-    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return piece_columns(pack(common.documents(spark, sf_dir), byte_encoder(), END_ID, SEQUENCE))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import connected_components
@@ -178,6 +180,12 @@ def fingerprint_links(prints: DataFrame, threshold: int = 4) -> DataFrame:
     return spread.repartition(n, "key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
+def component_roots(first: DataFrame, threshold: int) -> DataFrame:
+    """fp, root for every distinct fingerprint that links to another one; root stands for its component."""
+    roots = connected_components(fingerprint_links(first, threshold), "a", "b")
+    return roots.select(F.col("node").alias("fp"), "root")
+
+
 def near_duplicates(df: DataFrame, threshold: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links) for every row.
 
@@ -187,8 +195,7 @@ def near_duplicates(df: DataFrame, threshold: int = 4, shingle: int = 4, id_col:
     """
     own = common.materialize(fingerprints(df, shingle, id_col, text_col), "prints")
     first = common.materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
-    roots = connected_components(fingerprint_links(first, threshold), "a", "b")
-    linked = roots.join(first, F.col("node") == F.col("fp")).select("fp", "root", "first_id")
+    linked = component_roots(first, threshold).join(first, "fp").select("fp", "root", "first_id")
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = linked.join(smallest, "root").select("fp", "component_id")
     classes = common.materialize(first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "classes")
@@ -196,23 +203,24 @@ def near_duplicates(df: DataFrame, threshold: int = 4, shingle: int = 4, id_col:
 
 
 def keep_one_of_each(df: DataFrame, threshold: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows without those whose component holds a smaller id. Rows that repeat the smallest id with another text,
-    or with the same one, leave one row; a row with a null id stays only if no other member has an id."""
-    classes = near_duplicates(df, threshold, shingle, id_col, text_col)
-    mine = common.column(id_col).cast("long")
-    keep = classes.filter(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("__keep")).distinct()
-    kept = df.join(keep, mine == F.col("__keep"), "left_semi")
-    once = kept.withColumn("__n", F.row_number().over(_first_of(id_col, text_col))).filter("__n = 1").drop("__n")
-    nameless = classes.filter(F.col("component_id").isNull()).select(F.col("fingerprint").alias("__f")).distinct()
-    if nameless.isEmpty():
-        return once
-    bare = df.filter(mine.isNull()).dropDuplicates([text_col])
-    prints = fingerprints(bare.withColumn("__r", F.monotonically_increasing_id()), shingle, "__r", text_col)
-    alone = prints.select(F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("__f")).distinct().join(nameless, "__f", "left_semi")
-    return once if alone.isEmpty() else once.unionByName(bare)
-
-
-def _first_of(id_col: str, text_col: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(common.column(id_col)).orderBy(common.column(text_col).asc_nulls_last())
+    """One row of each component of df: the one with the smallest id (null ids last), of repeated rows any one. Same
+    columns. A component's first row comes from an aggregate that combines before the shuffle, however large it is."""
+    at = df.columns.index(text_col)
+    schema = T.StructType([*df.schema.fields, T.StructField("__s_fp", T.LongType()), T.StructField("__s_row", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            prints = np.array([fingerprint(x, shingle) for x in batch.column(at).to_pylist()], np.uint64)
+            rows = pa.array(np.arange(row, row + batch.num_rows, dtype=np.int64))
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64)), rows], schema.names)
+
+    common.small_batches(df.sparkSession)
+    marked = common.materialize(df.mapInArrow(run, schema), "dedup-stage")
+    mine = marked.select(common.column(id_col).alias("id"), F.col("__s_fp").alias("fp"), F.col("__s_row").alias("row"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    first = common.materialize(mine.groupBy("fp").agg(best), "distinct-prints")
+    roots = component_roots(first, threshold)
+    winners = first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("__s_row"))
+    return marked.join(winners, "__s_row", "left_semi").select(*[common.column(c) for c in df.columns])

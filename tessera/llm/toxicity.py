@@ -37,7 +37,7 @@ def features(text: str | None) -> set[str]:
     return out
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 20) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 20) -> np.ndarray:
     """Logistic regression with an L2 penalty by Newton's method; the last weight is the intercept (hardly penalised)."""
     z = np.hstack((x, np.ones((len(x), 1))))
     w = np.zeros(z.shape[1])
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, n_features:
     seen = sample.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n_f"), F.sum("toxic").alias("t_f"))
     expected = F.col("n_f") * (t / n)
     gain = (F.col("t_f") - expected) / F.sqrt(expected + 1)
-    best = seen.filter((F.col("t_f") >= 3) & (F.col("t_f") > 1.5 * expected)).orderBy(F.desc(gain), "f").limit(n_features).select("f")
+    best = seen.filter((F.col("t_f") >= 3) & (gain >= 2.0)).orderBy(F.desc(gain), "f").limit(n_features).select("f")
     vocabulary = {r["f"]: i for i, r in enumerate(sorted(best.collect()))}
     insults = F.array(*[F.lit("=" + w) for w in INSULTS])
     kept = sample.select("doc_id", "toxic", "quality", F.arrays_overlap("features", insults).alias("insult"), F.filter("features", lambda f: f.isin(list(vocabulary)) if vocabulary else F.lit(False)).alias("f")).collect()
