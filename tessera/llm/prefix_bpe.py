@@ -23,6 +23,7 @@ class PrefixBpe:
     """Encoder and decoder over a table of ranks. Text is cut by `pattern`; each piece is encoded separately."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache_size: int = 200_000):
+        import ahocorasick
         import regex
 
         self.ranks, self.cache_size = ranks, cache_size
@@ -33,8 +34,14 @@ class PrefixBpe:
         self.halves: dict[int, tuple[int, int]] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             self.halves[rank] = self._split(token, rank)
+        self.endings = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            if self.halves[rank][0] >= 0:
+                self.endings.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.endings.make_automaton()
         self._follows: dict[tuple[int, int], bool] = {}
         self._joined: dict[str, str] = {}
+        self._joined_before: dict[str, str] = {}
 
     def _split(self, token: bytes, rank: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; a single byte is its own half."""
@@ -48,18 +55,8 @@ class PrefixBpe:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return self.ranks[parts[0]], self.ranks[parts[1]]
 
-    def follows(self, left: int, right: int) -> bool:
-        """Whether the encoding of both tokens' bytes is these two tokens."""
-        known = self._follows.get((left, right))
-        if known is None:
-            known = self._check(left, right)
-            if len(self._follows) >= 4 * self.cache_size:
-                self._follows.clear()
-            self._follows[left, right] = known
-        return known
-
     def _check(self, left: int, right: int) -> bool:
-        """Runs time backwards. `bound`: the rank of the merge that was undone last; a merge across the seam that ranks
+        """Whether the encoding of both tokens' bytes is these two tokens. Runs time backwards. `bound`: the rank of the merge that was undone last; a merge across the seam that ranks
         before it (ties to the left) would have happened first and so rules the pair out."""
         ranks, tokens, halves = self.ranks, self.tokens, self.halves
         if halves[left][0] < 0 or halves[right][0] < 0:
@@ -78,17 +75,29 @@ class PrefixBpe:
                 return True
 
     def extend(self, data: bytes, last: list[int], done: int = 0) -> list[int]:
-        """last[i]: the last token of data[:i + 1]. Fills the table from `done` on; earlier entries stay valid."""
-        ranks, longest, follows = self.ranks, self.longest, self.follows
+        """last[i]: the last token of data[:i + 1]. Fills the table from `done` on; earlier entries stay valid.
+
+        An automaton over all tokens names the tokens that end at each byte, so nothing else is looked up.
+        """
         del last[done:]
-        for end in range(done + 1, len(data) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = ranks.get(data[begin:end])
-                if token is not None and (begin == 0 and self.halves[token][0] >= 0 or begin and follows(last[begin - 1], token)):
-                    last.append(token)
-                    break
+        known, check = self._follows, self._check
+        for end, (token, size) in self.endings.iter(data.decode("latin-1"), max(0, done + 1 - self.longest)):
+            if end != done:  # this prefix has its token already
+                continue
+            if size > end:
+                fits = True
             else:
-                raise ValueError("the rank table lacks a byte")
+                pair = (last[end - size], token)
+                fits = known.get(pair)
+                if fits is None:
+                    fits = known[pair] = check(*pair)
+            if fits:
+                last.append(token)
+                done += 1
+        if done < len(data):
+            raise ValueError("the rank table lacks a byte")
+        if len(known) > 4 * self.cache_size:
+            known.clear()
         return last
 
     def walk(self, last: list[int], size: int) -> list[int]:
@@ -109,15 +118,16 @@ class PrefixBpe:
         return [int(x) for x in joined.split(",")] if joined else []
 
     def joined_ids(self, text: str) -> str:
-        """Decimal ids joined by commas. Pieces seen before come from a bounded cache."""
-        cache, out = self._joined, []
+        """Decimal ids joined by commas. Pieces seen lately come from a cache of two bounded generations."""
+        cache, before, out = self._joined, self._joined_before, []
         for piece in self.pieces(text):
             ids = cache.get(piece)
             if ids is None:
-                ids = ",".join(map(str, self.encode_piece(piece)))
+                ids = before.get(piece) or ",".join(map(str, self.encode_piece(piece)))
                 if len(piece) <= 40:
                     if len(cache) >= self.cache_size:
-                        cache.clear()
+                        self._joined_before = before = cache
+                        self._joined = cache = {}
                     cache[piece] = ids
             out.append(ids)
         return ",".join(out)
