@@ -74,12 +74,12 @@ def hits(text: Column, phrases: list[str]) -> Column:
 
 def calendar_date(year: Column, month: Column, day: Column) -> Column:
     """ISO date of three numbers as text, null where the calendar has no such day."""
-    return F.try_to_date(F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
 
 
 def strict_date(value: Column) -> Column:
     """A date only from YYYY-MM-DD that exists."""
-    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(value, F.lit("yyyy-MM-dd")))
+    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(value, "yyyy-MM-dd"))
 
 
 def compact_upper(value: Column) -> Column:
