@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """One row per supported file under root: ids, size, digest, group, type, binding flag. Sidecar files don't count."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    relative = F.substring_index(F.col("path"), base, -1)
+    bare = "/" + re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).strip("/") + "/"
+    relative = F.substring_index(F.col("path"), bare, -1)
     rows = files.select("path", relative.alias("relative_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
     name = F.element_at(F.split("relative_path", "/"), -1)
     extension = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
