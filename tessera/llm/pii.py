@@ -108,7 +108,8 @@ def _document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     known = F.expr(f"filter(terms, w -> (shiftright(get(__bits, cast(pmod(xxhash64(w), {_BITMAP_BITS}L) div 64 as int)), cast(pmod(xxhash64(w), {_BITMAP_BITS}L) % 64 as int)) & 1L) = 1L)")
     terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(_TERM), F.lit(0)))
     rows = texts.select(bitmap.alias("__bits"), terms.alias("terms")).select(F.explode(known).alias("term"))
-    return rows.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
+    # an inner join: a semi join would be moved below the aggregate, where every single word would take part
+    return rows.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
 
 
 def disclosing_pairs(marked: DataFrame, texts: DataFrame, window_chars: int, min_contexts: int, generalise_at: float) -> tuple[DataFrame, DataFrame]:
