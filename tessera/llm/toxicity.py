@@ -37,7 +37,7 @@ def features(text: str | None) -> set[str]:
     return out
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 20) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 20) -> np.ndarray:
     """Logistic regression with an L2 penalty by Newton's method; the last weight is the intercept (hardly penalised)."""
     z = np.hstack((x, np.ones((len(x), 1))))
     w = np.zeros(z.shape[1])
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, n_features:
     return ChainModel(vocabulary, fit_chain(x, y, folds))
 
 
-def toxicity(df: DataFrame, model: ChainModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(df: DataFrame, model: ChainModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, p_<category> for each category, toxic for every row.
 
     Null and empty texts have no features; a null id stays null; repeated rows each give a row; an empty table gives an
@@ -157,7 +157,7 @@ def toxicity(df: DataFrame, model: ChainModel, threshold: float = 0.5, id_col: s
     return common.id_and_text(df, id_col, text_col).mapInArrow(score, "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES) + ", toxic boolean")
 
 
-def keep_clean(df: DataFrame, model: ChainModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_clean(df: DataFrame, model: ChainModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of df that aren't toxic, with df's columns."""
     at = df.columns.index(text_col)
 
