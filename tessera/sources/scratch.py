@@ -1,16 +1,53 @@
-"""Tables between rounds of a loop, in the folder that all executors share."""
+"""Tables between the steps of a job, in the folder that all executors share.
+
+A stored table cuts lineage, is computed once, and outlives lost executors. (checkpoint() would compute a lineage
+without a shuffle twice: once to count and once to write.)
+"""
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names, else a local one for tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted by release()."""
+    path = f"{shared_dir(spark).rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/tessera-rounds/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Deletes every table written so far; results that still read one must be stored before."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        if spark._sc._jsc is None:  # the session has ended; the cluster's own clean-up of that folder applies
+            continue
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _at_exit() -> None:
+    try:
+        release()
+    except Exception:  # noqa: BLE001 - the gateway may be gone while the interpreter ends
+        _WRITTEN.clear()
+
+
+atexit.register(_at_exit)
