@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import release as release_scratch
+from tessera.sources.scratch import scratch_path
+from tessera.sources.scratch import store as materialize
+
+__all__ = ["column", "documents", "id_and_text", "materialize", "release_scratch", "scratch_path", "small_batches"]
+
 #: Fixed by the query contracts: a word is a run of anything but ASCII white space.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -29,50 +29,6 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the one the cluster names, else a local one for tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted by release_scratch()."""
-    path = f"{shared_dir(spark).rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
-    _SCRATCH.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder once and reads it back, which cuts lineage and survives lost executors.
-
-    (checkpoint() would compute a lineage without a shuffle twice: once to count and once to write.)
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release_scratch() -> None:
-    """Deletes every table that materialize() wrote; results that still read one must be stored before."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
-        if spark._sc._jsc is None:  # the session has ended; the cluster's own clean-up of that folder applies
-            continue
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _at_exit() -> None:
-    try:
-        release_scratch()
-    except Exception:  # noqa: BLE001 - the gateway may be gone while the interpreter ends
-        _SCRATCH.clear()
-
-
-atexit.register(_at_exit)
-
-
 def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Bounds each Arrow batch by bytes, so that a run of long texts can't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
