@@ -1,8 +1,8 @@
 """Quality by weak supervision, in DataFrame operations only.
 
-Rules vote good (1), bad (-1) or abstain (0). Documents with the same votes are alike, so expectation-maximisation runs
+Rules vote good (1), bad (-1) or abstain (0), which says nothing. Documents with the same votes are alike, so expectation-maximisation runs
 over the table of vote patterns (at most 3 to the number of rules rows, whatever the corpus): it estimates the share of
-good documents and each rule's chance of every vote among good and among bad documents. A document stays if its
+good documents and each rule's chance of either vote among good and among bad documents. A document stays if its
 posterior probability of being good reaches the threshold.
 """
 
@@ -17,10 +17,14 @@ from . import common
 from .common import WORD_CLASS
 
 RULES = ("length", "word_size", "symbols", "dup_lines", "repeats", "capitals", "shouting", "variety")
-_VOTES = (1, 0, -1)
 #: Rules vote bad only where they are nearly sure: the chance that a good document draws a given rule's bad vote is held
 #: at or below this. Without the bound, the two classes may settle on "has the commonest defect" and "has not".
 FALSE_ALARM = 0.002
+#: A bad document usually has one defect and passes the other rules, so one good vote raises the odds of being good by
+#: this factor at most. Without it, rules that fail together on one kind of bad document would outvote the rest.
+GOOD_VOTE = 1.25
+#: The share of good documents is held within these bounds; below a half the two classes could change their names.
+PRIOR = (0.5, 0.99)
 _T = "__q_text"
 
 
@@ -82,7 +86,7 @@ def votes() -> dict[str, Column]:
         "length": rule(n < 10, n >= 50),
         "word_size": rule((chars < 3 * n) | (chars > 14 * n), chars.between(4 * n, 9 * n)),
         "symbols": rule(5 * F.col("__q_n_symbols") > n, 100 * F.col("__q_n_symbols") <= n),
-        "dup_lines": rule(10 * F.col("__q_n_dup_lines") > 3 * F.col("__q_n_lines"), F.col("__q_n_dup_lines") == 0),
+        "dup_lines": rule((F.col("__q_n_dup_lines") >= 3) & (2 * F.col("__q_n_dup_lines") > F.col("__q_n_lines")), F.col("__q_n_dup_lines") == 0),
         "repeats": rule(5 * F.col("__q_n_repeat_words") > n, 100 * F.col("__q_n_repeat_words") <= n),
         "capitals": rule(10 * F.col("__q_n_upper") > 3 * chars, 10 * F.col("__q_n_upper") <= chars),
         "shouting": rule(10 * F.col("__q_n_exclaim") > n, 100 * F.col("__q_n_exclaim") <= n),
@@ -99,8 +103,7 @@ def _log_odds(model: dict) -> Column:
     for rule in RULES:
         good, bad = model["good"][rule], model["bad"][rule]
         vote = F.col(f"__q_vote_{rule}")
-        weight = {v: math.log(good[v]) - math.log(bad[v]) for v in _VOTES}
-        total = total + F.when(vote == 1, weight[1]).when(vote == 0, weight[0]).otherwise(weight[-1])
+        total = total + F.when(vote == 1, math.log(good) - math.log(bad)).when(vote == -1, math.log(1 - good) - math.log(1 - bad)).otherwise(0.0)
     return total
 
 
@@ -110,10 +113,9 @@ def posterior(model: dict) -> Column:
 
 
 def start_model() -> dict:
-    """Good documents draw few bad votes; a bad one has some defects, not all of them."""
-    good = {1: 0.899, 0: 0.1, -1: 0.001}
-    bad = {1: 0.5, 0: 0.2, -1: 0.3}
-    return {"prior": 0.8, "good": {r: dict(good) for r in RULES}, "bad": {r: dict(bad) for r in RULES}}
+    """prior, and for good and for bad documents each rule's chance of voting good where it votes: good documents draw
+    few bad votes, a bad one has some defects but not all."""
+    return {"prior": 0.8, "good": dict.fromkeys(RULES, 0.999), "bad": dict.fromkeys(RULES, 0.82)}
 
 
 def estimate(voted: DataFrame, rounds: int = 25, tolerance: float = 1e-6) -> dict:
@@ -134,18 +136,14 @@ def estimate(voted: DataFrame, rounds: int = 25, tolerance: float = 1e-6) -> dic
         row = patterns.withColumn("__p", posterior(model)).agg(*sums).first()
         if not row["n"]:
             return model
-        good, bad = row["g"], row["n"] - row["g"]
-        for side, total, mark in (("good", good, "g"), ("bad", bad, "b")):
-            for r in RULES:
-                start = start_model()[side][r]
+        good = row["g"]
+        for r in RULES:
+            for side, mark in (("good", "g"), ("bad", "b")):
                 plus, minus = row[f"{mark}_{r}_1"], row[f"{mark}_{r}_-1"]
-                seen = {1: plus, -1: minus, 0: max(0.0, total - plus - minus)}
-                share = {v: (seen[v] + start[v]) / (total + 1) for v in _VOTES}
-                if side == "good" and share[-1] > FALSE_ALARM:
-                    rest = (1 - FALSE_ALARM) / (1 - share[-1]) if share[-1] < 1 else 0.0
-                    share = {1: max(share[1] * rest, 1e-6), 0: max(share[0] * rest, 1e-6), -1: FALSE_ALARM}
-                model[side][r] = share
-        model["prior"] = (good + 0.8) / (row["n"] + 1)
+                model[side][r] = (plus + start_model()[side][r]) / (plus + minus + 1)
+            model["good"][r] = min(max(model["good"][r], 1 - FALSE_ALARM), 1 - 1e-6)
+            model["bad"][r] = min(max(model["bad"][r], model["good"][r] / GOOD_VOTE), 1 - 1e-6)
+        model["prior"] = min(max((good + 0.8) / (row["n"] + 1), PRIOR[0]), PRIOR[1])
         if before is not None and abs(before - model["prior"]) < tolerance:
             break
         before = model["prior"]
@@ -153,13 +151,9 @@ def estimate(voted: DataFrame, rounds: int = 25, tolerance: float = 1e-6) -> dic
 
 
 def accuracies(model: dict) -> dict[str, float]:
-    """Each rule's chance of being right when it votes."""
-    p, out = model["prior"], {}
-    for r in RULES:
-        right = p * model["good"][r][1] + (1 - p) * model["bad"][r][-1]
-        wrong = p * model["good"][r][-1] + (1 - p) * model["bad"][r][1]
-        out[r] = right / (right + wrong)
-    return out
+    """Each rule's chance of being right where it votes."""
+    p = model["prior"]
+    return {r: p * model["good"][r] + (1 - p) * (1 - model["bad"][r]) for r in RULES}
 
 
 def quality(df: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
