@@ -43,17 +43,14 @@ def q_url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH p AS (SELECT regexp_extract(lower(url), '^https://([^/:?#]+)', 1) AS host, page_id, url, coalesce(nullif(regexp_extract(url, '^https://[^/]+(/[^?#]*)', 1), ''), '/') AS path FROM pages WHERE url LIKE 'https://%'),
-d AS (SELECT host AS domain, row_number() OVER (ORDER BY host) AS k FROM (SELECT DISTINCT host FROM p) WHERE host <> ''), even AS (SELECT domain FROM d WHERE k % 2 = 0)
+even AS (SELECT DISTINCT host AS domain FROM p WHERE host <> '' AND length(host) % 2 = 0)
 SELECT page_id, url, CASE WHEN host IN (SELECT domain FROM even) THEN host END AS provider FROM p UNION ALL SELECT page_id, url, NULL FROM pages WHERE url NOT LIKE 'https://%' OR url IS NULL""")
 def q_url_allow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PF13, PF14, WN9: the first provider that allows a page's URL (every second host is a provider)."""
-    from pyspark.sql import Window
-
+    """PF13, PF14, WN9: the first provider that allows a page's URL (hosts of even length are providers)."""
     pages = table(spark, sf_dir, "pages")
     host = F.lower(F.try_parse_url(F.col("url"), F.lit("HOST")))
     hosts = pages.filter(F.col("url").startswith("https://")).select(host.alias("domain")).filter("domain is not null").distinct()
-    numbered = hosts.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("domain"))).filter("k % 2 = 0")
-    providers = numbered.select(F.col("domain").alias("provider_id"), "domain", F.lit("/*").alias("path_glob"), F.array(F.lit("IDENTITY")).alias("roles"), F.col("k").alias("ordinal"))
+    providers = hosts.filter("length(domain) % 2 = 0").select(F.col("domain").alias("provider_id"), "domain", F.lit("/*").alias("path_glob"), F.array(F.lit("IDENTITY")).alias("roles"), F.lit(0).alias("ordinal"))
     return V.url_allowed(F.col("url"), F.lit("IDENTITY"), providers, pages.select("page_id", "url")).select("page_id", "url", "provider")
 
 
