@@ -3,7 +3,7 @@
 The patterns find base spans. Every distinct base value is a protected entity. A term that stands near an entity
 discloses it as far as their co-occurrence in the corpus says: with document counts n, PMI = log(n_et * N / (n_e * n_t))
 against the entity's own information IC = log(N / n_e). From `generalise_at` * IC on a term is generalised to its kind,
-from `remove_at` * IC on it is removed, in the documents where it stands near the entity. Chance is kept out by asking
+from `remove_at` * IC on it is removed, wherever it stands in any text of the corpus. Chance is kept out by asking
 for at least `min_contexts` different surroundings of the pair, so copies of one passage aren't evidence.
 """
 
@@ -92,29 +92,36 @@ def with_base_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("__p_base", F.concat(*[F.col(f"__p_{k}") for k in KINDS])).drop("__p_text", *[f"__p_{k}" for k in KINDS])
 
 
+def _bitmap(wanted: DataFrame) -> Column:
+    """The wanted terms as a bitmap of fixed size; its words are all that reaches the driver."""
+    bit = F.pmod(F.xxhash64("term"), F.lit(_BITMAP_BITS).cast("long")).alias("b")
+    marks = wanted.select(bit).groupBy(F.floor(F.col("b") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits")).collect()
+    words = [0] * (_BITMAP_BITS // 64)
+    for r in marks:
+        words[r["word"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>").alias("__bits")
+
+
+def _in_bitmap(word: str) -> str:
+    """Whether a word can be wanted, by the bitmap in column __bits."""
+    return f"(shiftright(get(__bits, cast(pmod(xxhash64({word}), {_BITMAP_BITS}L) div 64 as int)), cast(pmod(xxhash64({word}), {_BITMAP_BITS}L) % 64 as int)) & 1L) = 1L"
+
+
 def _document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """term, n_t: in how many texts each wanted term stands, over all texts.
 
-    Words that can't be wanted are sorted out before the shuffle by a bitmap of fixed size (its words are all that
-    reaches the driver); the join after it is exact.
+    Words that can't be wanted are sorted out before the shuffle by the bitmap; the join after it is exact.
     """
-    bit = lambda t: F.pmod(F.xxhash64(t), F.lit(_BITMAP_BITS).cast("long"))
-    marks = wanted.select(bit(F.col("term")).alias("b")).groupBy(F.floor(F.col("b") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits")).collect()
-    words = [0] * (_BITMAP_BITS // 64)
-    for r in marks:
-        words[r["word"]] = r["bits"]
-    table = F.lit(",".join(map(str, words)))
-    bitmap = F.split(table, ",").cast("array<long>")
-    known = F.expr(f"filter(terms, w -> (shiftright(get(__bits, cast(pmod(xxhash64(w), {_BITMAP_BITS}L) div 64 as int)), cast(pmod(xxhash64(w), {_BITMAP_BITS}L) % 64 as int)) & 1L) = 1L)")
+    known = F.expr(f"filter(terms, w -> {_in_bitmap('w')})")
     terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(_TERM), F.lit(0)))
-    rows = texts.select(bitmap.alias("__bits"), terms.alias("terms")).select(F.explode(known).alias("term"))
+    rows = texts.select(_bitmap(wanted), terms.alias("terms")).select(F.explode(known).alias("term"))
     # an inner join: a semi join would be moved below the aggregate, where every single word would take part
     return rows.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
 
 
-def disclosing_pairs(marked: DataFrame, texts: DataFrame, window_chars: int, min_contexts: int, generalise_at: float) -> tuple[DataFrame, DataFrame]:
-    """From rows with entities (__p_row, text, __p_base): (the terms near each entity: row, entity, term; and the pairs
-    entity, term, strength that disclose, strength being PMI / IC)."""
+def disclosing_pairs(marked: DataFrame, texts: DataFrame, window_chars: int, min_contexts: int, generalise_at: float) -> DataFrame:
+    """entity, term, strength: the pairs that disclose, strength being PMI / IC. marked: rows with entities (__p_row,
+    text, __p_base)."""
     text = F.col("text")
     masked = marked.select("__p_row", "__p_base", _blank(text, F.col("__p_base")).alias("text"))
     entity = F.concat_ws(":", F.col("s.kind"), F.coalesce(*[F.when(F.col("s.kind") == k, _entity(k, F.col("s.value"))) for k in KINDS]))
@@ -139,24 +146,27 @@ def disclosing_pairs(marked: DataFrame, texts: DataFrame, window_chars: int, min
     pmi = F.log(n_both * float(max(total, 1)) / (F.col("n_e") * F.col("n_t")))
     strength = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
     scored = pairs.join(n_e, "entity").join(n_t, "term").select("entity", "term", strength.alias("strength"))
-    return near, scored.filter(F.col("strength") >= generalise_at)
-
-
-def term_spans(marked: DataFrame, texts: DataFrame, window_chars: int, min_contexts: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """__p_row, __p_terms: the spans the method adds. marked: stored rows with __p_row, text and a non-empty __p_base;
-    texts: all texts of the corpus. The kind is `term`, the value `remove` or what the term is generalised to."""
-    near, pairs = disclosing_pairs(marked, texts, window_chars, min_contexts, generalise_at)
-    hits = near.join(pairs, ["entity", "term"]).groupBy("__p_row", "term").agg(F.max("strength").alias("strength"))
-    rows = marked.join(hits.select("__p_row").distinct(), "__p_row", "left_semi")
-    rows = rows.select("__p_row", _blank(F.col("text"), F.col("__p_base")).alias("text"))
+    return scored.filter(F.col("strength") >= generalise_at)
+
+
+def term_spans(scanned: DataFrame, window_chars: int, min_contexts: int, generalise_at: float, remove_at: float) -> DataFrame:
+    """__p_row, __p_terms: the spans the method adds, in texts with and without an entity. scanned: stored rows with
+    __p_row, text and __p_base. The kind is `term`, the value `remove` or what the term is generalised to."""
+    pairs = disclosing_pairs(scanned.filter(F.size("__p_base") > 0), scanned.select("text"), window_chars, min_contexts, generalise_at)
+    hits = common.materialize(pairs.groupBy("term").agg(F.max("strength").alias("strength")), "terms")
+    bitmap = _bitmap(hits)
+    terms = F.regexp_extract_all(F.lower(F.col("text")), F.lit(_TERM), F.lit(0))
+    rows = scanned.select("__p_row", "__p_base", "text", terms.alias("terms"), bitmap).filter(F.expr(f"exists(terms, w -> {_in_bitmap('w')})"))
+    rows = rows.select("__p_row", F.when(F.size("__p_base") > 0, _blank(F.col("text"), F.col("__p_base"))).otherwise(F.col("text")).alias("text"))
     words = rows.select("__p_row", F.posexplode(F.arrays_zip(F.split("text", _TERM_SPLIT, -1).alias("gap"), F.regexp_extract_all("text", F.lit(_TERM_SPLIT), F.lit(0)).alias("word"))))
     step = F.length("col.gap") + F.coalesce(F.length("col.word"), F.lit(0))
     end = F.sum(step).over(Window.partitionBy("__p_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     words = words.select("__p_row", F.lower("col.word").alias("term"), F.col("col.word").alias("word"), end.alias("end")).filter(F.col("word").isNotNull())
+    words = words.select("*", bitmap).filter(_in_bitmap("term")).drop("__bits")
     general = F.when(F.col("word").rlike("[0-9]"), "[NUMBER]").when(F.col("word").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
     value = F.when(F.col("strength") >= remove_at, F.lit("remove")).otherwise(general)
     span = F.struct(F.lit("term").alias("kind"), (F.col("end") - F.length("word")).alias("start"), F.col("end"), value.alias("value"))
-    found = words.join(hits, ["__p_row", "term"]).groupBy("__p_row").agg(F.sort_array(F.collect_list(span)).alias("__p_terms"))
+    found = words.join(hits, "term").groupBy("__p_row").agg(F.sort_array(F.collect_list(span)).alias("__p_terms"))
     return common.materialize(found, "term-spans")
 
 
@@ -166,20 +176,17 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text is empty and has no span. A null id stays null; repeated rows each give a row and count as documents;
     an empty table gives an empty result; other columns are ignored.
     """
-    scanned = with_base_spans(common.id_and_text(df, id_col, text_col))
-    small = common.materialize(scanned.select("doc_id", "__p_row", "__p_base", F.when(F.size("__p_base") > 0, F.col("text")).alias("text")), "pii")
-    options = DEFAULTS | options
-    added = term_spans(small.filter(F.size("__p_base") > 0), common.id_and_text(df, id_col, text_col).select("text"), **options)
-    return small.join(added, "__p_row", "left").select("doc_id", F.col("__p_base").alias("base"), F.coalesce("__p_terms", F.array().cast(SPAN)).alias("terms"))
+    scanned = common.materialize(with_base_spans(common.id_and_text(df, id_col, text_col)), "pii")
+    added = term_spans(scanned, **(DEFAULTS | options))
+    return scanned.drop("text").join(added, "__p_row", "left").select("doc_id", F.col("__p_base").alias("base"), F.coalesce("__p_terms", F.array().cast(SPAN)).alias("terms"))
 
 
 def sanitise(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """df with its texts sanitised: base spans become [EMAIL], [IP], [CARD], [PHONE]; disclosing terms are generalised
     or removed. Same columns and rows; texts without a span, null ones too, stay as they are."""
-    options = DEFAULTS | options
     scanned = common.materialize(with_base_spans(df, text_col), "pii-stage")
     text = common.column(text_col)
-    added = term_spans(scanned.filter(F.size("__p_base") > 0).select("__p_row", "__p_base", text.alias("text")), scanned.select(text.alias("text")), **options)
+    added = term_spans(scanned.select("__p_row", "__p_base", text.alias("text")), **(DEFAULTS | options))
     out = scanned.join(added, "__p_row", "left")
     spans = F.concat("__p_base", F.coalesce("__p_terms", F.array().cast(SPAN)))
     tag = lambda s, pos: F.when(s["start"] < pos, F.lit("")).when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["value"] == "remove", F.lit("")).otherwise(s["value"])

@@ -111,6 +111,18 @@ def test_disclosing_terms_go_with_their_entity(spark):
     assert {r["text"] for r in pii.sanitise(once).collect()} == {"Quixot wrote from [EMAIL] once", "other"}
 
 
+def test_disclosing_terms_go_from_texts_without_their_entity(spark):
+    fill = [(100 + i, f"ordinary text number {i} about nothing in particular") for i in range(60)]
+    near = [(i, f"{w} Zorblat reached jane@corp.example and {w} again {i}, ordinary text") for i, w in enumerate(["red", "blue", "green", "pink"])]
+    away = [(10, "ordinary text of Zorblat alone"), (11, "jane@corp.example " + "ordinary text " * 20 + "zorblat")]
+    df = spark.createDataFrame(fill + near + away, "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert all("zorblat" not in texts[i].lower() and "ordinary text" in texts[i] for i in (10, 11))
+    assert all(texts[i] == t for i, t in fill)
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["terms"]] for r in pii.personal_data(df).collect()}
+    assert spans[10] == [(17, 24)] and away[1][1][slice(*spans[11][-1])] == "zorblat"
+
+
 def test_sanitise_overlaps_and_columns(spark):
     df = spark.createDataFrame([(1, "call +4111 1111 1111 1111 now", "k"), (2, None, "k")], "doc_id long, text string, kind string")
     rows = {r["doc_id"]: r for r in pii.sanitise(df).collect()}
