@@ -3,12 +3,15 @@
 The patterns find base spans. Every distinct base value is a protected entity. A term that stands near an entity
 discloses it as far as their co-occurrence in the corpus says: with document counts n, PMI = log(n_et * N / (n_e * n_t))
 against the entity's own information IC = log(N / n_e). From `generalise_at` * IC on a term is generalised to its kind,
-from `remove_at` * IC on it is removed, wherever it stands in any text of the corpus. Chance is kept out by asking
-for at least `min_contexts` different surroundings of the pair, so copies of one passage aren't evidence.
+from `remove_at` * IC on it is removed, wherever it stands in any text of the corpus. Chance
+is kept out by a test of every pair that occurs: under independence, its co-occurrence count must be less likely than
+`significance`, corrected for the number of pairs (Bonferroni; Chernoff's bound on the hypergeometric tail).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ PATTERNS = {
 _TERM = r"[\p{L}\p{N}]{2,}"
 _TERM_SPLIT = r"[\p{L}\p{N}]{2,}+"
 _BITMAP_BITS = 1 << 20
-DEFAULTS = {"window_chars": 120, "min_contexts": 2, "generalise_at": 0.7, "remove_at": 0.95}
+DEFAULTS = {"window_chars": 120, "significance": 0.05, "generalise_at": 0.7, "remove_at": 0.95}
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -119,7 +122,14 @@ def _document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
 
 
-def disclosing_pairs(marked: DataFrame, texts: DataFrame, window_chars: int, min_contexts: int, generalise_at: float) -> DataFrame:
+def _log_tail(k: Column, drawn: Column, marked: Column, total: int) -> Column:
+    """ln of Chernoff's bound on the chance of k or more marked texts among those drawn: -drawn * KL(k / drawn, marked / total)."""
+    a, q = k / drawn, marked / F.lit(float(max(total, 1)))
+    rest = F.when(a < 1, (1 - a) * F.log((1 - a) / (1 - q))).otherwise(F.lit(0.0))
+    return F.when(a > q, -drawn * (a * F.log(a / q) + rest)).otherwise(F.lit(0.0))
+
+
+def disclosing_pairs(marked: DataFrame, texts: DataFrame, window_chars: int, significance: float, generalise_at: float) -> DataFrame:
     """entity, term, strength: the pairs that disclose, strength being PMI / IC. marked: rows with entities (__p_row,
     text, __p_base)."""
     text = F.col("text")
@@ -130,14 +140,16 @@ def disclosing_pairs(marked: DataFrame, texts: DataFrame, window_chars: int, min
         entity.alias("entity"),
         F.substring(text, F.greatest(F.lit(1), F.col("s.start") + 1 - window_chars), F.least(F.lit(window_chars), F.col("s.start"))).alias("left"),
         F.substring(text, F.col("s.end") + 1, F.lit(window_chars)).alias("right"),
+        (F.col("s.start") > window_chars).alias("cut_left"),
+        (F.length(text) > F.col("s.end") + window_chars).alias("cut_right"),
     )
     # a term cut by the window's edge isn't a whole one
-    whole = F.concat(F.regexp_replace("left", r"^[\p{L}\p{N}]+", ""), F.lit(" "), F.regexp_replace("right", r"[\p{L}\p{N}]+$", ""))
+    left = F.when(F.col("cut_left"), F.regexp_replace("left", r"^[\p{L}\p{N}]+", "")).otherwise(F.col("left"))
+    right = F.when(F.col("cut_right"), F.regexp_replace("right", r"[\p{L}\p{N}]+$", "")).otherwise(F.col("right"))
+    whole = F.concat(left, F.lit(" "), right)
     near = near.select("__p_row", "entity", F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(_TERM), F.lit(0))).alias("terms"))
-    near = common.materialize(near.select("__p_row", "entity", F.xxhash64(F.array_sort("terms")).alias("context"), F.explode("terms").alias("term")), "near-entities")
-    per_context = near.groupBy("entity", "term", "context").agg(F.count_distinct("__p_row").alias("n"))
-    pairs = per_context.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("contexts")).filter(F.col("contexts") >= min_contexts)
-    pairs = common.materialize(pairs, "pairs")
+    near = common.materialize(near.select("__p_row", "entity", F.explode("terms").alias("term")).distinct(), "near-entities")
+    pairs = common.materialize(near.groupBy("entity", "term").agg(F.count("*").alias("n_et")), "pairs")
     n_e = masked.select("__p_row", F.explode("__p_base").alias("s")).select("__p_row", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     n_t = _document_counts(texts, pairs.select("term").distinct())
     total = texts.count()
@@ -145,14 +157,16 @@ def disclosing_pairs(marked: DataFrame, texts: DataFrame, window_chars: int, min
     n_both = F.least("n_et", "n_e", "n_t")
     pmi = F.log(n_both * float(max(total, 1)) / (F.col("n_e") * F.col("n_t")))
     strength = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
-    scored = pairs.join(n_e, "entity").join(n_t, "term").select("entity", "term", strength.alias("strength"))
+    log_chance = F.least(_log_tail(n_both, F.col("n_e"), F.col("n_t"), total), _log_tail(n_both, F.col("n_t"), F.col("n_e"), total))
+    unlikely = log_chance + math.log(max(pairs.count(), 1)) <= math.log(significance)
+    scored = pairs.join(n_e, "entity").join(n_t, "term").filter(unlikely).select("entity", "term", strength.alias("strength"))
     return scored.filter(F.col("strength") >= generalise_at)
 
 
-def term_spans(scanned: DataFrame, window_chars: int, min_contexts: int, generalise_at: float, remove_at: float) -> DataFrame:
+def term_spans(scanned: DataFrame, window_chars: int, significance: float, generalise_at: float, remove_at: float) -> DataFrame:
     """__p_row, __p_terms: the spans the method adds, in texts with and without an entity. scanned: stored rows with
     __p_row, text and __p_base. The kind is `term`, the value `remove` or what the term is generalised to."""
-    pairs = disclosing_pairs(scanned.filter(F.size("__p_base") > 0), scanned.select("text"), window_chars, min_contexts, generalise_at)
+    pairs = disclosing_pairs(scanned.filter(F.size("__p_base") > 0), scanned.select("text"), window_chars, significance, generalise_at)
     hits = common.materialize(pairs.groupBy("term").agg(F.max("strength").alias("strength")), "terms")
     bitmap = _bitmap(hits)
     terms = F.regexp_extract_all(F.lower(F.col("text")), F.lit(_TERM), F.lit(0))

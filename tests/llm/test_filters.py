@@ -123,6 +123,15 @@ def test_disclosing_terms_go_from_texts_without_their_entity(spark):
     assert spans[10] == [(17, 24)] and away[1][1][slice(*spans[11][-1])] == "zorblat"
 
 
+def test_copies_of_one_passage_disclose(spark):
+    fill = [(100 + i, f"ordinary text number {i} about nothing in particular") for i in range(60)]
+    copies = [(i, "Quixot wrote from a@b.cc with ordinary text") for i in range(5)]
+    once = [(50, "Solitary c@d.ee ordinary text")]
+    texts = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(fill + copies + once, "doc_id long, text string")).collect()}
+    assert all("Quixot" not in texts[i] and "[EMAIL]" in texts[i] and "ordinary text" in texts[i] for i in range(5))
+    assert texts[50] == "Solitary [EMAIL] ordinary text" and all(texts[i] == t for i, t in fill)
+
+
 def test_sanitise_overlaps_and_columns(spark):
     df = spark.createDataFrame([(1, "call +4111 1111 1111 1111 now", "k"), (2, None, "k")], "doc_id long, text string, kind string")
     rows = {r["doc_id"]: r for r in pii.sanitise(df).collect()}
