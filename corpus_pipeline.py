@@ -29,9 +29,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, groups as the operator's contract defines them: four-word shingles,
-    links at up to 4 differing bits."""
-    return keep_one_of_each(docs, threshold=4, shingle=4)
+    """One document of each group of near copies: links at up to 4 differing bits over four-word shingles, and wherever
+    the five-word shingles of two texts have a Jaccard similarity of 0.8 or more."""
+    return keep_one_of_each(docs, threshold=4, shingle=4, alike=0.8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from . import common
 from .components import connected_components
+from .jaccard import similar_links, sketch
 
 SEED = 42
 #: Groups up to this size are compared by one vectorised step; larger ones are searched outward from each home.
@@ -182,7 +183,11 @@ def fingerprint_links(prints: DataFrame, threshold: int = 4) -> DataFrame:
 
 def component_roots(first: DataFrame, threshold: int) -> DataFrame:
     """fp, root for every distinct fingerprint that links to another one; root stands for its component."""
-    roots = connected_components(fingerprint_links(first, threshold), "a", "b")
+    return _roots(fingerprint_links(first, threshold))
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    roots = connected_components(links, "a", "b")
     return roots.select(F.col("node").alias("fp"), "root")
 
 
@@ -202,25 +207,36 @@ def near_duplicates(df: DataFrame, threshold: int = 4, shingle: int = 4, id_col:
     return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(df: DataFrame, threshold: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(df: DataFrame, threshold: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", alike: float | None = None, alike_shingle: int = 5) -> DataFrame:
     """One row of each component of df: the one with the smallest id (null ids last), of repeated rows any one. Same
-    columns. A component's first row comes from an aggregate that combines before the shuffle, however large it is."""
+    columns. A component's first row comes from an aggregate that combines before the shuffle, however large it is.
+    With `alike`, texts whose `alike_shingle`-word shingles have at least that Jaccard similarity are linked, too."""
     at = df.columns.index(text_col)
-    schema = T.StructType([*df.schema.fields, T.StructField("__s_fp", T.LongType()), T.StructField("__s_row", T.LongType())])
+    more = [("__s_fp", T.LongType()), ("__s_row", T.LongType()), ("__s_set", T.LongType()), ("__s_n", T.LongType()), ("__s_keys", T.ArrayType(T.LongType())), ("__s_bits", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in more]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            prints = np.array([fingerprint(x, shingle) for x in batch.column(at).to_pylist()], np.uint64)
+            texts = batch.column(at).to_pylist()
+            prints = np.array([fingerprint(x, shingle) for x in texts], np.uint64)
             rows = pa.array(np.arange(row, row + batch.num_rows, dtype=np.int64))
             row += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64)), rows], schema.names)
+            sets, sizes, keys, bits = zip(*[sketch(x, alike_shingle) if alike else (0, 0, [], []) for x in texts]) if texts else ((), (), (), ())
+            made = [pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(list(x), pa.list_(pa.int64())) for x in (keys, bits)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64)), rows, *made], schema.names)
 
     common.small_batches(df.sparkSession)
     marked = common.materialize(df.mapInArrow(run, schema), "dedup-stage")
     mine = marked.select(common.column(id_col).alias("id"), F.col("__s_fp").alias("fp"), F.col("__s_row").alias("row"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     first = common.materialize(mine.groupBy("fp").agg(best), "distinct-prints")
-    roots = component_roots(first, threshold)
+    links = fingerprint_links(first, threshold)
+    if alike:
+        links = common.materialize(links, "near-links")
+        one = marked.groupBy("__s_fp", "__s_set").agg(F.min("__s_row").alias("__s_row"))
+        sketches = marked.select("__s_row", "__s_n", "__s_keys", "__s_bits").join(one, "__s_row").select(F.col("__s_row").alias("row"), F.col("__s_fp").alias("grp"), F.col("__s_n").alias("n"), F.col("__s_keys").alias("keys"), F.col("__s_bits").alias("bits"))
+        links = similar_links(sketches, marked.select(F.col("__s_row").alias("row"), common.column(text_col).alias("text")), links, alike, alike_shingle)
+    roots = _roots(links)
     winners = first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("__s_row"))
     return marked.join(winners, "__s_row", "left_semi").select(*[common.column(c) for c in df.columns])

@@ -211,6 +211,42 @@ def test_dedup_stage_by_brute_force(stages):
     assert sorted(r["doc_id"] for r in after.collect()) == [rows[i][0] for i in range(len(rows)) if root(i) == i]
 
 
+def test_dedup_stage_by_exact_similarity(spark):
+    """Brute force over all pairs of distinct texts; some differ in more than 4 bits."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rng = random.Random(3)
+    for g in range(6):
+        base = [f"w{g}x{rng.randint(0, 10**6)}" for _ in range(120)]
+        for k in range(8):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = f"new{rng.randint(0, 10**9)}"
+            rows.append((10**6 + 10 * g + k, " ".join(copy)))
+    rows.sort()
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    prints, parent = [fingerprint(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            near, alike = (prints[i] ^ prints[j]).bit_count() <= 4, False
+            if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) > 0:
+                both = len(sets[i] & sets[j])
+                alike = both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+            far += alike and not near
+            if near or alike:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert far and sorted(r["doc_id"] for r in got.collect()) == [rows[i][0] for i in range(len(rows)) if root(i) == i]
+
+
 def test_packing_stage_covers_documents(stages):
     before, after = stages["packing"]
     total = {}
