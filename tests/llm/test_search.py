@@ -219,3 +219,19 @@ def test_scores_edges(spark):
     r = hmm.score_texts(only_held).first()
     assert (r["train_tokens"], r["n_known"], r["base_score"]) == (0, 0, 0.0)
     assert hmm.score_texts(df.limit(0)).count() == 0
+
+
+def test_every_round_takes_every_text(spark, monkeypatch):
+    """Scores don't depend on the order or the partitions of the rows, and all training texts count in each round."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(30))) for i in range(60)]
+    scored = []
+    for parts in (1, 5):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        scored.append({r["doc_id"]: r["score"] for r in hmm.score_texts(df).collect()})
+    assert all(abs(scored[0][i] - scored[1][i]) < 1e-6 for i, _ in rows)
+    seen, plain = [], hmm._reestimate
+    monkeypatch.setattr(hmm, "_reestimate", lambda m, sums, total: seen.append(sum(r["n"] for r in sums if r["kind"] == 0)) or plain(m, sums, total))
+    hmm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(seen) > 1 and all(abs(n - sum(not hmm.held_out(i) for i, _ in rows)) < 1e-6 for n in seen)
