@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -95,19 +95,20 @@ def with_base_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("__p_base", F.concat(*[F.col(f"__p_{k}") for k in KINDS])).drop("__p_text", *[f"__p_{k}" for k in KINDS])
 
 
-def _bitmap(wanted: DataFrame) -> Column:
+def _bitmap(wanted: DataFrame, name: str) -> Column:
     """The wanted terms as a bitmap of fixed size; its words are all that reaches the driver."""
     bit = F.pmod(F.xxhash64("term"), F.lit(_BITMAP_BITS).cast("long")).alias("b")
     marks = wanted.select(bit).groupBy(F.floor(F.col("b") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits")).collect()
     words = [0] * (_BITMAP_BITS // 64)
     for r in marks:
         words[r["word"]] = r["bits"]
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>").alias("__bits")
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>").alias(name)
 
 
-def _in_bitmap(word: str) -> str:
-    """Whether a word can be wanted, by the bitmap in column __bits."""
-    return f"(shiftright(get(__bits, cast(pmod(xxhash64({word}), {_BITMAP_BITS}L) div 64 as int)), cast(pmod(xxhash64({word}), {_BITMAP_BITS}L) % 64 as int)) & 1L) = 1L"
+def _in_bitmap(word: Column, name: str) -> Column:
+    """Whether a word can be wanted, by the bitmap in that column."""
+    bit = F.pmod(F.xxhash64(word), F.lit(_BITMAP_BITS).cast("long"))
+    return F.getbit(F.get(F.col(name), F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1
 
 
 def _document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -115,9 +116,9 @@ def _document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Words that can't be wanted are sorted out before the shuffle by the bitmap; the join after it is exact.
     """
-    known = F.expr(f"filter(terms, w -> {_in_bitmap('w')})")
+    known = F.filter("terms", lambda w: _in_bitmap(w, "__bits"))
     terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(_TERM), F.lit(0)))
-    rows = texts.select(_bitmap(wanted), terms.alias("terms")).select(F.explode(known).alias("term"))
+    rows = texts.select(_bitmap(wanted, "__bits"), terms.alias("terms")).select(F.explode(known).alias("term"))
     # an inner join: a semi join would be moved below the aggregate, where every single word would take part
     return rows.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
 
@@ -129,9 +130,12 @@ def _log_tail(k: Column, drawn: Column, marked: Column, total: int) -> Column:
     return F.when(a > q, -drawn * (a * F.log(a / q) + rest)).otherwise(F.lit(0.0))
 
 
-def disclosing_pairs(marked: DataFrame, texts: DataFrame, window_chars: int, significance: float, generalise_at: float) -> DataFrame:
-    """entity, term, strength: the pairs that disclose, strength being PMI / IC. marked: rows with entities (__p_row,
-    text, __p_base)."""
+def near_entities(marked: DataFrame, window_chars: int) -> DataFrame:
+    """__p_row, entity, term, context: what stands within `window_chars` of an entity in rows (__p_row, text, __p_base).
+
+    `context` tells the sets of terms around apart: copies of one passage share it, so that the contexts of a pair count
+    how often it was written, not how often it was copied.
+    """
     text = F.col("text")
     masked = marked.select("__p_row", "__p_base", _blank(text, F.col("__p_base")).alias("text"))
     entity = F.concat_ws(":", F.col("s.kind"), F.coalesce(*[F.when(F.col("s.kind") == k, _entity(k, F.col("s.value"))) for k in KINDS]))
@@ -148,9 +152,18 @@ def disclosing_pairs(marked: DataFrame, texts: DataFrame, window_chars: int, sig
     right = F.when(F.col("cut_right"), F.regexp_replace("right", r"[\p{L}\p{N}]+$", "")).otherwise(F.col("right"))
     whole = F.concat(left, F.lit(" "), right)
     near = near.select("__p_row", "entity", F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(_TERM), F.lit(0))).alias("terms"))
-    near = common.materialize(near.select("__p_row", "entity", F.explode("terms").alias("term")).distinct(), "near-entities")
-    pairs = common.materialize(near.groupBy("entity", "term").agg(F.count("*").alias("n_et")), "pairs")
-    n_e = masked.select("__p_row", F.explode("__p_base").alias("s")).select("__p_row", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    context = F.xxhash64(F.array_sort("terms"))
+    # an entity that stands alone gives a row without a term, which counts it
+    near = near.select("__p_row", "entity", context.alias("context"), F.explode_outer("terms").alias("term"))
+    return near.groupBy("__p_row", "entity", "term").agg(F.min("context").alias("context"))
+
+
+def disclosing_pairs(near: DataFrame, texts: DataFrame, significance: float, generalise_at: float) -> DataFrame:
+    """entity, term, strength, wide: the pairs that disclose, strength being PMI / IC; `wide` where also the distinct
+    contexts of the pair are more than chance gives. near: a stored table of near_entities."""
+    pairs = near.filter("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.count_distinct("context").alias("k_et"))
+    pairs = common.materialize(pairs, "pairs")
+    n_e = near.groupBy("entity").agg(F.count_distinct("__p_row").alias("n_e"), F.count_distinct("context").alias("k_e"))
     n_t = _document_counts(texts, pairs.select("term").distinct())
     total = texts.count()
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
@@ -158,29 +171,72 @@ def disclosing_pairs(marked: DataFrame, texts: DataFrame, window_chars: int, sig
     pmi = F.log(n_both * float(max(total, 1)) / (F.col("n_e") * F.col("n_t")))
     strength = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
     log_chance = F.least(_log_tail(n_both, F.col("n_e"), F.col("n_t"), total), _log_tail(n_both, F.col("n_t"), F.col("n_e"), total))
-    unlikely = log_chance + math.log(max(pairs.count(), 1)) <= math.log(significance)
-    scored = pairs.join(n_e, "entity").join(n_t, "term").filter(unlikely).select("entity", "term", strength.alias("strength"))
-    return scored.filter(F.col("strength") >= generalise_at)
+    in_contexts = _log_tail(F.col("k_et"), F.col("k_e"), F.col("n_t"), total)
+    least = math.log(significance) - math.log(max(pairs.count(), 1))
+    scored = pairs.join(n_e, "entity").join(n_t, "term").select("entity", "term", strength.alias("strength"), (log_chance <= least).alias("local"), (in_contexts <= least).alias("wide"))
+    return scored.filter((F.col("strength") >= generalise_at) & (F.col("local") | F.col("wide"))).drop("local")
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluates `value` once and hands it to `body`."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _word_spans(text: Column, wanted) -> Column:
+    """(word, start, end) of the words for which wanted(lower-cased word) holds. Positions are running sums in two
+    levels, so that the work stays near-linear in the length of a text, whose words never leave their row."""
+    mark, block = "\uffff", 128  # the mark is no character of any text; where it stands nevertheless, it is no letter
+    parts = F.arrays_zip(F.split(F.replace(text, F.lit(mark), F.lit(" ")), _TERM_SPLIT, -1).alias("gap"), F.regexp_extract_all(text, F.lit(_TERM_SPLIT), F.lit(0)).alias("word"))
+    marked = F.array_join(F.transform(parts, lambda x: F.when(wanted(F.lower(x["word"])), F.concat(x["gap"], F.lit(mark), x["word"], F.lit(mark))).otherwise(F.concat(x["gap"], F.coalesce(x["word"], F.lit(""))))), "")
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def place(pieces: Column) -> Column:  # every second piece is a wanted word
+        def with_lengths(lengths: Column) -> Column:
+            sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")), lambda b: total(F.slice(lengths, b * block + 1, F.lit(block))))
+
+            def with_starts(starts: Column) -> Column:
+                def span(i: Column) -> Column:
+                    at = F.floor(i / block).cast("int")
+                    begin = F.get(starts, at) + total(F.slice(lengths, at * block + 1, i % block))
+                    return F.struct(F.get(pieces, i).alias("word"), begin.alias("start"), (begin + F.get(lengths, i)).alias("end"))
+
+                return F.when(F.size(pieces) > 1, F.transform(F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2)), span))
+
+            return _let(_let(sums, lambda s: F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b)))), with_starts)
+
+        return _let(F.transform(pieces, F.length), with_lengths)
+
+    return _let(F.split(marked, mark, -1), place)
+
+
+def _wanted(word: Column) -> Column:
+    """Whether a lower-cased word of a row can be wanted there, by its bitmaps."""
+    return _in_bitmap(word, "__wide") | (F.col("__has") & _in_bitmap(word, "__here"))
 
 
 def term_spans(scanned: DataFrame, window_chars: int, significance: float, generalise_at: float, remove_at: float) -> DataFrame:
-    """__p_row, __p_terms: the spans the method adds, in texts with and without an entity. scanned: stored rows with
-    __p_row, text and __p_base. The kind is `term`, the value `remove` or what the term is generalised to."""
-    pairs = disclosing_pairs(scanned.filter(F.size("__p_base") > 0), scanned.select("text"), window_chars, significance, generalise_at)
-    hits = common.materialize(pairs.groupBy("term").agg(F.max("strength").alias("strength")), "terms")
-    bitmap = _bitmap(hits)
+    """__p_row, __p_terms: the spans the method adds. scanned: stored rows with __p_row, text and __p_base. The kind is
+    `term`, the value `remove` or what the term is generalised to.
+
+    Terms of wide pairs go from every text. Terms of pairs that only copies of few contexts bear out go from the texts
+    where they stand near their entity: copies would otherwise take ordinary words from the whole corpus.
+    """
+    near = common.materialize(near_entities(scanned.filter(F.size("__p_base") > 0), window_chars), "near-entities")
+    pairs = common.materialize(disclosing_pairs(near, scanned.select("text"), significance, generalise_at), "disclosing")
+    wide = common.materialize(pairs.filter("wide").groupBy("term").agg(F.max("strength").alias("everywhere")), "terms")
+    here = near.join(pairs.filter("not wide"), ["entity", "term"]).groupBy("__p_row", "term").agg(F.max("strength").alias("here"))
+    here = common.materialize(here, "terms-of-rows")
+    rows = scanned.select("__p_row", "text", (F.size("__p_base") > 0).alias("__has"), "__p_base", _bitmap(wide, "__wide"), _bitmap(here.select("term").distinct(), "__here"))
     terms = F.regexp_extract_all(F.lower(F.col("text")), F.lit(_TERM), F.lit(0))
-    rows = scanned.select("__p_row", "__p_base", "text", terms.alias("terms"), bitmap).filter(F.expr(f"exists(terms, w -> {_in_bitmap('w')})"))
-    rows = rows.select("__p_row", F.when(F.size("__p_base") > 0, _blank(F.col("text"), F.col("__p_base"))).otherwise(F.col("text")).alias("text"))
-    words = rows.select("__p_row", F.posexplode(F.arrays_zip(F.split("text", _TERM_SPLIT, -1).alias("gap"), F.regexp_extract_all("text", F.lit(_TERM_SPLIT), F.lit(0)).alias("word"))))
-    step = F.length("col.gap") + F.coalesce(F.length("col.word"), F.lit(0))
-    end = F.sum(step).over(Window.partitionBy("__p_row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    words = words.select("__p_row", F.lower("col.word").alias("term"), F.col("col.word").alias("word"), end.alias("end")).filter(F.col("word").isNotNull())
-    words = words.select("*", bitmap).filter(_in_bitmap("term")).drop("__bits")
+    rows = rows.withColumn("__terms", terms).filter(F.exists("__terms", lambda w: _wanted(w))).drop("__terms")
+    rows = rows.withColumn("text", F.when(F.col("__has"), _blank(F.col("text"), F.col("__p_base"))).otherwise(F.col("text")))
+    words = rows.select("__p_row", F.explode(_word_spans(F.col("text"), _wanted)).alias("s")).select("__p_row", F.lower("s.word").alias("term"), "s.word", "s.start", "s.end")
+    strength = F.greatest("everywhere", "here")
+    words = words.join(wide, "term", "left").join(here, ["__p_row", "term"], "left").filter(strength.isNotNull())
     general = F.when(F.col("word").rlike("[0-9]"), "[NUMBER]").when(F.col("word").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
-    value = F.when(F.col("strength") >= remove_at, F.lit("remove")).otherwise(general)
-    span = F.struct(F.lit("term").alias("kind"), (F.col("end") - F.length("word")).alias("start"), F.col("end"), value.alias("value"))
-    found = words.join(hits, "term").groupBy("__p_row").agg(F.sort_array(F.collect_list(span)).alias("__p_terms"))
+    value = F.when(strength >= remove_at, F.lit("remove")).otherwise(general)
+    span = F.struct(F.lit("term").alias("kind"), "start", "end", value.alias("value"))
+    found = words.groupBy("__p_row").agg(F.sort_array(F.collect_list(span)).alias("__p_terms"))
     return common.materialize(found, "term-spans")
 
 
