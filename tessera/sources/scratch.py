@@ -11,36 +11,60 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names, else a local one for tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder the cluster names. Only a session whose executors are threads of this process may do without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return "/tmp/checkpoints"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, deleted by release()."""
     path = f"{shared_dir(spark).rstrip('/')}/tessera/{label}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    _WRITTEN[path] = spark
     return path
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back."""
+def store(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """Writes df once to the shared folder and reads it back; `files` bounds the number of files of a small table."""
     path = scratch_path(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Deletes every table written so far; results that still read one must be stored before."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        if spark._sc._jsc is None:  # the session has ended; the cluster's own clean-up of that folder applies
-            continue
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    (df.coalesce(files) if files else df).write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark._sc._jsc is None:  # the session has ended; the cluster's own clean-up of that folder applies
+        return
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that store() returned and that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path in _WRITTEN:
+            _delete(_WRITTEN.pop(path), path)
+
+
+def written() -> set[str]:
+    """The paths of all tables that aren't deleted yet."""
+    return set(_WRITTEN)
+
+
+def release(keep: set[str] = frozenset()) -> None:
+    """Deletes every table written so far but those to keep; results that still read one must be stored before."""
+    for path in [p for p in _WRITTEN if p not in keep]:
+        _delete(_WRITTEN.pop(path), path)
 
 
 def _at_exit() -> None:
