@@ -136,3 +136,34 @@ def citation_text(c: dict[str, Column]) -> Column:
     """`point p, clause c, article a, number` from the parts that are there."""
     part = lambda word, col: F.when(col.isNotNull() & (col != ""), F.concat(F.lit(word + " "), col))
     return F.concat_ws(", ", part("điểm", c["point"]), part("khoản", c["clause"]), part("Điều", c["article"]), c["number"])
+
+
+def occurrences(docs: DataFrame, doc: str, text: str, passages: DataFrame, item: str, passage: str) -> DataFrame:
+    """doc, item, n (matches that don't overlap), first (position from 0): passages that stand in a text as they are.
+
+    Candidates meet on keys, so that documents and passages are never multiplied. A passage may begin and end within a
+    word, so its key is of its inner words, three at most; one without an inner word meets on its first characters, three
+    at most. Only kinds of keys that some passage needs are made of the documents. Null and empty passages and null texts
+    find nothing; repeated passages and documents count once each time with the same result.
+    """
+    words = F.split("phrase", r"\s+")
+    inner = F.greatest(F.lit(0), F.least(F.lit(3), F.size(words) - 2))
+    asked = passages.select(F.col(item).alias("item"), F.col(passage).alias("phrase")).filter("phrase <> ''").distinct()
+    key = F.when(inner > 0, F.array_join(F.slice(words, F.lit(2), inner), " ")).otherwise(F.substring("phrase", 1, 3))
+    kind = F.when(inner > 0, inner).otherwise(-F.least(F.lit(3), F.length("phrase")))
+    asked = asked.select("item", "phrase", kind.cast("int").alias("kind"), F.xxhash64(kind.cast("int"), key).alias("key"))
+    kinds = [r["kind"] for r in asked.select("kind").distinct().collect()]  # six at most
+
+    def keys(kind: int) -> Column:
+        made = F.col("words") if kind > 0 else F.col("own")
+        joined = (lambda i: F.array_join(F.slice("words", i, F.lit(kind)), " ")) if kind > 0 else (lambda i: F.substring(F.col("own"), i, F.lit(-kind)))
+        n = (F.size(made) if kind > 0 else F.length(made)) - (abs(kind) - 1)
+        return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.lit(kind), joined(i))))).otherwise(F.array().cast("array<long>"))
+
+    own = docs.select(F.col(doc).alias("doc"), F.col(text).alias("own")).filter("own is not null").distinct()
+    split = own.select("doc", "own", F.split("own", r"\s+").alias("words"))
+    made = F.concat(*[keys(k) for k in sorted(kinds)]) if kinds else F.array().cast("array<long>")
+    met = split.select("doc", F.explode(made).alias("key")).join(asked, "key").select("doc", "item", "phrase").distinct()
+    found = met.join(own, "doc").filter(F.col("own").contains(F.col("phrase"))).distinct()
+    n = F.floor((F.length("own") - F.length(F.replace("own", F.col("phrase"), F.lit("")))) / F.length("phrase")).cast("int")
+    return found.select(F.col("doc").alias(doc), F.col("item").alias(item), n.alias("n"), F.expr("instr(own, phrase) - 1").cast("long").alias("first"))

@@ -60,10 +60,16 @@ def expand(seeds: DataFrame, edges: DataFrame, score: Column, rounds: int, max_n
     step = both_ways(edges)
     if degrees is not None:
         step = step.join(degrees.withColumnRenamed("node", "target"), "target", "left")
+    # a node's best edges: of them at most `max_nodes` new ones are kept, and a seed can have visited 1 + turns * max_nodes
+    # before; so whatever a hub has beyond that never enters
+    step = step.groupBy("source", "target").agg(F.max(F.round(score, 6)).alias("score"))
+    room = 1 + (rounds + 1) * max_nodes
+    best_of_node = Window.partitionBy("source").orderBy(F.desc("score"), "target")
+    step = store(step.withColumn("n", F.row_number().over(best_of_node)).filter(F.col("n") <= room).drop("n"), "steps")
     visited = store(seeds.select("seed", "node", F.lit(0).alias("round"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("double").alias("score")), "expand")
     for turn in range(1, rounds + 1):
         front = visited.filter(F.col("round") == turn - 1).select("seed", F.col("node").alias("source"))
-        reached = front.join(step, "source").withColumn("score", F.round(score, 6))
+        reached = front.join(step, "source")
         best = reached.groupBy("seed", "target").agg(F.max("score").alias("score"), F.min_by("source", F.struct(-F.col("score"), "source")).alias("parent"))
         fresh = best.join(visited.select("seed", F.col("node").alias("target")), ["seed", "target"], "left_anti")
         order = Window.partitionBy("seed").orderBy(F.desc("score"), "target")
@@ -97,7 +103,7 @@ def breadcrumbs(rows: DataFrame, key: str, parent: str, label: str, depth: int,
     return out.select(key, "breadcrumb", "depth")
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame) -> DataFrame:
     """node, community: label propagation to the smallest label, that is connected components.
 
     A deterministic stand-in for modularity clustering, which Spark doesn't have; the result is a coarser partition.
@@ -105,7 +111,7 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     both = both_ways(edges.select(F.col("source"), F.col("target"), F.lit("").alias("type"))).select("source", "target").distinct()
     both = store(both, "communities")
     labels = store(both.select(F.col("source").alias("node")).distinct().withColumn("community", F.col("node")), "communities")
-    for _ in range(rounds):
+    while True:
         heard = both.join(labels, both["target"] == labels["node"]).groupBy("source").agg(F.min("community").alias("heard"))
         moved = labels.join(heard, labels["node"] == heard["source"], "left").select("node", F.least("community", F.coalesce("heard", "community")).alias("community"))
         # jump to the label of one's label, which halves long chains

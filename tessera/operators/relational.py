@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import store
+
 
 def last_by_key(rows: DataFrame, key: list[str], ordinal: str) -> DataFrame:
     """Of each key the last row's values at the first row's position (as a dictionary filled in order would have them)."""
@@ -57,6 +59,16 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with position, from 1 in the order of key. Ranges of keys are numbered apart and their sizes added up, so that
+    no task holds the whole table; the ranges are stored first, as a second evaluation might draw other bounds."""
+    parts = store(rows.repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "ranges")
+    local = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    return parts.withColumn("__local", local).join(sizes.select("__part", before.alias("__before")), "__part").select(*rows.columns, (F.col("__before") + F.col("__local")).alias("position"))
+
+
 def fingerprint(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """SHA-256 over the sorted row hashes of each group."""
     one = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.sources.scratch import store
 
 
 def postings(units: DataFrame, key: str, text: str) -> DataFrame:
@@ -24,17 +25,19 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(units: DataFrame, unit_key: str, unit_text: str, queries: DataFrame, query_key: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query key, unit key, score, rank: the k best units of each query.
 
-    idf = ln(1 + (N - df + .5) / (df + .5)), weight = tf / (tf + k1 (1 - b + b length / mean length)). Only terms of a
-    query are counted per unit; unit lengths need no exchange. Ties go to smaller unit keys.
+    idf = ln(1 + (N - df + .5) / (df + .5)), weight = tf / (tf + k1 (1 - b + b length / mean length)). Texts are read and
+    split once: the postings of the queries' terms are stored, with one row without a term per unit that bears its length.
+    Ties go to smaller unit keys.
     """
-    asked = query_terms(queries, query_key, query_text)
+    asked = store(query_terms(queries, query_key, query_text), "asked-terms")
     words = units.select(F.col(unit_key), tokens(F.col(unit_text)).alias("words")).withColumn("length", F.size("words"))
-    total = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    wanted = asked.select("term").distinct()
-    found = words.select(unit_key, "length", F.explode("words").alias("term")).join(wanted, "term", "left_semi")
-    found = found.groupBy(unit_key, "length", "term").agg(F.count("*").alias("tf"))
+    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
+    terms = F.explode(F.concat(F.array(F.lit(None).cast("string")), "words"))
+    found = words.select(unit_key, "length", terms.alias("term")).join(wanted, "term", "left").filter("wanted or term is null")
+    found = store(found.groupBy(unit_key, "length", "term").agg(F.count("*").alias("tf")), "postings")
+    n, mean = found.filter("term is null").agg(F.sum("tf"), F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).first()
+    n, found = n or 0, found.filter("term is not null")
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    n, mean = (total.first() or (0, 0.0))[:2]
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(mean or 1.0))))
     scored = found.join(frequency, "term").join(asked, "term").groupBy(query_key, unit_key).agg(F.round(F.sum(idf * weight), 6).alias("score"))
@@ -78,6 +81,15 @@ def dense_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: i
     return top_per(pairs, ["query_id"], [F.desc("score"), F.col("neighbour_id")], k)
 
 
+def recall_precision(got: DataFrame, gold: DataFrame, by: list[str], item: str) -> DataFrame:
+    """by, hits, n_gold, recall, precision for groups that both sides have; rows are distinct on both sides. Counts meet
+    in joins, so that no group is ever gathered in one value."""
+    sizes = gold.groupBy(*by).agg(F.count("*").cast("int").alias("n_gold")).join(got.groupBy(*by).agg(F.count("*").alias("n_got")), by)
+    hits = got.join(gold, [*by, item], "left_semi").groupBy(*by).agg(F.count("*").cast("int").alias("hits"))
+    n = F.coalesce("hits", F.lit(0))
+    return sizes.join(hits, by, "left").select(*by, n.alias("hits"), "n_gold", F.round(n / F.col("n_gold"), 6).alias("recall"), F.round(n / F.col("n_got"), 6).alias("precision"))
+
+
 def knn_edges(neighbours: DataFrame) -> DataFrame:
     """source, target, score: kept only where the smaller key lists the larger one."""
     return neighbours.filter("query_id < neighbour_id").select(F.col("query_id").alias("source"), F.col("neighbour_id").alias("target"), "score")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import evidence as E
+from tessera.operators import relational as L
 from tessera.plans.inline import cte, frame
 from tessera.plans.registry import query
 from tessera.session import table
@@ -15,21 +16,9 @@ from tessera.session import table
 SELECT doc_id, item_id, CAST((length(text) - length(replace(text, phrase, ''))) / length(phrase) AS INTEGER) AS n,
   CASE WHEN (length(text) - length(replace(text, phrase, ''))) / length(phrase) = 1 THEN strpos(text, phrase) - 1 END AS start FROM pairs""")
 def q_evidence_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN18, FN19: passages found in documents, with their position where there is one match.
-
-    Candidates meet on three inner words of the passage, so that documents and passages are never multiplied.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("words", F.split("text", r"\s+"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    words = F.col("words")
-    leads = F.when(F.size(words) >= 7, F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(3)), " ")))).otherwise(F.array(F.xxhash64(F.array_join(words, " "))))
-    # inner words are whole ones even where a passage starts within a word
-    inner = F.slice(F.split("phrase", r"\s+"), 2, 3)
-    asked = items.select("item_id", "phrase", F.xxhash64(F.array_join(inner, " ")).alias("key")).filter(F.size(F.split("phrase", r"\s+")) >= 5)
-    met = docs.select("doc_id", F.explode(F.array_distinct(leads)).alias("key")).join(asked, "key").select("doc_id", "item_id", "phrase").distinct()
-    found = met.join(docs.drop("words"), "doc_id").filter(F.col("text").contains(F.col("phrase")))
-    n = F.floor((F.length("text") - F.length(F.replace("text", F.col("phrase"), F.lit("")))) / F.length("phrase")).cast("int")
-    return found.select("doc_id", "item_id", n.alias("n"), F.when(n == 1, F.expr("instr(text, phrase) - 1").cast("long")).alias("start"))
+    """FN18, FN19: passages found in documents, with their position where there is one match."""
+    found = E.occurrences(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return found.select("doc_id", "item_id", "n", F.when(F.col("n") == 1, F.col("first")).alias("start"))
 
 
 _PHRASE = "id int, text string, phrase string"
@@ -128,9 +117,7 @@ concat_ws(', ', CASE WHEN point <> '' THEN 'điểm ' || point END, CASE WHEN cl
 nullif(concat_ws(' → ', valid_from, valid_to), '') AS law_version FROM t""")
 def q_citation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN31, WN3: numbered claims and citation texts from the parts that are there."""
-    from pyspark.sql import Window
-
-    rows = frame(spark, _CITE, _CITE_ROWS)
+    rows = L.numbered(frame(spark, _CITE, _CITE_ROWS), "id")
     version = F.concat_ws(" → ", "valid_from", "valid_to")
-    claim = F.format_string("claim_%03d", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("id")))
+    claim = F.format_string("claim_%03d", F.col("position"))
     return rows.select("id", claim.alias("claim_id"), E.citation_text({k: F.col(k) for k in ("point", "clause", "article", "number")}).alias("place"), F.when(version != "", version).alias("law_version"))

@@ -61,12 +61,12 @@ def q_catalog_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", F.array_join(Q.catalog_missing({c: F.col(c) for c in rows.columns}, F.col("authoritative")), ",").alias("missing_fields"))
 
 
-@query("""WITH a AS (SELECT doc_id, quality AS q FROM labels WHERE doc_id % 2 = 0), b AS (SELECT source, max(quality) AS q FROM documents JOIN labels USING (doc_id) GROUP BY source)
+@query("""WITH a AS (SELECT doc_id, quality AS q FROM labels), b AS (SELECT source, max(quality) AS q FROM documents JOIN labels USING (doc_id) GROUP BY source)
 SELECT d.doc_id, coalesce(a.q, b.q) AS q FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (source)""")
 def q_catalog_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF10, JN4: a field from the row's own entry, else from its group's."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels")
-    own = labels.filter("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("q"))
+    own = labels.select("doc_id", F.col("quality").alias("q"))
     group = docs.join(labels, "doc_id").groupBy("source").agg(F.max("quality").alias("q"))
     return L.fallback_lookup(docs, [(own, ["doc_id"]), (group, ["source"])], ["q"]).select("doc_id", "q")
 

@@ -191,22 +191,12 @@ SELECT count(*) AS n_left, count(b.p) AS n_right, count(*) FILTER (a.doc_id IS N
 def q_sequence_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SE6: two id sequences compared position by position. Positions come from a rank within id ranges and the ranges'
     sizes, so that no single task numbers the whole table."""
-    left = _positions(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
-    right = _positions(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").withColumnRenamed("doc_id", "other")
+    left = L.numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    right = L.numbered(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").withColumnRenamed("doc_id", "other")
     both = left.join(right, "position", "left")
     return both.agg(F.count("*").alias("n_left"), F.count("other").alias("n_right"), F.count_if(F.col("doc_id").eqNullSafe(F.col("other"))).alias("n_same"))
 
 
-def _positions(rows: DataFrame, key: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    parts = rows.repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    local = parts.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy(key)))
-    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(before, "part").select(key, (F.col("before") + F.col("local")).alias("position"))
-
-
 @query("""SELECT kind, key, n FROM (SELECT 'orders' AS kind, CAST(o_orderkey AS VARCHAR) AS key, count(*) AS n FROM orders GROUP BY 2 UNION ALL
 SELECT 'part', p_brand, count(*) FROM part GROUP BY 2 UNION ALL SELECT 'event', event_type, count(*) FROM events GROUP BY 2) WHERE n > 1""")
 def q_dup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,9 +33,11 @@ def _lexical(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return R.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", k)
 
 
-def _neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def _neighbours(spark: SparkSession, sf_dir: str, k: int, asked: DataFrame | None = None) -> DataFrame:
+    """Nearest vectors of all rows, or of those whose id is in the column item_id of asked."""
     rows = table(spark, sf_dir, "embeddings")
-    return R.dense_top_k(rows, rows, "vec_id", "embedding", k)
+    queries = rows if asked is None else rows.join(asked, F.col("vec_id") == F.col("item_id"), "left_semi")
+    return R.dense_top_k(queries, rows, "vec_id", "embedding", k)
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM lexical WHERE rank <= 10")
@@ -68,8 +70,7 @@ best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id O
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select("item_id").distinct()
-    dense = _neighbours(spark, sf_dir, 30).join(asked, F.col("query_id") == F.col("item_id"), "left_semi")
-    dense = dense.select(F.col("query_id").alias("item_id"), F.col("neighbour_id").alias("doc_id"), "rank")
+    dense = _neighbours(spark, sf_dir, 30, asked).select(F.col("query_id").alias("item_id"), F.col("neighbour_id").alias("doc_id"), "rank")
     return R.reciprocal_rank_fusion([("bm25", _lexical(spark, sf_dir, 30)), ("dense", dense)], ["item_id"], "doc_id", 30)
 
 
@@ -128,10 +129,9 @@ FROM gold g JOIN hit h USING (source)""")
 def q_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG15, SR19, SE3: recall and precision at ten per source, with good labels as the gold set."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    gold = docs.join(labels.filter("quality = 1"), "doc_id").groupBy("source").agg(F.collect_list("doc_id").alias("gold"))
-    got = R.top_per(docs.select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 10).groupBy("source").agg(F.collect_list("doc_id").alias("got"))
-    n = F.size(F.array_intersect("gold", "got"))
-    return gold.join(got, "source").select("source", n.alias("hits"), F.size("gold").alias("n_gold"), F.round(n / F.size("gold"), 6).alias("recall"), F.round(n / F.size("got"), 6).alias("precision"))
+    gold = docs.select("source", "doc_id").join(labels.filter("quality = 1").select("doc_id"), "doc_id")
+    got = R.top_per(docs.select("source", "doc_id", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 10).select("source", "doc_id")
+    return R.recall_precision(got, gold, ["source"], "doc_id")
 
 
 @query("""WITH v AS (SELECT * FROM (VALUES ('flat_bm25', false, false), ('flat_hybrid', true, false), ('adaptive', true, true), ('adaptive_no_hub', true, true)) t(variant, dense, graph)),

@@ -104,3 +104,20 @@ def test_compression_by_brute_force(spark):
     sample = [("a bb\nthe cccc dddd\nbb cccc", "cccc"), ("x" * 701 + "\nshort", "none"), ("", "q"), (None, "q")]
     rows = spark.createDataFrame(sample, "t string, q string").select("t", "q", evidence.compress(F.col("t"), F.col("q"), 20, ("the ",)).alias("k")).collect()
     assert [r["k"] for r in rows] == ["a bb\nthe cccc dddd", "short", "", None]
+
+
+def test_passages_of_any_length(spark):
+    """Brute force over passages of 1 to 6 words in texts of 1 to 7 words, cut within words, too."""
+    import random
+
+    from tessera.operators.evidence import occurrences
+
+    rng = random.Random(2)
+    words = ["a", "ab", "aba", "b ", "c", "cab", "é"]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randint(1, 7))) for i in range(120)}
+    phrases = {i: " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))[rng.randint(0, 1) :] for i in range(80)}
+    texts |= {500: None, 501: "", 502: "c"}
+    phrases |= {600: None, 601: "", 602: "c", 603: " "}
+    docs, items = (spark.createDataFrame(list(x.items()), "id int, body string") for x in (texts, phrases))
+    got = sorted(map(tuple, occurrences(docs.withColumnRenamed("id", "doc_id"), "doc_id", "body", items.withColumnRenamed("id", "item_id"), "item_id", "body").collect()))
+    assert got == sorted((d, i, t.count(p), t.index(p)) for d, t in texts.items() for i, p in phrases.items() if t and p and p in t)
