@@ -16,6 +16,7 @@ from tessera.llm.quality import keep_good
 from tessera.llm.queries import END_ID, SEQUENCE, byte_encoder, piece_columns
 from tessera.llm.simhash import keep_one_of_each
 from tessera.llm.toxicity import keep_clean, train
+from tessera.sources import scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result stored before the next stage reads it."""
-    out = common.documents(spark, sf_dir)
+    """All stages over documents, each result stored before the next stage reads it. What a stage has stored besides is
+    deleted then."""
+    out, others = common.documents(spark, sf_dir), scratch.written()
     for name, stage in STAGES[:-1]:
         out = common.materialize(stage(spark, out, sf_dir), f"stage-{name}")
+        scratch.release(keep=others | {out._scratch})
     return STAGES[-1][1](spark, out, sf_dir)
 
 
