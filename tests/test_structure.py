@@ -7,42 +7,69 @@ from tessera.operators import structure as S
 from tessera.plans import answer, documents, text
 
 
-def kinds(source):
-    return [(p["level"], p["number"]) for p in S.read_provisions(source)]
+def read(spark, source, what=S.provisions):
+    rows = what(spark.createDataFrame([("d", source)], "document_id string, text string"))
+    return rows.orderBy("char_start" if "char_start" in rows.columns else "line_start", "level" if "level" in rows.columns else "line_end").collect()
+
+
+def kinds(spark, source):
+    return [(p["level"], p["number"]) for p in read(spark, source)]
+
+
+def parts(spark, source):
+    return [s["segment_type"] for s in read(spark, source, S.segments)]
 
 
 LAW = documents.LAWS[0][1]
 
 
-def test_law_with_annex_has_five_provisions():
-    assert kinds(LAW) == [("ARTICLE", "35"), ("CLAUSE", "1"), ("CLAUSE", "2"), ("POINT", "a"), ("POINT", "b")]
-    assert [s["segment_type"] for s in S.cut_segments(LAW)] == ["PREAMBLE", "MAIN_BODY", "ANNEX"]
+def test_law_with_annex_has_five_provisions(spark):
+    assert kinds(spark, LAW) == [("ARTICLE", "35"), ("CLAUSE", "1"), ("CLAUSE", "2"), ("POINT", "a"), ("POINT", "b")]
+    assert parts(spark, LAW) == ["PREAMBLE", "MAIN_BODY", "ANNEX"]
 
 
-def test_spans_are_exact():
-    body = next(s["text"] for s in S.cut_segments(LAW) if s["segment_type"] == "MAIN_BODY")
-    for p in S.read_provisions(LAW):
+def test_spans_are_exact(spark):
+    source = LAW.replace("2. Không", "\n   2. Không").replace("Điều 35", "\n  Điều 35")
+    body = next(s["text"] for s in read(spark, source, S.segments) if s["segment_type"] == "MAIN_BODY")
+    rows = read(spark, source)
+    assert len(rows) == 5
+    for p in rows:
         assert body[p["char_start"] : p["char_end"]] == p["text"]
-    assert {p["chapter"] for p in S.read_provisions(LAW)} == {"I"}
+    assert {p["chapter"] for p in rows} == {"I"}
+
+
+def test_quoted_amendment_is_not_parsed(spark):
+    assert kinds(spark, documents.LAWS[1][1]) == [("ARTICLE", "1"), ("CLAUSE", "1"), ("CLAUSE", "2"), ("ARTICLE", "2")]
+    nested = "Điều 1. A\n1. Như sau:\n“1. Một “trong”\n2. Hai\nĐiều 7. B”\n2. Sau\n\"3) plain\n4. in\"\n3. out"
+    assert kinds(spark, nested) == [("ARTICLE", "1"), ("CLAUSE", "1"), ("CLAUSE", "2"), ("CLAUSE", "3")]
 
 
-def test_quoted_amendment_is_not_parsed():
-    assert kinds(documents.LAWS[1][1]) == [("ARTICLE", "1"), ("CLAUSE", "1"), ("CLAUSE", "2"), ("ARTICLE", "2")]
+def test_attached_regulation_needs_a_signature_before(spark):
+    assert parts(spark, documents.LAWS[1][1]) == ["MAIN_BODY", "SIGNATURE", "ATTACHED_REGULATION"]
+    assert parts(spark, "Điều 1. A\nQUY CHẾ") == ["MAIN_BODY"]
+    assert parts(spark, "Điều 1. A\nNơi nhận: x\nTM. y\nQUY CHẾ\nQUY ĐỊNH\nMẫu số 1\nQUY ĐỊNH") == ["MAIN_BODY", "SIGNATURE", "ATTACHED_REGULATION", "FORM"]
 
 
-def test_attached_regulation_needs_a_signature_before():
-    assert [s["segment_type"] for s in S.cut_segments(documents.LAWS[1][1])] == ["MAIN_BODY", "SIGNATURE", "ATTACHED_REGULATION"]
-    assert [s["segment_type"] for s in S.cut_segments("Điều 1. A\nQUY CHẾ")] == ["MAIN_BODY"]
+def test_damaged_heading_and_prose(spark):
+    lines = ["Đỉều 1l. Tên", "Dieu 2: x", "Điêu O7. y", "Khoản 3. z", "- a) m", "## Điều 4. t"]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select(S.repaired(F.col("line"))).collect()
+    assert [r[0] for r in got] == ["Điều 11. Tên", "Điều 2: x", "Điều 07. y", "Khoản 3. z", "a) m", "Điều 4. t"]
+    assert kinds(spark, "Điều 1. A\nĐiều này nói về điều 35 của luật")[0] == ("ARTICLE", "1")
+    assert len(kinds(spark, "Điều 1. A\nPhụ lục kèm theo là bảng")) == 1
 
 
-def test_damaged_heading_and_prose():
-    assert S.repaired("Đỉều 1l. Tên") == "Điều 11. Tên"
-    assert kinds("Điều 1. A\nĐiều này nói về điều 35 của luật")[0] == ("ARTICLE", "1")
-    assert len(kinds("Điều 1. A\nPhụ lục kèm theo là bảng")) == 1
+def test_glued_upper_case_title(spark):
+    assert kinds(spark, "CHƯƠNG QUY ĐỊNH Điều 1. Phạm vi\n1. Một") == [("ARTICLE", "1"), ("CLAUSE", "1")]
 
 
-def test_glued_upper_case_title():
-    assert kinds("CHƯƠNG QUY ĐỊNH Điều 1. Phạm vi\n1. Một") == [("ARTICLE", "1"), ("CLAUSE", "1")]
+def test_levels_close_and_count(spark):
+    source = "Điều 1. A\n1. b\na) c\nb) d\nmore\n2. e\na) f\nChương II\n1. lost\nMục 3\nĐiều 2. G\na) text\n1. h"
+    rows = read(spark, source)
+    assert [(r["level"], r["canonical_path"].split("/", 2)[2], r["position"], r["chapter"], r["section"]) for r in rows] == [
+        ("ARTICLE", "1", 1, "", ""), ("CLAUSE", "1/1", 1, "", ""), ("POINT", "1/1/a", 1, "", ""), ("POINT", "1/1/b", 2, "", ""), ("CLAUSE", "1/2", 2, "", ""), ("POINT", "1/2/a", 1, "", ""),
+        ("ARTICLE", "2", 2, "II", "3"), ("CLAUSE", "2/1", 1, "II", "3"),
+    ]
+    assert [r["text"] for r in rows][3] == "b) d\nmore" and rows[6]["text"] == "Điều 2. G\na) text" and rows[6]["heading"] == "G"
 
 
 def test_quarantine(spark):
