@@ -79,7 +79,7 @@ def registry(docs: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     legal = c("source_group").isin("LEGAL_DOCUMENT", "CONSOLIDATED")
     original = legal & (c("document_type_hint") != "CONSOLIDATED")
     out = docs.withColumn("document_id", stable_id("doc", c("sha256"), c("relative_path")))
-    out = out.withColumn("document_number", F.when(original, G.number_from_file(c("filename"))))
+    out = out.withColumn("document_number", F.when(original, G.document_number(c("filename"), c("text"))))
     out = out.withColumn("case_number", F.when(c("source_group") == "JUDICIAL", case_number(c("filename"), c("text"))))
     out = out.withColumn("effective_from", F.when(original, G.effective_date(c("text"))))
     out = out.withColumn("title", title_of(c("text"), c("filename")))

@@ -79,3 +79,38 @@ def test_answers(spark):
     assert (direct["route"], direct["state"], direct["citations"]) == ("DIRECT", "SUFFICIENT", ["prov_1"])
     assert got["Sa thải có đúng luật không?"]["state"] == "NEED_MORE_FACTS"
     assert got["zzz"]["state"] == "INSUFFICIENT_EVIDENCE"
+
+
+def test_document_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import legal
+
+    rows = [
+        ("Luat 45-2019-QH14.pdf", "", "45/2019/QH14"), ("145_2020_NĐ-CP (1).docx", "", "145/2020/NĐ-CP"), ("10-2020-TT-BLDTBXH.pdf", "", "10/2020/TT-BLĐTBXH"),
+        ("09_2020_TT_BNV.pdf", "", "09/2020/TT-BNV"), ("06-2018-NQ-HDTP.html", "", "06/2018/NQ-HĐTP"), ("1003-2020-NQ-UBTVQH14.pdf", "", "1003/2020/NQ-UBTVQH14"), ("10-2014-UBTVQH13.txt", "", "10/2014/UBTVQH13"),
+        ("595-QĐ-BHXH.pdf", "", "595/QĐ-BHXH"), ("07_VBHN-VPQH.pdf", "", "07/VBHN-VPQH"), ("12345-2019-QH14.pdf", "", None), ("45-2019-QH14x.pdf", "", None), ("45-QH14.pdf", "", None),
+        ("luat.pdf", "QUỐC HỘI\n Luật số: 58/2014/qh13\nSố: 1/2020/NĐ-CP", "58/2014/QH13"), ("nd.pdf", "theo Luật 45/2019/QH14\nSố: 12/2022/ND-CP", "12/2022/NĐ-CP"), ("none.pdf", "Căn cứ Luật 45/2019/QH14", None), ("null.pdf", None, None),
+    ]
+    df = spark.createDataFrame(rows, "name string, text string, want string")
+    got = df.select("name", "want", legal.document_number(F.col("name"), F.col("text")).alias("got")).collect()
+    assert {r["name"]: r["got"] for r in got} == {r["name"]: r["want"] for r in got}
+
+
+def test_date_of_effect_is_the_instruments_own(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import legal
+
+    rows = [
+        ("Điều 9\n1. Luật này có hiệu lực thi hành từ ngày 01 tháng 01 năm 2021.\n2. Luật số 10 hết, có hiệu lực từ ngày 1/2/2022.", "2021-01-01"),
+        ("Theo nghị định khác có hiệu lực từ ngày 1/1/2020.", None),
+        ("Xong. Nghị định này có biệu lực kể từ ngày 3O/11/2025", None),
+        ("Nghị định này có hiệu lực từ ngày 0l/11/2025; Thông tư này có hiệu lực từ ngày 1/11/2025.", "2025-11-01"),
+        ("Luật này " + "x " * 300 + "có hiệu lực từ ngày 1/1/2020", None),
+        ("Luật này có hiệu lực từ ngày 1/7/2024. Nghị định này có hiệu lực kể từ ngày 15/8/2024.", None),
+        (None, None), ("", None),
+    ]
+    df = spark.createDataFrame(rows, "text string, want string")
+    got = df.select("text", "want", legal.effective_date(F.col("text")).cast("string").alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
