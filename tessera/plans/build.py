@@ -176,7 +176,7 @@ def q_resolution_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'lines_have_orders', count(*) FILTER (o_orderkey IS NULL) FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'unique_documents', count(*) - count(DISTINCT doc_id) FROM documents
 UNION ALL SELECT 'labels_binary', count(*) FILTER (toxic NOT IN (0, 1) OR quality NOT IN (0, 1)) FROM labels) SELECT gate, observed, CAST(0 AS BIGINT) AS expected, observed = 0 AS passed FROM o""")
 def q_integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RV9, AG18, QG13: observed against expected, gate by gate."""
+    """AG18: observed against expected, gate by gate."""
     t = lambda n: table(spark, sf_dir, n)
     orphans = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
     lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
@@ -198,7 +198,7 @@ def q_home_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT d.doc_id, b.item_id, substr(d.text, CAST(strpos(d.text, b.text) AS BIGINT), length(b.text)) = b.text AS exact, CAST(CEIL(strpos(d.text, b.text) / 1000.0) AS INTEGER) AS page FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def q_evidence_reverify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QG3: stored spans cut out again, with the page they stand on (pages of 1000 characters)."""
+    """Located passages cut out again, with the page they stand on (pages of 1000 characters)."""
     from tessera.plans.answer import q_evidence_locate
 
     spans = q_evidence_locate(spark, sf_dir).select("doc_id", "item_id")
@@ -209,7 +209,7 @@ def q_evidence_reverify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT count(*) FILTER (l.doc_id IS NULL) AS units_without_node, (SELECT count(*) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)) AS nodes_without_unit, count(*) FILTER (l.doc_id IS NULL) > 0 AS provisional FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def q_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QG9, SC16: whether stored tables belong together."""
+    """QG9: whether stored tables belong together."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
     a = docs.join(labels, "doc_id", "left_anti").agg(F.count("*").alias("units_without_node"))
     b = labels.join(docs, "doc_id", "left_anti").agg(F.count("*").alias("nodes_without_unit"))

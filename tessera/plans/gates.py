@@ -19,7 +19,7 @@ UNION ALL SELECT 'ERROR', 'LABEL_WITHOUT_DOCUMENT', CAST(doc_id AS VARCHAR), NUL
 UNION ALL SELECT 'WARN', 'LENGTH_MISMATCH', CAST(doc_id AS VARCHAR), CAST(length(text) AS VARCHAR) FROM documents WHERE n_chars <> length(text)
 UNION ALL SELECT 'INFO', 'UNLABELLED', lang, CAST(count(*) AS VARCHAR) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE d.doc_id = l.doc_id) GROUP BY lang""")
 def q_build_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QG1, QG2, QG6: issues of a build as one table."""
+    """QG6: issues of the driver's tables as one table."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     true = F.lit(True)
     dups = docs.groupBy(F.sha1("text").alias("sha")).agg(F.count("*").alias("n"))
@@ -38,7 +38,7 @@ def q_build_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT NOT bool_or(length(trim(text)) < 20) AS passed, count(*) FILTER (length(trim(text)) < 20) AS n_error, CAST(0 AS BIGINT) AS n_warn, CAST(0 AS BIGINT) AS n_info FROM documents""")
 def q_readiness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """QG4, QG7, AG18: whether every check holds."""
+    """AG18: whether every check holds."""
     docs = table(spark, sf_dir, "documents")
     return Q.gate(Q.issue(docs, F.length(F.trim("text")) < 20, "ERROR", "SHORT_TEXT", F.col("doc_id")), ["ERROR"])
 

@@ -222,7 +222,7 @@ def q_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH j AS (SELECT event_type, ts, event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
 SELECT event_type, arg_max(k, struct_pack(ts := ts, e := event_id)) AS latest_k, max(event_id) FILTER (k = 1) AS latest_one FROM j GROUP BY event_type""")
 def q_json_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC17, FN25: the latest payload by (time, id) of each key."""
+    """FN25: the latest payload by (time, id) of each key."""
     rows = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k long")["k"])
     return rows.groupBy("event_type").agg(F.max_by("k", F.struct("ts", "event_id")).alias("latest_k"), F.max(F.when(F.col("k") == 1, F.col("event_id"))).alias("latest_one"))
 
