@@ -114,3 +114,37 @@ def test_date_of_effect_is_the_instruments_own(spark):
     df = spark.createDataFrame(rows, "text string, want string")
     got = df.select("text", "want", legal.effective_date(F.col("text")).cast("string").alias("got")).collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_structured_files(spark, tmp_path):
+    import sqlite3
+    import zipfile
+
+    from tessera.sources import archives
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda *runs: "<w:p>" + "".join(f"<w:r>{r}</w:r>" for r in runs) + "</w:p>"
+    t = lambda x: f"<w:t>{x}</w:t>"
+    cell = lambda x, props="": f"<w:tc><w:tcPr>{props}</w:tcPr>{p(t(x))}</w:tc>"
+    body = p(t("Head"), t("er")) + p(t("  ")) + "<w:tbl><w:tr>" + cell("a", '<w:vMerge w:val="restart"/>') + cell(" b ") + "</w:tr><w:tr>" + cell("", "<w:vMerge/>") + cell("c") + "</w:tr><w:tr>" + cell("d", '<w:gridSpan w:val="2"/>') + "</w:tr></w:tbl>" + p(t("x"), "<w:tab/>", t("y"), "<w:br/>", t("z"))
+    (tmp_path / "docs").mkdir()
+    with zipfile.ZipFile(tmp_path / "docs/one.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+    (tmp_path / "docs/bad.docx").write_bytes(b"not a zip")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in archives.docx_texts(spark, str(tmp_path / "docs")).collect()}
+    assert got["one.docx"]["text"] == "Header\na | b\na | c\nd | d\nx\ty\nz" and got["one.docx"]["error"] is None
+    assert got["bad.docx"]["text"] is None and "BadZipFile" in got["bad.docx"]["error"]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("in/x.txt", "text")
+        z.writestr("../out.txt", "no")
+        z.writestr("dir/", "")
+    rows = {r["member"]: (r["size_bytes"], r["content"] and bytes(r["content"])) for r in archives.zip_members(spark, str(tmp_path / "a.zip")).collect()}
+    assert rows == {"in/x.txt": (4, b"text"), "../out.txt": (2, None)}
+    db = sqlite3.connect(tmp_path / "s.db")
+    db.execute('CREATE TABLE "the rows" (id INTEGER, name TEXT, score REAL)')
+    db.executemany('INSERT INTO "the rows" VALUES (?, ?, ?)', [(1, "a", 0.5), (2, None, None)])
+    db.commit()
+    db.close()
+    rows = [tuple(r)[1:] for r in archives.sqlite_rows(spark, str(tmp_path / "s.db"), "the rows", "id long, name string, score double").collect()]
+    assert rows == [(1, "a", 0.5, None), (2, None, None, None)]
+    assert "no such table" in archives.sqlite_rows(spark, str(tmp_path / "s.db"), "none", "id long").first()["error"]
