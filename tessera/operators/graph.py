@@ -79,28 +79,38 @@ def expand(seeds: DataFrame, edges: DataFrame, score: Column, rounds: int, max_n
     return visited
 
 
-def descendants(rows: DataFrame, key: str, parent: str, roots: DataFrame, depth: int) -> DataFrame:
-    """Keys of roots and of everything below them, through at most `depth` levels."""
-    found = roots.select(F.col(key)).distinct()
+def descendants(rows: DataFrame, key: str, parent: str, roots: DataFrame) -> DataFrame:
+    """Keys of roots and of everything below them, however deep; a cycle is walked once."""
+    links = rows.select(key, parent).filter(F.col(key).isNotNull() & F.col(parent).isNotNull())
+    found = store(roots.select(key).distinct(), "descendants")
     level = found
-    for _ in range(depth):
-        level = rows.join(level.select(F.col(key).alias(parent)), parent, "left_semi").select(key).distinct()
-        found = found.unionByName(level)
-    return found.distinct()
+    while not level.isEmpty():
+        below = links.join(level.select(F.col(key).alias(parent)), parent, "left_semi").select(key).distinct()
+        level = store(below.join(found, key, "left_anti"), "descendants")
+        found = store(found.unionByName(level), "descendants")
+    return found
 
 
-def breadcrumbs(rows: DataFrame, key: str, parent: str, label: str, depth: int, separator: str = " > ") -> DataFrame:
-    """key, breadcrumb, depth: labels from the root down, through at most `depth` ancestors."""
+def breadcrumbs(rows: DataFrame, key: str, parent: str, label: str, separator: str = " > ") -> DataFrame:
+    """key, breadcrumb, depth: labels from the root down. Raises where ancestors form a cycle."""
     out = rows.select(F.col(key), F.col(label).alias("breadcrumb"), F.col(parent).alias("up"), F.lit(0).alias("depth"))
     above = rows.select(F.col(key).alias("up"), F.col(label).alias("up_label"), F.col(parent).alias("up_up"))
-    for _ in range(depth):
-        out = out.join(above, "up", "left").select(
+    done, open_, seen = out.filter("up is null"), out.filter("up is not null"), -1
+    while True:
+        left = open_.count()
+        if not left:
+            return done.select(key, "breadcrumb", "depth")
+        if left == seen and open_.filter(F.col("up") == F.col(key)).count():
+            raise ValueError(f"ancestors of {left} rows form a cycle")
+        seen = left
+        step = open_.join(above, "up", "left").select(
             key,
             F.when(F.col("up_label").isNotNull(), F.concat_ws(separator, "up_label", "breadcrumb")).otherwise(F.col("breadcrumb")).alias("breadcrumb"),
             F.col("up_up").alias("up"),
             (F.col("depth") + F.col("up_label").isNotNull().cast("int")).alias("depth"),
         )
-    return out.select(key, "breadcrumb", "depth")
+        step = store(step, "breadcrumbs")
+        done, open_ = done.unionByName(step.filter("up is null")), step.filter("up is not null")
 
 
 def communities(edges: DataFrame) -> DataFrame:

@@ -47,3 +47,19 @@ def test_units(spark):
 def test_allow_list(spark):
     with pytest.raises(ValueError):
         corpus.checked_columns(spark.range(1), {"other"})
+
+
+def test_trees_of_any_depth(spark):
+    import pytest
+
+    from tessera.operators import graph
+
+    rows = spark.createDataFrame([(str(i), str(i - 1) if i else None, f"n{i}") for i in range(12)], "id string, parent string, label string")
+    got = {r["id"]: (r["breadcrumb"], r["depth"]) for r in graph.breadcrumbs(rows, "id", "parent", "label").collect()}
+    assert got["0"] == ("n0", 0) and got["11"] == (" > ".join(f"n{i}" for i in range(12)), 11)
+    below = graph.descendants(rows, "id", "parent", rows.filter("id = '7'"))
+    assert sorted(int(r["id"]) for r in below.collect()) == [7, 8, 9, 10, 11]
+    ring = spark.createDataFrame([("a", "b", "A"), ("b", "a", "B"), ("c", "a", "C")], "id string, parent string, label string")
+    assert graph.descendants(ring, "id", "parent", ring.filter("id = 'a'")).count() == 3
+    with pytest.raises(ValueError):
+        graph.breadcrumbs(ring, "id", "parent", "label")
