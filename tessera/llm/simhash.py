@@ -1,10 +1,11 @@
 """SimHash fingerprints and their near copies by anchor-point covering.
 
-A pair of fingerprints that differs in at most `threshold` bits differs in at most one bit of some block, where there
-are threshold // 2 + 1 blocks. In each block the anchors are a covering code of radius 1: a perfect Hamming code on the
-first 15 (7, 3) bits and every value of the rest. Each fingerprint has its nearest anchor as home and visits all
-anchors within covering radius plus one, so that a pair meets at the home of either; fingerprints are compared there
-over all 64 bits. Every anchor reports a spanning forest of the links it finds, not all pairs.
+Fingerprints are cut into blocks. A pair that differs in at most `threshold` bits differs in at most one bit of some union
+of blocks, if blocks and unions are chosen for that. In each union the anchors are a covering code of radius 1: a perfect
+Hamming code on the first 15 (7, 3) bits and every value of the rest. Each fingerprint has its nearest anchor as home and
+visits all anchors within covering radius plus one, so that a pair meets at the home of either; fingerprints are compared
+there over all 64 bits. Larger unions have more anchors and fewer fingerprints at each, but send each fingerprint to more
+of them: the number of fingerprints decides. Every anchor reports a spanning forest of the links it finds, not all pairs.
 """
 
 from __future__ import annotations
@@ -45,15 +46,37 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+#: What it costs to send a fingerprint to one more anchor, in comparisons.
+SEND = 200
+
+
+def _worst(threshold: int, blocks: int, joined: int, most: int | None = None) -> int:
+    """The most differing bits that every union of `joined` of the blocks can have, over all ways to place them."""
+    best = 0
+
+    def place(left: int, most: int, held: list[int]) -> None:
+        nonlocal best
+        if len(held) == blocks:
+            best = max(best, sum(held[-joined:]) if not left else 0)  # held falls: the last ones are the least
+            return
+        for n in range(min(left, most), -1, -1):
+            place(left - n, n, [*held, n])
+
+    place(threshold, threshold, [])
+    return best
+
+
 class AnchorCode:
-    """The covering codes of all blocks, as vectorised look-ups."""
-
-    def __init__(self, threshold: int, bits: int = 64):
-        self.blocks = threshold // 2 + 1
-        base, more = divmod(bits, self.blocks)
-        self.widths = [base + (i >= self.blocks - more) for i in range(self.blocks)]
-        self.starts = [0, *accumulate(self.widths)][:-1]
-        self.checks = min(4, (min(self.widths) + 1).bit_length() - 1)
+    """The covering codes of all unions of `joined` of `blocks` blocks, as vectorised look-ups."""
+
+    def __init__(self, threshold: int, bits: int = 64, blocks: int | None = None, joined: int = 1):
+        blocks = blocks or threshold // 2 + 1
+        assert _worst(threshold, blocks, joined) <= 1
+        base, more = divmod(bits, blocks)
+        widths = [base + (i >= blocks - more) for i in range(blocks)]
+        starts = [0, *accumulate(widths)][:-1]
+        self.unions = [[(starts[i], widths[i]) for i in which] for which in combinations(range(blocks), joined)]
+        self.checks = min(4, (min(widths) * joined + 1).bit_length() - 1)
         self.n = (1 << self.checks) - 1  # length of the Hamming code
         values = np.arange(1 << self.n, dtype=np.uint32)
         self.syndrome = np.zeros(1 << self.n, np.uint8)
@@ -66,12 +89,21 @@ class AnchorCode:
             pairs[(i + 1) ^ (j + 1)].append(1 << i | 1 << j)
         self.pairs = np.array(pairs[1:], np.uint64)  # by syndrome - 1: the changes of two bits that lead to a code word
 
+    def cost(self, n: int) -> float:
+        """Of each of n fingerprints: anchors it is sent to, and fingerprints that chance brings there to its homes."""
+        sizes = [sum(w for _, w in union) for union in self.unions]
+        sent = [1 + (size - self.n) + self.n // 2 for size in sizes]
+        return SEND * sum(sent) + sum(k * n / 2.0 ** (size - self.checks) for k, size in zip(sent, sizes))
+
     def homes_and_visits(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """anchor key (block number above 48 bits of anchor), fingerprint, whether it is the home."""
+        """anchor key (union's number above 48 bits of anchor), fingerprint, whether it is the home."""
         keys, who, home = [], [], []
         low_mask = np.uint64((1 << self.n) - 1)
-        for block, (start, width) in enumerate(zip(self.starts, self.widths)):
-            value = prints >> np.uint64(start) & np.uint64((1 << width) - 1)
+        for number, union in enumerate(self.unions):
+            value, width = np.zeros_like(prints), 0
+            for start, size in union:
+                value |= (prints >> np.uint64(start) & np.uint64((1 << size) - 1)) << np.uint64(width)
+                width += size
             syndrome = self.syndrome[value & low_mask]
             own = value ^ self.nearest[syndrome]
             made = [(own, prints, True)]
@@ -80,12 +112,19 @@ class AnchorCode:
             changed = value[off][:, None] ^ self.pairs[syndrome[off] - 1]
             made.append((changed.ravel(), np.repeat(prints[off], changed.shape[1]), False))
             for anchor, fp, is_home in made:
-                keys.append(anchor | np.uint64(block << 48))
+                keys.append(anchor | np.uint64(number << 48))
                 who.append(fp)
                 home.append(np.full(len(fp), is_home))
         return np.concatenate(keys), np.concatenate(who), np.concatenate(home)
 
 
+def code_for(n: int, threshold: int) -> AnchorCode:
+    """The cheapest code for n fingerprints; all of them find the same links."""
+    shapes = [(m, u) for m in range(1, threshold + 4) for u in range(1, m + 1) if 12 <= 64 // m * u <= 40 and _worst(threshold, m, u) <= 1]
+    shapes = shapes or [(threshold // 2 + 1, 1)]
+    return min((AnchorCode(threshold, blocks=m, joined=u) for m, u in shapes), key=lambda code: code.cost(n))
+
+
 def _small_links(starts, sizes, prints, home, threshold) -> tuple[np.ndarray, np.ndarray]:
     """Links of many small groups at once: every home against its group."""
     group = np.repeat(np.arange(len(starts)), sizes)
@@ -146,10 +185,10 @@ def fingerprints(df: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_c
 
 
 def fingerprint_links(prints: DataFrame, threshold: int = 4) -> DataFrame:
-    """a, b: links that connect all fingerprints (column fp, distinct) at up to `threshold` differing bits."""
+    """a, b: links that connect all fingerprints (column fp, distinct, stored) at up to `threshold` differing bits."""
+    code = code_for(prints.count(), threshold)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = AnchorCode(threshold)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 keys, who, home = code.homes_and_visits(batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).view(np.uint64))
@@ -234,8 +273,8 @@ def keep_one_of_each(df: DataFrame, threshold: int = 4, shingle: int = 4, id_col
     links = fingerprint_links(first, threshold)
     if alike:
         links = common.materialize(links, "near-links")
-        one = marked.groupBy("__s_fp", "__s_set").agg(F.min("__s_row").alias("__s_row"))
-        sketches = marked.select("__s_row", "__s_n", "__s_keys", "__s_bits").join(one, "__s_row").select(F.col("__s_row").alias("row"), F.col("__s_fp").alias("grp"), F.col("__s_n").alias("n"), F.col("__s_keys").alias("keys"), F.col("__s_bits").alias("bits"))
+        own = F.min(F.struct(F.col("__s_row").alias("row"), F.col("__s_n").alias("n"), F.col("__s_keys").alias("keys"), F.col("__s_bits").alias("bits"))).alias("s")
+        sketches = marked.groupBy("__s_fp", "__s_set").agg(own).select("s.row", F.col("__s_fp").alias("grp"), "s.n", "s.keys", "s.bits")
         links = similar_links(sketches, marked.select(F.col("__s_row").alias("row"), common.column(text_col).alias("text")), links, alike, alike_shingle)
     roots = _roots(links)
     winners = first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("__s_row"))

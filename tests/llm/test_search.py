@@ -10,7 +10,7 @@ import numpy as np
 from tessera.llm import hmm, queries
 from tessera.llm.components import connected_components
 from tessera.llm.exact_search import best_of_block, choose_pivots, exact_top_k
-from tessera.llm.simhash import AnchorCode, _large_links, fingerprint, fingerprint_links, keep_one_of_each, near_duplicates
+from tessera.llm.simhash import AnchorCode, _large_links, code_for, fingerprint, fingerprint_links, keep_one_of_each, near_duplicates
 
 SF = "/root/testdata/sf0.01"
 
@@ -92,9 +92,10 @@ def near_values(rng, n_groups, per_group):
 
 def test_every_link_meets_at_an_anchor():
     rng = random.Random(9)
-    for threshold in (2, 3, 4, 5, 6):
-        code = AnchorCode(threshold)
-        for _ in range(300):
+    codes = [(t, AnchorCode(t)) for t in (2, 3, 4, 5, 6)] + [(t, code_for(n, t)) for t in (1, 3, 4, 5) for n in (1000, 10**8, 10**11)]
+    assert len({len(code.unions) for t, code in codes if t == 4}) > 1
+    for threshold, code in codes:
+        for _ in range(200):
             a = rng.getrandbits(64)
             b = a
             for bit in rng.sample(range(64), rng.randint(0, threshold)):
@@ -104,6 +105,11 @@ def test_every_link_meets_at_an_anchor():
             assert homes & {int(k) for k, w in zip(keys, who) if int(w) == b}
 
 
+def test_anchors_grow_with_the_fingerprints():
+    alone = [code_for(n, 4).cost(n) for n in (10**5, 10**9, 10**10)]
+    assert alone[2] < 30 * alone[0] and AnchorCode(4).cost(10**10) > 100 * alone[0]
+
+
 def test_links_connect_what_brute_force_connects(spark):
     for threshold, groups, size in ((4, 60, 12), (3, 20, 20), (4, 1, 400)):
         values = near_values(random.Random(threshold + size), groups, size)
@@ -181,6 +187,31 @@ def test_forward_and_counts_by_enumeration():
         assert np.allclose(want, got)
 
 
+def test_long_texts_are_counted_whole(monkeypatch):
+    """In pieces or at once, alone or with others: the same counts."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    share = lambda *s: (lambda x: x / x.sum(axis=-1, keepdims=True))(rng.random(s))
+    model = hmm.Hmm(share(3), share(3, 3), share(3, 5).T)
+    texts = [rng.integers(0, 5, n).astype("<u2") for n in (1, 2, 7, 50, 51, 100, 101, 333)]
+    want = [sum(x) for x in zip(*[hmm.expected_counts(model, [t]) for t in texts])]
+    rows = pa.record_batch([pa.array(range(len(texts))), pa.array([t.tobytes() for t in texts], pa.binary())], ["row", "classes"])
+    for size, buffer in ((50, 10), (50, 10**6), (400, 200), (10**6, 10**6)):
+        monkeypatch.setattr(hmm, "BATCH_TOKENS", size)
+        monkeypatch.setattr(hmm, "BUFFER_TOKENS", buffer)
+        assert all(np.allclose(a, b) for a, b in zip(want, hmm.counts_of(model, iter([rows]))))
+    assert abs(want[2].sum() - sum(map(len, texts))) < 1e-6
+
+
+def test_latent_states_help_on_held_out_texts(spark, monkeypatch):
+    held = lambda: sum(r["score"] for r in queries.op10_lm_scoring(spark, SF).filter("held_out").collect())
+    several = held()
+    monkeypatch.setattr(hmm, "first_model", lambda total, states=1, plain=hmm.first_model: plain(total, 1))
+    monkeypatch.setattr(hmm, "STATES", 1)
+    assert several > 0.95 * held()
+
+
 def test_long_texts_do_not_underflow():
     model = hmm.first_model(np.ones(hmm.CLASSES))
     text = np.arange(50_000) % hmm.CLASSES
@@ -232,6 +263,21 @@ def test_every_round_takes_every_text(spark, monkeypatch):
         scored.append({r["doc_id"]: r["score"] for r in hmm.score_texts(df).collect()})
     assert all(abs(scored[0][i] - scored[1][i]) < 1e-6 for i, _ in rows)
     seen, plain = [], hmm._reestimate
-    monkeypatch.setattr(hmm, "_reestimate", lambda m, sums, total: seen.append(sum(r["n"] for r in sums if r["kind"] == 0)) or plain(m, sums, total))
+    monkeypatch.setattr(hmm, "_reestimate", lambda m, sums, total: seen.append(sum(sum(r["n"]) for r in sums if r["kind"] == 0)) or plain(m, sums, total))
     hmm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(seen) > 1 and all(abs(n - sum(not hmm.held_out(i) for i, _ in rows)) < 1e-6 for n in seen)
+
+
+def test_components_over_many_files(spark, monkeypatch):
+    """Several tasks, rounds and dealt-out hubs give what one task gives."""
+    from tessera.llm import components as module
+
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001 + i) for i in range(300)] + [(2000 + rng.randrange(400), 2000 + rng.randrange(400)) for _ in range(250)]
+    rng.shuffle(links)
+    df = spark.createDataFrame(links + [(5, 5), (None, 1)], "a long, b long")
+    once = sorted(map(tuple, module.connected_components(df, "a", "b").collect()))
+    assert {r for n, r in once if n < 2000} == {0, 1000} and len({n for n, _ in once}) == len(once)
+    monkeypatch.setattr(module, "LINKS_PER_FILE", 100)
+    monkeypatch.setattr(module, "HUB", 20)
+    assert sorted(map(tuple, module.connected_components(df.repartition(3), "a", "b").collect())) == once
