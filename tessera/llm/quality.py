@@ -1,9 +1,11 @@
 """Quality by weak supervision, in DataFrame operations only.
 
-Rules vote good (1), bad (-1) or abstain (0), which says nothing. Documents with the same votes are alike, so expectation-maximisation runs
-over the table of vote patterns (at most 3 to the number of rules rows, whatever the corpus): it estimates the share of
-good documents and each rule's chance of either vote among good and among bad documents. A document stays if its
-posterior probability of being good reaches the threshold.
+Rules vote good (1), bad (-1) or abstain (0), which says nothing. They are rules of thumb: many a good document draws a bad
+vote of one of them. Documents with the same votes are alike, so expectation-maximisation runs over the table of vote
+patterns (at most 3 to the number of rules rows, whatever the corpus): it estimates the share of good documents and each
+rule's chance of a good vote among good and among bad documents. It starts from the share of good votes that a document
+gets, which also says which class is the good one. A document stays if its posterior probability of being good reaches
+the threshold.
 """
 
 from __future__ import annotations
@@ -16,15 +18,14 @@ from pyspark.sql import functions as F
 from . import common
 from .common import WORD_CLASS
 
-RULES = ("length", "word_size", "symbols", "dup_lines", "repeats", "capitals", "shouting", "variety")
-#: Rules vote bad only where they are nearly sure: the chance that a good document draws a given rule's bad vote is held
-#: at or below this. Without the bound, the two classes may settle on "has the commonest defect" and "has not".
-FALSE_ALARM = 0.002
-#: A bad document usually has one defect and passes the other rules, so one good vote raises the odds of being good by
-#: this factor at most. Without it, rules that fail together on one kind of bad document would outvote the rest.
-GOOD_VOTE = 1.25
-#: The share of good documents is held within these bounds; below a half the two classes could change their names.
-PRIOR = (0.5, 0.99)
+RULES = ("length", "word_size", "symbols", "plain_words", "sentences", "dup_lines", "repeats", "capitals", "shouting", "variety")
+#: The prior weighs as much as so many documents: for the share of good ones, and for a rule's good votes in either class.
+PSEUDO_DOCUMENTS = 5
+PRIOR_GOOD, PRIOR_VOTES = 0.8, {"good": 0.95, "bad": 0.5}
+_EDGE, _NOT_EDGE = r"(?<![^\x20\x09-\x0D])", r"(?![^\x20\x09-\x0D])"
+#: A word of letters, with quotes or brackets before it and punctuation behind it.
+_PLAIN = _EDGE + r"[\"'(«„“]*+\p{L}++(?:['’-]\p{L}++)*+[.,;:!?)\"'»”]*+" + _NOT_EDGE
+_SENTENCE_END = r"[.!?。！？]" + _NOT_EDGE
 _T = "__q_text"
 
 
@@ -65,6 +66,8 @@ def with_features(df: DataFrame, text_col: str = "text") -> DataFrame:
             "__q_n_upper": (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).cast("long"),
             "__q_n_exclaim": (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long"),
             "__q_n_distinct": F.size(F.array_distinct(words)).cast("long"),
+            "__q_n_plain": F.regexp_count(text, F.lit(_PLAIN)).cast("long"),
+            "__q_n_ends": F.regexp_count(text, F.lit(_SENTENCE_END)).cast("long"),
         }
     )
     return out.drop(_T, "__q_words", "__q_lines", "__q_hashes")
@@ -82,15 +85,19 @@ def votes() -> dict[str, Column]:
     def rule(bad: Column, good: Column) -> Column:
         return F.when(bad, -1).when(good, 1).otherwise(0).cast("tinyint")
 
+    symbols, plain, ends, upper = (F.col(f"__q_n_{c}") for c in ("symbols", "plain", "ends", "upper"))
+    repeats, exclaim, distinct, dup = (F.col(f"__q_n_{c}") for c in ("repeat_words", "exclaim", "distinct", "dup_lines"))
     return {
-        "length": rule(n < 10, n >= 50),
-        "word_size": rule((chars < 3 * n) | (chars > 14 * n), chars.between(4 * n, 9 * n)),
-        "symbols": rule(5 * F.col("__q_n_symbols") > n, 100 * F.col("__q_n_symbols") <= n),
-        "dup_lines": rule((F.col("__q_n_dup_lines") >= 3) & (2 * F.col("__q_n_dup_lines") > F.col("__q_n_lines")), F.col("__q_n_dup_lines") == 0),
-        "repeats": rule(5 * F.col("__q_n_repeat_words") > n, 100 * F.col("__q_n_repeat_words") <= n),
-        "capitals": rule(10 * F.col("__q_n_upper") > 3 * chars, 10 * F.col("__q_n_upper") <= chars),
-        "shouting": rule(10 * F.col("__q_n_exclaim") > n, 100 * F.col("__q_n_exclaim") <= n),
-        "variety": rule(10 * F.col("__q_n_distinct") < n, 4 * F.col("__q_n_distinct") >= n),
+        "length": rule(n < 30, n >= 50),
+        "word_size": rule((5 * chars < 22 * n) | (chars > 7 * n), (10 * chars).between(46 * n, 60 * n)),
+        "symbols": rule(5 * symbols > n, 100 * symbols <= n),
+        "plain_words": rule(10 * plain < 8 * n, 20 * plain >= 19 * n),
+        "sentences": rule((n >= 50) & ((100 * ends < 3 * n) | (10 * ends > 4 * n)), (100 * ends >= 5 * n) & (5 * ends <= n)),
+        "dup_lines": rule(dup > 0, dup == 0),
+        "repeats": rule(20 * repeats > n, 100 * repeats <= n),
+        "capitals": rule(20 * upper > chars, 100 * upper <= 3 * chars),
+        "shouting": rule(10 * exclaim > n, 100 * exclaim <= n),
+        "variety": rule(2 * distinct < n, 10 * distinct >= 6 * n),
     }
 
 
@@ -113,13 +120,19 @@ def posterior(model: dict) -> Column:
 
 
 def start_model() -> dict:
-    """prior, and for good and for bad documents each rule's chance of voting good where it votes: good documents draw
-    few bad votes, a bad one has some defects but not all."""
-    return {"prior": 0.8, "good": dict.fromkeys(RULES, 0.999), "bad": dict.fromkeys(RULES, 0.82)}
+    """The prior alone: share of good documents, and by class each rule's chance of voting good where it votes."""
+    return {"prior": PRIOR_GOOD, **{side: dict.fromkeys(RULES, p) for side, p in PRIOR_VOTES.items()}}
 
 
-def estimate(voted: DataFrame, rounds: int = 25, tolerance: float = 1e-6) -> dict:
-    """Expectation-maximisation over the vote patterns of a table. One pseudo document keeps every chance above 0.
+def _majority() -> Column:
+    """Share of good ones among the votes of a document, a half without votes."""
+    votes = F.array(*[F.col(f"__q_vote_{r}") for r in RULES])
+    good, all_ = F.size(F.filter(votes, lambda v: v == 1)), F.size(F.filter(votes, lambda v: v != 0))
+    return F.when(all_ > 0, good / all_).otherwise(0.5)
+
+
+def estimate(voted: DataFrame, rounds: int = 60, tolerance: float = 1e-6) -> dict:
+    """Expectation-maximisation over the vote patterns of a table, from the majority's verdict on.
 
     An empty table leaves the start model. Each round is one aggregation over the pattern table; the driver gets only
     the sums that make the next model.
@@ -127,26 +140,22 @@ def estimate(voted: DataFrame, rounds: int = 25, tolerance: float = 1e-6) -> dic
     names = [f"__q_vote_{r}" for r in RULES]
     patterns = common.materialize(voted.groupBy(*names).agg(F.count("*").alias("__n")).coalesce(1), "votes")
     model, before = start_model(), None
-    for _ in range(rounds):
-        sums = [F.sum("__n").alias("n"), F.sum(F.col("__n") * F.col("__p")).alias("g")]
-        for r in RULES:
-            for v in (1, -1):
-                hit = (F.col(f"__q_vote_{r}") == v).cast("double") * F.col("__n")
-                sums += [F.sum(hit * F.col("__p")).alias(f"g_{r}_{v}"), F.sum(hit * (1 - F.col("__p"))).alias(f"b_{r}_{v}")]
-        row = patterns.withColumn("__p", posterior(model)).agg(*sums).first()
+    for turn in range(rounds):
+        weighed = patterns.select("*", ((posterior(model) if turn else _majority()) * F.col("__n")).alias("__g")).withColumn("__b", F.col("__n") - F.col("__g"))
+        sums = [F.sum("__n").alias("n"), F.sum("__g").alias("g")]
+        sums += [F.sum(F.when(F.col(f"__q_vote_{r}") == v, F.col(f"__{side[0]}"))).alias(f"{side}_{r}_{v}") for r in RULES for v in (1, -1) for side in PRIOR_VOTES]
+        row = weighed.agg(*sums).first()
         if not row["n"]:
             return model
-        good = row["g"]
-        for r in RULES:
-            for side, mark in (("good", "g"), ("bad", "b")):
-                plus, minus = row[f"{mark}_{r}_1"], row[f"{mark}_{r}_-1"]
-                model[side][r] = (plus + start_model()[side][r]) / (plus + minus + 1)
-            model["good"][r] = min(max(model["good"][r], 1 - FALSE_ALARM), 1 - 1e-6)
-            model["bad"][r] = min(max(model["bad"][r], model["good"][r] / GOOD_VOTE), 1 - 1e-6)
-        model["prior"] = min(max((good + 0.8) / (row["n"] + 1), PRIOR[0]), PRIOR[1])
+        model["prior"] = (row["g"] + PSEUDO_DOCUMENTS * PRIOR_GOOD) / (row["n"] + PSEUDO_DOCUMENTS)
+        for side, p in PRIOR_VOTES.items():
+            for r in RULES:
+                plus, minus = row[f"{side}_{r}_1"] or 0.0, row[f"{side}_{r}_-1"] or 0.0
+                model[side][r] = (plus + PSEUDO_DOCUMENTS * p) / (plus + minus + PSEUDO_DOCUMENTS)
         if before is not None and abs(before - model["prior"]) < tolerance:
             break
         before = model["prior"]
+    common.discard(patterns)
     return model
 
 
