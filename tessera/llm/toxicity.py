@@ -2,8 +2,9 @@
 
 Categories are predicted one after the other; each one's linear model sees the text's features and the probabilities of
 the categories before it. In training those are out-of-fold: a row's own label never helped to make the probability
-that a later model learns from. Features are the presence of lower-cased words and of their beginnings, as far as they
-go with toxic labels; the chosen list is of fixed size, so scoring is one pass without any exchange of rows.
+that a later model learns from, nor to choose that model's features. Labels know two categories, low quality and toxic, so
+the chain has these two. Features are the presence of lower-cased words and of their beginnings, as far as they go with a
+category; the chosen lists are of fixed size, so scoring is one pass without any exchange of rows.
 """
 
 from __future__ import annotations
@@ -15,15 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: In the chain's order; the last one decides.
-CATEGORIES = ("insult", "abusive_junk", "toxic")
-#: English words that make a toxic text an insult.
-INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+CATEGORIES = ("low_quality", "toxic")
 PREFIXES = (3, 4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -87,56 +86,92 @@ class ChainModel:
         return np.column_stack(done)
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
-    """A weight vector per column of labels; earlier columns' probabilities are out-of-fold while later ones train."""
-    weights, extra = [], np.empty((len(x), 0))
+def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, chosen: dict[tuple, list[int]] | None = None) -> list[np.ndarray]:
+    """A weight vector per column of labels; earlier columns' probabilities are out-of-fold while later ones train.
+
+    chosen: by (column of labels, fold) the columns of x for models that never see that fold, by (column, None) those of
+    the models that are returned, whose other weights are 0; all columns if not given.
+    """
+    weights, extra, n = [], np.empty((len(x), 0)), x.shape[1]
     for j in range(labels.shape[1]):
         z, y = np.hstack((x, extra)), labels[:, j]
-        weights.append(fit_linear(z, y))
+        columns = lambda fold, j=j, z=z: [*(range(n) if chosen is None else chosen.get((j, fold), [])), *range(n, z.shape[1])]
+        mine = columns(None)
+        full = np.zeros(z.shape[1] + 1)
+        full[[*mine, -1]] = fit_linear(z[:, mine], y)
+        weights.append(full)
         out = np.zeros(len(x))
         for fold in np.unique(folds):
-            held = folds == fold
-            out[held] = _predict(fit_linear(z[~held], y[~held]), z[held]) if (~held).any() else y.mean()
+            held, some = folds == fold, columns(int(fold))
+            out[held] = _predict(fit_linear(z[~held][:, some], y[~held]), z[held][:, some]) if (~held).any() else y.mean()
         extra = np.column_stack((extra, out))
     return weights
 
 
+def _choose(sample: DataFrame, n_folds: int, n_features: int) -> dict[tuple, list[str]]:
+    """By (category, fold or None) the features that go with the category in all rows but those of the fold.
+
+    At most n_features each: those with the largest excess over chance, ties by name. Counts are made per fold once.
+    """
+    counted = ["1", *[f"y{j}" for j in range(len(CATEGORIES))]]
+    in_fold = [F.sum(F.expr(f"if(fold = {k}, {y}, 0)")).alias(f"s{i}_{k}") for i, y in enumerate(counted) for k in range(n_folds)]
+    whole = sample.agg(*in_fold).first()
+    seen = sample.select("fold", *counted[1:], F.explode("features").alias("f")).groupBy("f").agg(*in_fold)
+    cases = []
+    for left_out in [None, *range(n_folds)]:
+        rest = [k for k in range(n_folds) if k != left_out]
+        total = lambda i, of=None, rest=rest: sum((F.col(f"s{i}_{k}") for k in rest), F.lit(0)) if of is None else sum(of[f"s{i}_{k}"] or 0 for k in rest)
+        for j in range(len(CATEGORIES)):
+            expected = total(0) * F.lit(total(j + 1, whole) / max(1, total(0, whole)))
+            gain = (total(j + 1) - expected) / F.sqrt(expected + 1)
+            cases.append(F.struct(F.lit(j).alias("j"), F.lit(-1 if left_out is None else left_out).alias("fold"), F.when((total(j + 1) >= 3) & (gain >= 2.0), gain).alias("gain")))
+    rows = seen.select("f", F.explode(F.array(*cases)).alias("c")).filter("c.gain is not null").select("f", "c.*")
+    best = Window.partitionBy("j", "fold").orderBy(F.desc("gain"), "f")
+    out: dict[tuple, list[str]] = {}
+    for r in rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n_features).select("j", "fold", "f").collect():
+        out.setdefault((r["j"], None if r["fold"] < 0 else r["fold"]), []).append(r["f"])
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, n_features: int = 512, n_folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> ChainModel:
     """Fits the chain on at most `per_class` toxic and as many other labelled documents, chosen by a hash of the id.
 
     Labels: doc_id, toxic, quality (0 or 1). Rows with a null id or null toxic label don't count; of repeated labels the
-    largest holds. Without labelled documents no text is toxic. What reaches the driver is bounded by the parameters.
+    largest toxic and the least quality hold, a null quality counts as good; of documents with the same id the least text
+    counts. Without labelled documents no text is toxic. What reaches the driver is bounded by the parameters.
     """
     spark = docs.sparkSession
-    one = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic"), F.coalesce(F.min("quality"), F.lit(1)).alias("quality"))
+    one = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"), F.coalesce(F.min("quality"), F.lit(1)).cast("int").alias("quality"))
     order = [F.xxhash64("id"), F.col("id")]
     chosen = one.filter("toxic = 1").orderBy(*order).limit(per_class).unionByName(one.filter("toxic <> 1").orderBy(*order).limit(per_class))
     texts = common.id_and_text(docs, id_col, text_col)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([sorted(features(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "toxic", "quality", "features"])
+            fold = [zlib.crc32(str(i).encode()) % n_folds for i in batch.column(0).to_pylist()]
+            found = [sorted(features(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fold, pa.int32()), batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.string()))], ["doc_id", "fold", "y0", "y1", "features"])
 
     common.small_batches(spark)
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.col("quality").cast("int").alias("quality"))
-    sample = common.materialize(rows.mapInArrow(read, "doc_id long, toxic int, quality int, features array<string>"), "toxicity-sample")
-    size = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    n, t = float(size["n"] or 0), float(size["t"] or 0)
-    if not n:
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("doc_id", "toxic", "quality").agg(F.min("text").alias("text"))
+    rows = rows.select("doc_id", "text", (1 - F.col("quality")).alias("y0"), F.col("toxic").alias("y1"))
+    sample = common.materialize(rows.mapInArrow(read, "doc_id long, fold int, y0 int, y1 int, features array<string>"), "toxicity-sample")
+    names = _choose(sample, n_folds, n_features)
+    vocabulary = {f: i for i, f in enumerate(sorted({f for fs in names.values() for f in fs}))}
+    known = sample.sparkSession.createDataFrame([(f,) for f in vocabulary], "f string")
+    pairs = sample.select("doc_id", F.explode("features").alias("f")).join(F.broadcast(known), "f").groupBy("doc_id").agg(F.collect_list("f").alias("f"))
+    kept = sample.select("doc_id", "fold", "y0", "y1").join(pairs, "doc_id", "left").collect()
+    common.discard(sample)
+    if not kept:
         return ChainModel({}, [np.array([*[0.0] * j, -30.0]) for j in range(len(CATEGORIES))])
-    seen = sample.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n_f"), F.sum("toxic").alias("t_f"))
-    expected = F.col("n_f") * (t / n)
-    gain = (F.col("t_f") - expected) / F.sqrt(expected + 1)
-    best = seen.filter((F.col("t_f") >= 3) & (gain >= 2.0)).orderBy(F.desc(gain), "f").limit(n_features).select("f")
-    vocabulary = {r["f"]: i for i, r in enumerate(sorted(best.collect()))}
-    insults = F.array(*[F.lit("=" + w) for w in INSULTS])
-    kept = sample.select("doc_id", "toxic", "quality", F.arrays_overlap("features", insults).alias("insult"), F.filter("features", lambda f: f.isin(list(vocabulary)) if vocabulary else F.lit(False)).alias("f")).collect()
-    x, y, folds = np.zeros((len(kept), len(vocabulary))), np.zeros((len(kept), 3)), np.zeros(len(kept), int)
-    for i, r in enumerate(sorted(kept, key=lambda r: (r["doc_id"], r["f"]))):
-        x[i, [vocabulary[f] for f in r["f"]]] = 1
-        y[i] = (r["toxic"] and r["insult"], r["toxic"] and not r["quality"], r["toxic"])
-        folds[i] = zlib.crc32(str(r["doc_id"]).encode()) % n_folds
-    return ChainModel(vocabulary, fit_chain(x, y, folds))
+    x, y, folds = np.zeros((len(kept), len(vocabulary))), np.zeros((len(kept), 2)), np.zeros(len(kept), int)
+    for i, r in enumerate(sorted(kept, key=lambda r: r["doc_id"])):
+        x[i, [vocabulary[f] for f in r["f"] or []]] = 1
+        y[i], folds[i] = (r["y0"], r["y1"]), r["fold"]
+    weights = fit_chain(x, y, folds, {k: sorted(vocabulary[f] for f in fs) for k, fs in names.items()})
+    used = sorted({vocabulary[f] for j in range(len(CATEGORIES)) for f in names.get((j, None), [])})
+    mine = {at: i for i, at in enumerate(used)}
+    return ChainModel({f: mine[at] for f, at in vocabulary.items() if at in mine}, [np.concatenate((w[used], w[len(vocabulary) :])) for w in weights])
 
 
 def toxicity(df: DataFrame, model: ChainModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
