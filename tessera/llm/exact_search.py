@@ -2,9 +2,10 @@
 
 |d(q, p) - d(x, p)| <= d(q, x) for every pivot p, so the largest of these over the pivots bounds the distance from
 below, and with it the inner product (|q|^2 + |x|^2 - d^2) / 2 from above. Candidates are scored in the order of that
-bound until it falls below the k-th best score. Candidates and queries are dealt out in blocks of fixed sizes, and a
-task takes one block of each, so no task and no broadcast grows with the data; only pivots (a fixed number, chosen from
-a bounded sample) go to every task.
+bound until it falls below the k-th best score, or below the k-th best score among a bounded sample of all rows, which
+holds for every block. Candidates and queries are dealt out in blocks of fixed sizes, and a task takes one block of each,
+so no task and no broadcast grows with the data; only the sample and the pivots chosen from it go to every task. Each
+block of queries meets each block of rows: that work is the number of queries times that of rows, stated and exact.
 """
 
 from __future__ import annotations
@@ -31,8 +32,18 @@ def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (rows**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * rows @ pivots.T))
 
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, pivots: np.ndarray, k: int) -> tuple[list[tuple], int]:
-    """(query position, id, score) of each query's k best rows with another id, ties to smaller ids; rows scored.
+def floors(queries: np.ndarray, query_ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th best score among sampled rows with another id: less can't be among the k best of all rows."""
+    if len(sample) <= k:
+        return np.full(len(queries), -np.inf)
+    scores = np.where(query_ids[:, None] == sample_ids, -np.inf, queries.astype(np.float64) @ sample.T)
+    best = np.partition(scores, -k, axis=1)[:, -k]
+    return best - 1e-9 * np.abs(best)
+
+
+def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, pivots: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[list[tuple], int]:
+    """(query position, id, score) of each query's k best rows with another id, ties to smaller ids; rows scored. What
+    scores below a query's floor may be left out.
 
     Integers; their products are summed exactly: as doubles below 2^53, else as 64-bit integers.
     """
@@ -49,7 +60,8 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
         order = np.argsort(-bound, kind="stable")
         order = order[ids[order] != query_ids[i]]
         best_score, best_id, at, step = np.empty(0, np.int64), np.empty(0, np.int64), 0, 4 * k
-        while at < len(order) and (len(best_score) < k or bound[order[at]] >= best_score[-1]):
+        least = -np.inf if floor is None else floor[i]
+        while at < len(order) and bound[order[at]] >= (max(least, best_score[-1]) if len(best_score) == k else least):
             part = order[at : at + step]
             score = (fx[part] @ fq[i]).astype(np.int64) if exact else rows[part] @ queries[i]
             all_score, all_id = np.concatenate((best_score, score)), np.concatenate((best_id, ids[part]))
@@ -60,7 +72,7 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
     return out, scored
 
 
-def exact_top_k(df: DataFrame, k: int = 10, query_every: int = 100, scale: int = 1024, n_pivots: int = 32, pivot_sample: int = 1024, block_rows: int = 2048, block_queries: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def exact_top_k(df: DataFrame, k: int = 10, query_every: int = 100, scale: int = 1024, n_pivots: int = 128, pivot_sample: int = 1024, block_rows: int = 2048, block_queries: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best other vectors of its own dimension.
 
     Queries are the rows whose id is divisible by `query_every`. Vectors that are null or hold a null or non-finite
@@ -77,11 +89,13 @@ def exact_top_k(df: DataFrame, k: int = 10, query_every: int = 100, scale: int =
     n_queries = rows.filter(is_query).count()
     n_blocks, q_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // block_queries))
     pivots: dict[int, np.ndarray] = {}
-    sample: dict[int, list] = {}
+    sample: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    drawn: dict[int, list] = {}
     for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivot_sample).collect():
-        sample.setdefault(len(r["vec"]), []).append(r["vec"])
-    for d, some in sample.items():
-        pivots[d] = choose_pivots(np.array(some, np.float64).reshape(len(some), d), n_pivots)
+        drawn.setdefault(len(r["vec"]), []).append((r["vec_id"], r["vec"]))
+    for d, some in drawn.items():
+        sample[d] = np.array([i for i, _ in some], np.int64), np.array([v for _, v in some], np.float64).reshape(len(some), d)
+        pivots[d] = choose_pivots(sample[d][1], n_pivots)
 
     here = F.size("vec").alias("dim")
     candidates = rows.select("vec_id", "vec", here, F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"))
@@ -91,7 +105,8 @@ def exact_top_k(df: DataFrame, k: int = 10, query_every: int = 100, scale: int =
     def search(key, found: pa.Table, asked: pa.Table) -> pa.Table:
         d = key[0].as_py()
         matrix = lambda t: np.asarray(t["vec"].combine_chunks().flatten(), np.int64).reshape(t.num_rows, d)
-        pairs, _ = best_of_block(matrix(asked), asked["vec_id"].to_numpy(), matrix(found), found["vec_id"].to_numpy(), pivots.get(d, np.empty((0, d))), k)
+        q, q_ids, (s_ids, s) = matrix(asked), asked["vec_id"].to_numpy(), sample.get(d, (np.empty(0, np.int64), np.empty((0, d))))
+        pairs, _ = best_of_block(q, q_ids, matrix(found), found["vec_id"].to_numpy(), pivots.get(d, np.empty((0, d))), k, floors(q, q_ids, s, s_ids, k))
         at = np.array([p[0] for p in pairs], np.int64)
         return pa.table({"query_id": asked["vec_id"].to_numpy()[at], "row": asked["row"].to_numpy()[at], "vec_id": np.array([p[1] for p in pairs], np.int64), "score": np.array([p[2] for p in pairs], np.int64)})
 

@@ -33,7 +33,7 @@ def count_texts(texts: list[str], vocab_path: str, batch_bytes: int, chunk_chars
             pieces.append(piece)
             owner.append(i)
     counts = [0] * len(texts)
-    for begin, end in _balanced([len(p) for p in pieces], batch_bytes):
+    for begin, end in _balanced([len(p.encode()) for p in pieces], batch_bytes):
         for i, encoding in zip(owner[begin:end], tokenizer.encode_batch_fast(pieces[begin:end], add_special_tokens=False)):
             counts[i] += len(encoding)
     return counts
