@@ -13,6 +13,8 @@ from tessera.functions.text import compact_upper
 from tessera.operators import evidence as E
 from tessera.operators import questions as Q
 from tessera.operators import retrieval as R
+from tessera.operators.alignment import conflicts
+from tessera.operators.relational import diverse
 from tessera.operators.temporal import temporal_filter
 
 CHANNEL_K = 30
@@ -22,7 +24,8 @@ def answer(questions: DataFrame, units: DataFrame, as_of: str, strict: bool = Fa
     """query_id, state, route, issues, missing_facts, citations (unit ids by rank), answer (their texts, compressed).
 
     dense: optional ranked channel (query_id, unit_id, rank), e.g. from `retrieval.dense_top_k` over stored vectors.
-    Questions that lack facts stop before retrieval; a question without any usable unit is INSUFFICIENT_EVIDENCE.
+    Questions that lack facts stop before retrieval; a question without any usable unit is INSUFFICIENT_EVIDENCE, one whose
+    chosen units hold different texts of the same place is CONFLICTING_EVIDENCE.
     """
     asked = Q.analyze(Q.intake(questions), as_of).withColumn("slots", Q.mandatory_slots())
     ready = asked.filter(F.size("missing_facts") == 0)
@@ -39,17 +42,20 @@ def answer(questions: DataFrame, units: DataFrame, as_of: str, strict: bool = Fa
     ranked = R.rerank(kept, ["query_id"], "unit_id", "rrf", authority, F.col("temporal_verified"))
     shared = E.applicable(F.col("text"), F.col("normalized"), F.col("methods").contains("exact"), F.lit(True))
     limit = F.when(F.col("route") == "DIRECT", 1).when(F.col("route") == "STANDARD", min(6, max_units)).otherwise(max_units)
-    from tessera.operators.relational import diverse
-
     chosen = diverse(ranked.filter(shared), ["query_id"], ["unit_id"], [F.col("final_rank")], limit)
     chosen = chosen.withColumn("line", F.concat(E.compress(F.col("text"), F.col("normalized")), F.lit(" ["), F.col("unit_id"), F.lit("]")))
     reviewed = F.coalesce("provision_verified", F.lit(False)) & F.col("source_url").isNotNull()
+    # versions of one place that say different things, both still in force for the question
+    places = chosen.withColumn("place", F.concat_ws("|", "query_id", compact_upper(F.col("document_number")), *[F.coalesce(F.upper(f"{c}_number"), F.lit("")) for c in ("article", "clause", "point")]))
+    clash = conflicts(places, "place", "pick", "text", "unit_id").select(F.col("identity").alias("place")).distinct()
+    clash = places.select("query_id", "place").distinct().join(clash, "place").select("query_id", F.lit(True).alias("conflicting")).distinct()
     packs = chosen.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pick", "unit_id", "line"))).alias("p"), F.count("*").alias("n"), F.count_if(reviewed).alias("n_reviewed"))
-    out = asked.join(packs, "query_id", "left")
-    n = F.coalesce("n", F.lit(0))
-    undated = F.col("query_date").isNull() | (F.coalesce("n_reviewed", F.lit(0)) > 0)
+    out = asked.join(packs, "query_id", "left").join(clash, "query_id", "left")
+    n, n_reviewed = F.coalesce("n", F.lit(0)), F.coalesce("n_reviewed", F.lit(0))
+    undated = F.col("query_date").isNull() | (n_reviewed > 0)
     gaps = F.when(undated & (n > 0), 0).otherwise(1)
-    state = E.answer_state(F.lit(False), F.size("missing_facts"), n, F.when(n > 0, 0.5).otherwise(0.0), gaps)
+    covered = F.when(n_reviewed > 0, 1.0).when(n > 0, 0.5).otherwise(0.0)
+    state = E.answer_state(F.coalesce("conflicting", F.lit(False)), F.size("missing_facts"), n, covered, gaps)
     none = F.array().cast("array<string>")
     return out.select(
         "query_id",

@@ -79,6 +79,11 @@ def test_answers(spark):
     assert (direct["route"], direct["state"], direct["citations"]) == ("DIRECT", "SUFFICIENT", ["prov_1"])
     assert got["Sa thải có đúng luật không?"]["state"] == "NEED_MORE_FACTS"
     assert got["zzz"]["state"] == "INSUFFICIENT_EVIDENCE"
+    # two texts of one place, both in force
+    other = units.filter("unit_id = 'prov_2'").select(F.lit("prov_9").alias("unit_id"), F.lit("Tiền lương tối thiểu do hội đồng khác hẳn ấn định hằng quý theo vùng").alias("text"), *[c for c in units.columns if c not in ("unit_id", "text")])
+    question = spark.createDataFrame([("Tiền lương tối thiểu được quy định thế nào?",)], "question string")
+    assert api.answer(question, units.unionByName(other), "2026-01-01").first()["state"] == "CONFLICTING_EVIDENCE"
+    assert api.answer(question, units, "2026-01-01").first()["state"] != "CONFLICTING_EVIDENCE"
 
 
 def test_document_numbers(spark):
