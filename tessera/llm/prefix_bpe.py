@@ -9,7 +9,6 @@ from the latest on, and look for a merge across the seam that would have come fi
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -213,7 +212,3 @@ def encode_documents(df: DataFrame, vocab_path: str, pattern: str, id_col: str =
 
     common.small_batches(df.sparkSession)
     return common.id_and_text(df, id_col, text_col).mapInArrow(encode, "doc_id long, n_tokens long, ids string, decoded binary")
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

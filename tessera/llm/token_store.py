@@ -12,7 +12,6 @@ each row has its shard, the tokens before it in the shard, and its documents' id
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -164,7 +163,3 @@ def token_at(spark: SparkSession, path: str, positions: list[int]) -> dict[int,
             out[p] = DacReader(bytes(row["payload"]))[p - base - row["local_start"]]
         base += n
     return out
-
-
-def crc32_of(data: bytes) -> int:
-    return zlib.crc32(data)
