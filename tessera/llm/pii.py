@@ -29,7 +29,8 @@ PATTERNS = {
 }
 _TERM = r"[\p{L}\p{N}]{2,}"
 _TERM_SPLIT = r"[\p{L}\p{N}]{2,}+"
-_BITMAP_BITS = 1 << 20
+#: Hash functions that estimate how alike contexts are.
+HASHES = 4
 DEFAULTS = {"window_chars": 120, "significance": 0.05, "generalise_at": 0.7, "remove_at": 0.95}
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
@@ -95,30 +96,14 @@ def with_base_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("__p_base", F.concat(*[F.col(f"__p_{k}") for k in KINDS])).drop("__p_text", *[f"__p_{k}" for k in KINDS])
 
 
-def _bitmap(wanted: DataFrame, name: str) -> Column:
-    """The wanted terms as a bitmap of fixed size; its words are all that reaches the driver."""
-    bit = F.pmod(F.xxhash64("term"), F.lit(_BITMAP_BITS).cast("long")).alias("b")
-    marks = wanted.select(bit).groupBy(F.floor(F.col("b") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int)))").alias("bits")).collect()
-    words = [0] * (_BITMAP_BITS // 64)
-    for r in marks:
-        words[r["word"]] = r["bits"]
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>").alias(name)
-
-
-def _in_bitmap(word: Column, name: str) -> Column:
-    """Whether a word can be wanted, by the bitmap in that column."""
-    bit = F.pmod(F.xxhash64(word), F.lit(_BITMAP_BITS).cast("long"))
-    return F.getbit(F.get(F.col(name), F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1
-
-
 def _document_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """term, n_t: in how many texts each wanted term stands, over all texts.
 
     Words that can't be wanted are sorted out before the shuffle by the bitmap; the join after it is exact.
     """
-    known = F.filter("terms", lambda w: _in_bitmap(w, "__bits"))
+    known = F.filter("terms", lambda w: common.in_bitmap(w, "__bits"))
     terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(_TERM), F.lit(0)))
-    rows = texts.select(_bitmap(wanted, "__bits"), terms.alias("terms")).select(F.explode(known).alias("term"))
+    rows = texts.select(common.bitmap(wanted, "term", "__bits"), terms.alias("terms")).select(F.explode(known).alias("term"))
     # an inner join: a semi join would be moved below the aggregate, where every single word would take part
     return rows.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term")
 
@@ -131,11 +116,8 @@ def _log_tail(k: Column, drawn: Column, marked: Column, total: int) -> Column:
 
 
 def near_entities(marked: DataFrame, window_chars: int) -> DataFrame:
-    """__p_row, entity, term, context: what stands within `window_chars` of an entity in rows (__p_row, text, __p_base).
-
-    `context` tells the sets of terms around apart: copies of one passage share it, so that the contexts of a pair count
-    how often it was written, not how often it was copied.
-    """
+    """__p_row, entity, term, context: what stands within `window_chars` of an entity in rows (__p_row, text, __p_base);
+    an empty term for the entity itself. `context` has the least hashes of the terms around, by HASHES functions."""
     text = F.col("text")
     masked = marked.select("__p_row", "__p_base", _blank(text, F.col("__p_base")).alias("text"))
     entity = F.concat_ws(":", F.col("s.kind"), F.coalesce(*[F.when(F.col("s.kind") == k, _entity(k, F.col("s.value"))) for k in KINDS]))
@@ -152,18 +134,31 @@ def near_entities(marked: DataFrame, window_chars: int) -> DataFrame:
     right = F.when(F.col("cut_right"), F.regexp_replace("right", r"[\p{L}\p{N}]+$", "")).otherwise(F.col("right"))
     whole = F.concat(left, F.lit(" "), right)
     near = near.select("__p_row", "entity", F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(_TERM), F.lit(0))).alias("terms"))
-    context = F.xxhash64(F.array_sort("terms"))
-    # an entity that stands alone gives a row without a term, which counts it
-    near = near.select("__p_row", "entity", context.alias("context"), F.explode_outer("terms").alias("term"))
-    return near.groupBy("__p_row", "entity", "term").agg(F.min("context").alias("context"))
+    least = [F.coalesce(F.array_min(F.transform("terms", lambda t, i=i: F.xxhash64(F.lit(i), t))), F.lit(0).cast("long")).alias(f"h{i}") for i in range(HASHES)]
+    near = near.select("__p_row", "entity", *least, F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    near = near.groupBy("__p_row", "entity", "term").agg(*[F.min(f"h{i}").alias(f"h{i}") for i in range(HASHES)])
+    return near.select("__p_row", "entity", "term", F.array(*[f"h{i}" for i in range(HASHES)]).alias("context"))
+
+
+def _occurrences(near: DataFrame) -> DataFrame:
+    """entity, term, n, k: in how many rows they occur, and in how many contexts, as if all were different.
+
+    k = n^2 / (sum over all pairs of rows of the similarity of their contexts), which the least hashes estimate without
+    making pairs: rows that share one. Copies of one passage count as one context or little more, also if some of their
+    words differ; contexts that have nothing in common count fully.
+    """
+    alike = near.select("entity", "term", F.posexplode("context").alias("i", "h")).groupBy("entity", "term", "i", "h").agg(F.count("*").alias("c"))
+    counted = alike.groupBy("entity", "term").agg(F.sum(F.when(F.col("i") == 0, F.col("c"))).alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("s"))
+    return counted.select("entity", "term", "n", (F.col("n").cast("double") * F.col("n") * HASHES / F.col("s")).alias("k"))
 
 
 def disclosing_pairs(near: DataFrame, texts: DataFrame, significance: float, generalise_at: float) -> DataFrame:
-    """entity, term, strength, wide: the pairs that disclose, strength being PMI / IC; `wide` where also the distinct
-    contexts of the pair are more than chance gives. near: a stored table of near_entities."""
-    pairs = near.filter("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.count_distinct("context").alias("k_et"))
-    pairs = common.materialize(pairs, "pairs")
-    n_e = near.groupBy("entity").agg(F.count_distinct("__p_row").alias("n_e"), F.count_distinct("context").alias("k_e"))
+    """entity, term, strength, wide: the pairs that disclose, strength being PMI / IC; `wide` where also the pair's
+    contexts, each counted as far as it differs from the others, are more than chance gives. near: a stored table of
+    near_entities."""
+    counted = common.materialize(_occurrences(near), "occurrences")
+    pairs = counted.filter("term <> ''").select("entity", "term", F.col("n").alias("n_et"), F.col("k").alias("k_et"))
+    n_e = counted.filter("term = ''").select("entity", F.col("n").alias("n_e"), F.col("k").alias("k_e"))
     n_t = _document_counts(texts, pairs.select("term").distinct())
     total = texts.count()
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_e"))
@@ -171,7 +166,7 @@ def disclosing_pairs(near: DataFrame, texts: DataFrame, significance: float, gen
     pmi = F.log(n_both * float(max(total, 1)) / (F.col("n_e") * F.col("n_t")))
     strength = F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))
     log_chance = F.least(_log_tail(n_both, F.col("n_e"), F.col("n_t"), total), _log_tail(n_both, F.col("n_t"), F.col("n_e"), total))
-    in_contexts = _log_tail(F.col("k_et"), F.col("k_e"), F.col("n_t"), total)
+    in_contexts = _log_tail(F.col("k_et"), F.greatest("k_e", "k_et"), F.col("n_t"), total)
     least = math.log(significance) - math.log(max(pairs.count(), 1))
     scored = pairs.join(n_e, "entity").join(n_t, "term").select("entity", "term", strength.alias("strength"), (log_chance <= least).alias("local"), (in_contexts <= least).alias("wide"))
     return scored.filter((F.col("strength") >= generalise_at) & (F.col("local") | F.col("wide"))).drop("local")
@@ -209,9 +204,10 @@ def _word_spans(text: Column, wanted) -> Column:
     return _let(F.split(marked, mark, -1), place)
 
 
-def _wanted(word: Column) -> Column:
-    """Whether a lower-cased word of a row can be wanted there, by its bitmaps."""
-    return _in_bitmap(word, "__wide") | (F.col("__has") & _in_bitmap(word, "__here"))
+def _term_span(s: Column, remove: Column) -> Column:
+    """The span of a word (word, start, end) that discloses."""
+    general = F.when(s["word"].rlike("[0-9]"), "[NUMBER]").when(s["word"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
+    return F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.when(remove, F.lit("remove")).otherwise(general).alias("value"))
 
 
 def term_spans(scanned: DataFrame, window_chars: int, significance: float, generalise_at: float, remove_at: float) -> DataFrame:
@@ -223,21 +219,31 @@ def term_spans(scanned: DataFrame, window_chars: int, significance: float, gener
     """
     near = common.materialize(near_entities(scanned.filter(F.size("__p_base") > 0), window_chars), "near-entities")
     pairs = common.materialize(disclosing_pairs(near, scanned.select("text"), significance, generalise_at), "disclosing")
-    wide = common.materialize(pairs.filter("wide").groupBy("term").agg(F.max("strength").alias("everywhere")), "terms")
-    here = near.join(pairs.filter("not wide"), ["entity", "term"]).groupBy("__p_row", "term").agg(F.max("strength").alias("here"))
+    terms = pairs.groupBy("term").agg(F.max("strength").alias("strength"), F.max("wide").alias("wide"))
+    wide = common.materialize(terms.filter("wide").select("term", (F.col("strength") >= remove_at).alias("remove")), "terms")
+    here = near.join(pairs.join(wide, "term", "left_anti"), ["entity", "term"]).groupBy("__p_row", "term").agg((F.max("strength") >= remove_at).alias("remove"))
+    # what stands near the entities of one row: bounded by that row
+    here = here.groupBy("__p_row").agg(F.collect_list("term").alias("terms"), F.collect_list(F.when(F.col("remove"), F.col("term"))).alias("removed"))
     here = common.materialize(here, "terms-of-rows")
-    rows = scanned.select("__p_row", "text", (F.size("__p_base") > 0).alias("__has"), "__p_base", _bitmap(wide, "__wide"), _bitmap(here.select("term").distinct(), "__here"))
-    terms = F.regexp_extract_all(F.lower(F.col("text")), F.lit(_TERM), F.lit(0))
-    rows = rows.withColumn("__terms", terms).filter(F.exists("__terms", lambda w: _wanted(w))).drop("__terms")
-    rows = rows.withColumn("text", F.when(F.col("__has"), _blank(F.col("text"), F.col("__p_base"))).otherwise(F.col("text")))
-    words = rows.select("__p_row", F.explode(_word_spans(F.col("text"), _wanted)).alias("s")).select("__p_row", F.lower("s.word").alias("term"), "s.word", "s.start", "s.end")
-    strength = F.greatest("everywhere", "here")
-    words = words.join(wide, "term", "left").join(here, ["__p_row", "term"], "left").filter(strength.isNotNull())
-    general = F.when(F.col("word").rlike("[0-9]"), "[NUMBER]").when(F.col("word").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
-    value = F.when(strength >= remove_at, F.lit("remove")).otherwise(general)
-    span = F.struct(F.lit("term").alias("kind"), "start", "end", value.alias("value"))
-    found = words.groupBy("__p_row").agg(F.sort_array(F.collect_list(span)).alias("__p_terms"))
-    return common.materialize(found, "term-spans")
+    blanked = F.when(F.size("__p_base") > 0, _blank(F.col("text"), F.col("__p_base"))).otherwise(F.col("text"))
+
+    words = F.regexp_extract_all(F.lower(F.col("text")), F.lit(_TERM), F.lit(0))
+    wanted = lambda w: common.in_bitmap(w, "__wide")
+    rows = scanned.select("__p_row", "__p_base", "text", common.bitmap(wide, "term", "__wide")).withColumn("words", words).filter(F.exists("words", wanted))
+    found = rows.select("__p_row", "__wide", blanked.alias("text")).select("__p_row", F.explode(_word_spans(F.col("text"), wanted)).alias("s"))
+    found = found.select("__p_row", F.lower("s.word").alias("term"), "s").join(wide, "term").select("__p_row", _term_span(F.col("s"), F.col("remove")).alias("span"))
+    found = found.groupBy("__p_row").agg(F.collect_list("span").alias("everywhere"))
+
+    rows = scanned.select("__p_row", "__p_base", "text", common.bitmap(here, "__p_row", "__rows")).filter((F.size("__p_base") > 0) & common.in_bitmap(F.col("__p_row"), "__rows"))
+    rows = rows.select("__p_row", blanked.alias("text")).join(here, "__p_row")
+    spans = _word_spans(F.col("text"), lambda w: F.array_contains("terms", w))
+    local = rows.select("__p_row", F.transform(spans, lambda s: _term_span(s, F.array_contains("removed", F.lower(s["word"])))).alias("here"))
+
+    none = F.array().cast(SPAN)
+    both = found.join(local, "__p_row", "full").select("__p_row", F.sort_array(F.concat(F.coalesce("everywhere", none), F.coalesce("here", none))).alias("__p_terms"))
+    out = common.materialize(both, "term-spans")
+    common.discard(near, pairs, wide, here)
+    return out
 
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
