@@ -94,16 +94,20 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, chosen: dict
     """
     weights, extra, n = [], np.empty((len(x), 0)), x.shape[1]
     for j in range(labels.shape[1]):
-        z, y = np.hstack((x, extra)), labels[:, j]
-        columns = lambda fold, j=j, z=z: [*(range(n) if chosen is None else chosen.get((j, fold), [])), *range(n, z.shape[1])]
-        mine = columns(None)
-        full = np.zeros(z.shape[1] + 1)
-        full[[*mine, -1]] = fit_linear(z[:, mine], y)
+        y = labels[:, j]
+
+        def seen_by(fold: int | None, j: int = j, extra: np.ndarray = extra) -> tuple[list[int], np.ndarray]:
+            mine = list(range(n)) if chosen is None else chosen.get((j, fold), [])
+            return mine, np.hstack((x[:, mine], extra))
+
+        mine, z = seen_by(None)
+        full = np.zeros(n + j + 1)
+        full[[*mine, *range(n, n + j + 1)]] = fit_linear(z, y)
         weights.append(full)
         out = np.zeros(len(x))
         for fold in np.unique(folds):
-            held, some = folds == fold, columns(int(fold))
-            out[held] = _predict(fit_linear(z[~held][:, some], y[~held]), z[held][:, some]) if (~held).any() else y.mean()
+            held, (_, z) = folds == fold, seen_by(int(fold))
+            out[held] = _predict(fit_linear(z[~held], y[~held]), z[held]) if (~held).any() else y.mean()
         extra = np.column_stack((extra, out))
     return weights
 
@@ -158,16 +162,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, n_features:
     sample = common.materialize(rows.mapInArrow(read, "doc_id long, fold int, y0 int, y1 int, features array<string>"), "toxicity-sample")
     names = _choose(sample, n_folds, n_features)
     vocabulary = {f: i for i, f in enumerate(sorted({f for fs in names.values() for f in fs}))}
-    known = sample.sparkSession.createDataFrame([(f,) for f in vocabulary], "f string")
-    pairs = sample.select("doc_id", F.explode("features").alias("f")).join(F.broadcast(known), "f").groupBy("doc_id").agg(F.collect_list("f").alias("f"))
-    kept = sample.select("doc_id", "fold", "y0", "y1").join(pairs, "doc_id", "left").collect()
+    # only numbers come back, as Arrow columns: a row per sampled document
+    known = sample.sparkSession.createDataFrame(list(vocabulary.items()), "f string, at int")
+    pairs = sample.select("doc_id", F.explode("features").alias("f")).join(F.broadcast(known), "f").groupBy("doc_id").agg(F.collect_list("at").alias("f"))
+    kept = sample.select("doc_id", "fold", "y0", "y1").join(pairs, "doc_id", "left").toArrow().combine_chunks().sort_by("doc_id")
     common.discard(sample)
-    if not kept:
+    if not kept.num_rows:
         return ChainModel({}, [np.array([*[0.0] * j, -30.0]) for j in range(len(CATEGORIES))])
-    x, y, folds = np.zeros((len(kept), len(vocabulary))), np.zeros((len(kept), 2)), np.zeros(len(kept), int)
-    for i, r in enumerate(sorted(kept, key=lambda r: r["doc_id"])):
-        x[i, [vocabulary[f] for f in r["f"] or []]] = 1
-        y[i], folds[i] = (r["y0"], r["y1"]), r["fold"]
+    x, found = np.zeros((kept.num_rows, len(vocabulary)), np.uint8), kept["f"].combine_chunks()
+    x[np.repeat(np.arange(kept.num_rows), found.value_lengths().fill_null(0).to_numpy()), found.flatten().to_numpy()] = 1
+    y, folds = np.column_stack([kept[c].to_numpy() for c in ("y0", "y1")]).astype(float), kept["fold"].to_numpy()
     weights = fit_chain(x, y, folds, {k: sorted(vocabulary[f] for f in fs) for k, fs in names.items()})
     used = sorted({vocabulary[f] for j in range(len(CATEGORIES)) for f in names.get((j, None), [])})
     mine = {at: i for i, at in enumerate(used)}
