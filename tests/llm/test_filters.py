@@ -8,8 +8,8 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tessera.llm import pii, quality, queries, toxicity
-from tessera.llm.simhash import fingerprint
+from tessera.llm import common, pii, quality, queries, toxicity
+from tessera.llm.simhash import fingerprint, keep_one_of_each
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -43,24 +43,36 @@ def test_quality_agrees_with_labels(spark):
     assert right / len(rows) > 0.97
 
 
-def test_em_separates_planted_documents(spark):
-    """Bad documents have one defect or two of eight; abstentions are common and say nothing."""
+def test_em_recovers_planted_accuracies(spark):
+    """Rules that are right in 60 to 95 of 100 votes, and often abstain."""
     rng, rows = random.Random(1), []
-    for i in range(6000):
-        good = i % 5 > 0
-        defects = () if good else rng.sample(range(8), rng.choice((1, 1, 2)))
-        votes = [-1 if j in defects else (-1 if rng.random() < 0.0005 else 1 if rng.random() < 0.9 else 0) for j in range(8)]
-        rows.append((good, *votes))
+    planted = {r: 0.6 + 0.35 * i / (len(quality.RULES) - 1) for i, r in enumerate(quality.RULES)}
+    for _ in range(8000):
+        good = rng.random() < 0.7
+        rows.append((good, *[(1 if (rng.random() < p) == good else -1) if rng.random() < 0.8 else 0 for p in planted.values()]))
     df = spark.createDataFrame(rows, "good boolean, " + ", ".join(f"__q_vote_{r} int" for r in quality.RULES))
     model = quality.estimate(df)
-    # the bound on good votes leaves part of the spotless documents to the bad class, which the verdicts bear
-    assert 0.5 <= model["prior"] < 0.85
-    got = df.select("good", (quality.posterior(model) >= 0.5).alias("kept")).collect()
-    assert sum(r["good"] == r["kept"] for r in got) / len(got) > 0.98
-    assert all(0.5 < a < 1 for a in quality.accuracies(model).values())
+    assert abs(model["prior"] - 0.7) < 0.05
+    found = quality.accuracies(model)
+    assert all(abs(found[r] - p) < 0.05 for r, p in planted.items())
+    got = df.select("good", (quality.posterior(model) >= 0.5).alias("kept"), quality._majority().alias("majority")).collect()
+    right = sum(r["good"] == r["kept"] for r in got) / len(got)
+    assert right > 0.93 and right > sum(r["good"] == (r["majority"] >= 0.5) for r in got) / len(got)
     assert quality.estimate(df.limit(0)) == quality.start_model()
 
 
+def test_rules_are_outvoted(spark):
+    """The verdict isn't that of all rules together: it agrees with the labels much better."""
+    sf = "/root/testdata/sf0.1"
+    scored = quality.with_votes(quality.with_features(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).drop("text"))
+    scored = common.materialize(scored, "scored")
+    kept = quality.posterior(quality.estimate(scored)) >= 0.5
+    unanimous = ~quality.F.exists(quality.F.array(*[f"__q_vote_{r}" for r in quality.RULES]), lambda v: v == -1)
+    rows = scored.filter(~quality.base_failed()).select("doc_id", kept.alias("kept"), unanimous.alias("strict")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    right, strict = (sum(r[c] == (r["quality"] == 1) for r in rows) / len(rows) for c in ("kept", "strict"))
+    assert right > 0.99 > 0.96 > strict
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -113,7 +125,8 @@ def test_disclosing_terms_go_with_their_entity(spark):
 
 def test_disclosing_terms_go_from_texts_without_their_entity(spark):
     fill = [(100 + i, f"ordinary text number {i} about nothing in particular") for i in range(60)]
-    near = [(i, f"{w} Zorblat reached jane@corp.example and {w} again {i}, ordinary text") for i, w in enumerate(["red", "blue", "green", "pink"])]
+    # four texts that have little in common but the person: copies of one would not bear out the term elsewhere
+    near = [(0, "Zorblat reached jane@corp.example by red boat"), (1, "call jane@corp.example, zorblat knows why"), (2, "ordinary text: jane@corp.example or Zorblat"), (3, "zorblat, green hills, jane@corp.example, tea")]
     away = [(10, "ordinary text of Zorblat alone"), (11, "jane@corp.example " + "ordinary text " * 20 + "zorblat")]
     df = spark.createDataFrame(fill + near + away, "doc_id long, text string")
     texts = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
@@ -193,8 +206,10 @@ def base_features_of(stages, doc_id):
     return base_features(stages["quality_rules"][0].filter(f"doc_id = {doc_id}").first()["text"])
 
 
-def test_dedup_stage_by_brute_force(stages):
-    before, after = stages["simhash_near_dedup"]
+def test_links_of_four_bits_by_brute_force(stages):
+    """Without the similarity of shingles, which the stage adds and the next test holds against brute force."""
+    before = stages["simhash_near_dedup"][0]
+    after = keep_one_of_each(before, threshold=4, shingle=4)
     rows = sorted((r["doc_id"], fingerprint(r["text"])) for r in before.collect())
     parent = list(range(len(rows)))
 
