@@ -1,8 +1,8 @@
 """Harmonic packing of documents into fixed-capacity sequences, independently in every partition.
 
 A piece whose length is at most capacity / k, and hardly less, belongs to reciprocal class k; a bin of class k takes
-exactly k pieces, so a worker never looks for room. Lengths between classes are cut: the head fills its class exactly
-and the tail is classed again. What a partition's unfinished bins hold at its end is laid end to end into full
+exactly k pieces, so a worker never looks for room. Lengths between classes are cut: the head takes the longest length of
+the next class whose k longest pieces fill a bin, and the tail is classed again. What a partition's unfinished bins hold at its end is laid end to end into full
 sequences, and the last remainder is cut into powers of two, which need no padding.
 """
 
@@ -29,9 +29,11 @@ def cut_lengths(n: int, capacity: int, slack: float) -> list[tuple[int, int]]:
         if rest * k >= capacity * (1 - slack):
             out.append((rest, k))
             break
-        head = capacity // (k + 1)
-        out.append((head, k + 1))
-        rest -= head
+        k += 1
+        while capacity // k * k < capacity * (1 - slack):
+            k += 1
+        out.append((capacity // k, k))
+        rest -= capacity // k
     return out
 
 

@@ -133,6 +133,14 @@ def test_classes_hold_equal_numbers():
         assert all(x * k <= 2048 for x, k in cut_lengths(n, 2048, 1 / 64))
 
 
+@pytest.mark.parametrize("capacity", [64, 100, 2048])
+def test_no_class_wastes_more_than_the_slack(capacity):
+    for n in range(1, 2 * capacity + 1):
+        pieces = cut_lengths(n, capacity, 1 / 64)
+        assert sum(x for x, _ in pieces) == n
+        assert all(capacity * (1 - 1 / 64) <= x * k <= capacity for x, k in pieces)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1500))
 def test_direct_codes_round_trip(values):
