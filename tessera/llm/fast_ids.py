@@ -47,7 +47,7 @@ def library_ids(text: str, vocab_path: str) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=1)
-def _byte_symbols() -> dict[str, int]:
+def byte_symbols() -> dict[str, int]:
     """The public rule for writing bytes as characters: printable ones stand for themselves, the rest follow from 256."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(own)]
@@ -60,7 +60,7 @@ def _word_encoding(vocab_path: str):
 
     with open(vocab_path, encoding="utf-8") as f:
         spec = json.load(f)
-    symbols, special = _byte_symbols(), {x["content"] for x in spec["added_tokens"]}
+    symbols, special = byte_symbols(), {x["content"] for x in spec["added_tokens"]}
     suffix = spec["model"]["end_of_word_suffix"]
     ranks = {}
     for token, rank in spec["model"]["vocab"].items():
@@ -71,6 +71,11 @@ def _word_encoding(vocab_path: str):
     return tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={})
 
 
+def plain_words(text: str) -> list[str] | None:
+    """The words of a text in the lower case, None where only the library is known to split it."""
+    return _WORDS.findall(text.lower()) if _UNKNOWN.search(text) is None else None
+
+
 def word_ids(text: str, vocab_path: str) -> np.ndarray:
     """Ids of a lower-casing word vocabulary with end-of-word marks."""
     if not text:
