@@ -48,12 +48,6 @@ def best_unless_tied(rows: DataFrame, key: list[str], rank: str, value: str) ->
     return top.groupBy(*key).agg(F.when(F.count("*") == 1, F.first(value)).alias(value))
 
 
-def range_overlap(left: DataFrame, right: DataFrame, on: list[str], start: str, end: str, other_start: str, other_end: str) -> DataFrame:
-    """Rows of both sides with equal `on` whose half-open ranges overlap. The equality keys keep it from being a product."""
-    condition = (F.col(start) < F.col(other_end)) & (F.col(end) > F.col(other_start))
-    return left.join(right, on).filter(condition)
-
-
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows with `side`: what one table has more often than the other; empty when they are equal as multisets."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
@@ -70,11 +64,45 @@ def numbered(rows: DataFrame, key: str) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """SHA-256 over the sorted row hashes of each group."""
+    """SHA-256 over the sorted row hashes of each group, which a task holds: for small groups. multiset_fingerprint has no
+    such bound."""
     one = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
     return rows.select(*by, one.alias("h")).groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("fingerprint"), F.count("*").alias("n"))
 
 
+def _lanes(columns: list[str]) -> list[Column]:
+    """Numbers of a row out of one SHA-256: three of 60 bits and the product of two of 28 bits. Nulls are empty texts."""
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    part = lambda at, n: F.conv(F.substring(row, at, n), 16, 10).cast("long")
+    return [part(1, 15), part(16, 15), part(31, 15), part(46, 7) * part(53, 7)]
+
+
+def fingerprint_lanes(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """by, n and the sums of every lane: what of two disjoint parts adds up to that of their union, in any order."""
+    sums = [F.sum(lane.cast("decimal(20,0)")).cast("decimal(38,0)").alias(f"lane_{i}") for i, lane in enumerate(_lanes(columns))]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *sums)
+
+
+def merged_lanes(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Tables of fingerprint_lanes put together: a table that grows needs only the lanes of what is new."""
+    return parts.groupBy(*by).agg(F.sum("n").alias("n"), *[F.sum(c).cast("decimal(38,0)").alias(c) for c in parts.columns if c.startswith("lane_")])
+
+
+def multiset_fingerprint(rows: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """by, fingerprint, n: equal for equal multisets of rows in any order; a chance equality is as rare as 180 bits make it.
+    (Sums don't withstand someone who makes rows to fit.)
+
+    Every task sends one row of sums a group, however large the group is.
+    """
+    return sealed(fingerprint_lanes(rows, columns, by), by)
+
+
+def sealed(lanes: DataFrame, by: list[str]) -> DataFrame:
+    """by, fingerprint, n from sums of lanes."""
+    parts = [F.col(c).cast("string") for c in lanes.columns if c == "n" or c.startswith("lane_")]
+    return lanes.select(*by, F.sha2(F.concat_ws("|", *parts), 256).alias("fingerprint"), "n")
+
+
 def upsert(current: DataFrame, incoming: DataFrame, key: list[str], overwrite: list[str], merge: list[str], ordinal: str) -> DataFrame:
     """current with incoming rows: `overwrite` columns from the latest row, `merge` maps merged key by key in order.
 

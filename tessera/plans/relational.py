@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import relational as L
 from tessera.operators import temporal as T
+from tessera.operators.intervals import overlap_join, prefix_sum
 from tessera.plans.registry import query
 from tessera.session import table
 
@@ -92,18 +93,20 @@ def q_tie_is_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.best_unless_tied(table(spark, sf_dir, "part"), ["p_brand"], "p_size", "p_partkey").select("p_brand", "p_partkey")
 
 
+def _pages(docs: DataFrame) -> DataFrame:
+    """source, doc_id, s, e: each document's place in the text that a source's documents make, two characters apart."""
+    rows = docs.select("source", "doc_id", F.length("text").alias("n"))
+    return prefix_sum(rows, ["source"], ["doc_id"], F.col("n") + 2, "s").select("source", "doc_id", "s", (F.col("s") + F.col("n")).alias("e"))
+
+
 @query("""WITH d AS (SELECT source, doc_id, length(text) AS n, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM documents),
 p AS (SELECT source, doc_id, s, s + n AS e FROM d), w AS (SELECT source, CAST(5000 * unnest(range(0, 12)) AS BIGINT) AS a FROM (SELECT DISTINCT source FROM documents))
 SELECT w.source, a AS window_start, min(doc_id) AS first_page, max(doc_id) AS last_page, count(*) AS n_pages FROM w JOIN p ON p.source = w.source AND p.s < w.a + 3000 AND p.e > w.a GROUP BY 1, 2""")
 def q_page_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN5, JN8, AG8: documents of a source as pages of one text; pages that overlap fixed windows."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     docs = table(spark, sf_dir, "documents")
-    pages = docs.select("source", "doc_id", F.coalesce(F.sum(F.length("text") + 2).over(w), F.lit(0)).alias("s"), F.length("text").alias("n")).select("source", "doc_id", "s", (F.col("s") + F.col("n")).alias("e"))
     windows = docs.select("source").distinct().select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(55000).cast("long"), F.lit(5000).cast("long"))).alias("window_start")).withColumn("window_end", F.col("window_start") + 3000)
-    hit = L.range_overlap(windows, pages, ["source"], "window_start", "window_end", "s", "e")
+    hit = overlap_join(windows, _pages(docs), ["source"], "window_start", "window_end", "s", "e")
     return hit.groupBy("source", "window_start").agg(F.min("doc_id").alias("first_page"), F.max("doc_id").alias("last_page"), F.count("*").alias("n_pages"))
 
 
@@ -112,13 +115,10 @@ x AS (SELECT source, CAST(10000 * unnest(range(0, 4)) AS BIGINT) AS x FROM (SELE
 SELECT x.source, x, min(doc_id) AS page FROM x JOIN d ON d.source = x.source AND s <= x AND x < s + n GROUP BY 1, 2""")
 def q_point_in_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN9: the first page whose half-open range holds a position."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     docs = table(spark, sf_dir, "documents")
-    pages = docs.select("source", "doc_id", F.coalesce(F.sum(F.length("text") + 2).over(w), F.lit(0)).alias("s"), F.length("text").alias("n"))
-    points = docs.select("source").distinct().select("source", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 10000, 20000, 30000)])).alias("x"))
-    return points.join(pages, "source").filter("s <= x and x < s + n").groupBy("source", "x").agg(F.min("doc_id").alias("page"))
+    points = docs.select("source").distinct().select("source", F.explode(F.array(*[F.lit(x).cast("long") for x in (0, 10000, 20000, 30000)])).alias("x")).withColumn("after", F.col("x") + 1)
+    hit = overlap_join(points, _pages(docs), ["source"], "x", "after", "s", "e").filter("s < e")
+    return hit.groupBy("source", "x").agg(F.min("doc_id").alias("page"))
 
 
 @query("""SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)
@@ -166,6 +166,16 @@ def q_table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.fingerprint(table(spark, sf_dir, "documents"), ["doc_id", "source", "n_chars"], ["lang"])
 
 
+_LANES = "('0x' || substr(h, 1, 15))::BIGINT AS a, ('0x' || substr(h, 16, 15))::BIGINT AS b, ('0x' || substr(h, 31, 15))::BIGINT AS c, ('0x' || substr(h, 46, 7))::BIGINT * ('0x' || substr(h, 53, 7))::BIGINT AS p"
+
+
+@query(f"""WITH r AS (SELECT l_suppkey, sha256(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR))) AS h FROM lineitem), l AS (SELECT l_suppkey, {_LANES} FROM r)
+SELECT l_suppkey, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), CAST(sum(a) AS VARCHAR), CAST(sum(b) AS VARCHAR), CAST(sum(c) AS VARCHAR), CAST(sum(p) AS VARCHAR))) AS fingerprint, count(*) AS n FROM l GROUP BY l_suppkey""")
+def q_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG20: the content of each group by sums that combine before the shuffle."""
+    return L.multiset_fingerprint(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], ["l_suppkey"])
+
+
 @query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_extendedprice DESC, l_linenumber) AS k FROM lineitem),
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS INTEGER) AS pick FROM f WHERE k = 1)
 SELECT l_orderkey, l_suppkey, l_linenumber, pick FROM p WHERE pick <= CASE l_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 6 ELSE 12 END""")
