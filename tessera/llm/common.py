@@ -10,7 +10,7 @@ from tessera.sources.scratch import release as release_scratch
 from tessera.sources.scratch import scratch_path
 from tessera.sources.scratch import store as materialize
 
-__all__ = ["bitmap", "column", "discard", "documents", "id_and_text", "in_bitmap", "materialize", "release_scratch", "scratch_path", "small_batches"]
+__all__ = ["bitmap", "column", "discard", "documents", "id_and_text", "in_bitmap", "materialize", "named_as", "placed", "release_scratch", "scratch_path", "small_batches"]
 
 #: Fixed by the query contracts: a word is a run of anything but ASCII white space.
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,16 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
 
 
+def placed(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns named by their places, so that what an operator adds can't clash, and the new names of some."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(n)}" for n in names]
+
+
+def named_as(out: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns of placed(df) in `out`, under df's names."""
+    return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(df.columns)])
+
+
 def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Bounds each Arrow batch by bytes, so that a run of long texts can't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))

@@ -260,14 +260,15 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def sanitise(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """df with its texts sanitised: base spans become [EMAIL], [IP], [CARD], [PHONE]; disclosing terms are generalised
     or removed. Same columns and rows; texts without a span, null ones too, stay as they are."""
-    scanned = common.materialize(with_base_spans(df, text_col), "pii-stage")
-    text = common.column(text_col)
+    rows, (place,) = common.placed(df, text_col)
+    scanned = common.materialize(with_base_spans(rows, place), "pii-stage")
+    text = F.col(place)
     added = term_spans(scanned.select("__p_row", "__p_base", text.alias("text")), **(DEFAULTS | options))
     out = scanned.join(added, "__p_row", "left")
     spans = F.concat("__p_base", F.coalesce("__p_terms", F.array().cast(SPAN)))
     tag = lambda s, pos: F.when(s["start"] < pos, F.lit("")).when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["value"] == "remove", F.lit("")).otherwise(s["value"])
     clean = F.when(F.size(spans) > 0, _rebuild(text, spans, tag)).otherwise(text)
-    return out.select(*[clean.alias(c) if c == text_col else common.column(c) for c in df.columns])
+    return common.named_as(out.withColumn(place, clean), df)
 
 
 def spans_string(spans: Column) -> Column:

@@ -124,39 +124,56 @@ def start_model() -> dict:
     return {"prior": PRIOR_GOOD, **{side: dict.fromkeys(RULES, p) for side, p in PRIOR_VOTES.items()}}
 
 
-def _majority() -> Column:
+def _majority(votes: Column | None = None) -> Column:
     """Share of good ones among the votes of a document, a half without votes."""
-    votes = F.array(*[F.col(f"__q_vote_{r}") for r in RULES])
+    votes = F.array(*[F.col(f"__q_vote_{r}") for r in RULES]) if votes is None else votes
     good, all_ = F.size(F.filter(votes, lambda v: v == 1)), F.size(F.filter(votes, lambda v: v != 0))
-    return F.when(all_ > 0, good / all_).otherwise(0.5)
+    return F.when(all_ > 0, good / all_).otherwise(F.lit(0.5))
+
+
+def _sum(values: Column, of) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + of(x))
+
+
+def _chance(state: Column, votes: Column) -> Column:
+    """Probability that a document with these votes is good, by a state's prior and chances."""
+    weights = F.zip_with(state["good"], state["bad"], lambda g, b: F.struct((F.log(g) - F.log(b)).alias("plus"), (F.log(1 - g) - F.log(1 - b)).alias("minus")))
+    return _let(weights, lambda w: 1 / (1 + F.exp(-(F.log(state["prior"]) - F.log(1 - state["prior"]) + _sum(F.zip_with(votes, w, lambda v, x: F.when(v == 1, x["plus"]).when(v == -1, x["minus"]).otherwise(F.lit(0.0))), lambda x: x)))))
 
 
 def estimate(voted: DataFrame, rounds: int = 60, tolerance: float = 1e-6) -> dict:
     """Expectation-maximisation over the vote patterns of a table, from the majority's verdict on.
 
-    An empty table leaves the start model. Each round is one aggregation over the pattern table; the driver gets only
-    the sums that make the next model.
+    An empty table leaves the start model. One aggregation counts the patterns, whose number has a bound (3 to the number of
+    rules); all rounds are one expression over the array that holds them, and so one job. A round's chances come from the
+    patterns weighed by the round before; it ends where the prior settles.
     """
     names = [f"__q_vote_{r}" for r in RULES]
-    patterns = common.materialize(voted.groupBy(*names).agg(F.count("*").alias("__n")).coalesce(1), "votes")
-    model, before = start_model(), None
-    for turn in range(rounds):
-        weighed = patterns.select("*", ((posterior(model) if turn else _majority()) * F.col("__n")).alias("__g")).withColumn("__b", F.col("__n") - F.col("__g"))
-        sums = [F.sum("__n").alias("n"), F.sum("__g").alias("g")]
-        sums += [F.sum(F.when(F.col(f"__q_vote_{r}") == v, F.col(f"__{side[0]}"))).alias(f"{side}_{r}_{v}") for r in RULES for v in (1, -1) for side in PRIOR_VOTES]
-        row = weighed.agg(*sums).first()
-        if not row["n"]:
-            return model
-        model["prior"] = (row["g"] + PSEUDO_DOCUMENTS * PRIOR_GOOD) / (row["n"] + PSEUDO_DOCUMENTS)
-        for side, p in PRIOR_VOTES.items():
-            for r in RULES:
-                plus, minus = row[f"{side}_{r}_1"] or 0.0, row[f"{side}_{r}_-1"] or 0.0
-                model[side][r] = (plus + PSEUDO_DOCUMENTS * p) / (plus + minus + PSEUDO_DOCUMENTS)
-        if before is not None and abs(before - model["prior"]) < tolerance:
-            break
-        before = model["prior"]
-    common.discard(patterns)
-    return model
+    patterns = voted.groupBy(*names).agg(F.count("*").cast("double").alias("n"))
+    held = patterns.agg(F.array_sort(F.collect_list(F.struct(F.array(*names).alias("v"), "n"))).alias("p"), F.sum("n").alias("n"))
+
+    def next_state(weighed: Column, before: Column) -> Column:
+        """weighed: v, n and g, the share of n that is good."""
+        sides = {"good": lambda x: x["g"], "bad": lambda x: x["n"] - x["g"]}
+
+        def chances(side: str) -> Column:
+            prior = PSEUDO_DOCUMENTS * PRIOR_VOTES[side]
+            count = lambda i, vote: _sum(weighed, lambda x: F.when(x["v"][i] == vote, sides[side](x)).otherwise(F.lit(0.0)))
+            one = lambda i: _let(F.struct(count(i, 1).alias("plus"), count(i, -1).alias("minus")), lambda c: (c["plus"] + prior) / (c["plus"] + c["minus"] + PSEUDO_DOCUMENTS))
+            return F.array(*[one(i) for i in range(len(RULES))])
+
+        share = (_sum(weighed, lambda x: x["g"]) + PSEUDO_DOCUMENTS * PRIOR_GOOD) / (F.col("n") + PSEUDO_DOCUMENTS)
+        return _let(share, lambda p: F.struct(p.alias("prior"), chances("good").alias("good"), chances("bad").alias("bad"), (F.abs(p - before) < tolerance).alias("done")))
+
+    def weighed(chance) -> Column:
+        return F.transform("p", lambda x: F.struct(x["v"].alias("v"), x["n"].alias("n"), (chance(x["v"]) * x["n"]).alias("g")))
+
+    first = _let(weighed(_majority), lambda w: next_state(w, F.lit(-1.0)))
+    step = lambda s, _: F.when(s["done"], s).otherwise(_let(weighed(lambda v: _chance(s, v)), lambda w: next_state(w, s["prior"])))
+    row = held.select("n", F.aggregate(F.sequence(F.lit(2), F.lit(max(rounds, 2))), first, step).alias("s")).first()
+    if not row["n"]:
+        return start_model()
+    return {"prior": row["s"]["prior"], **{side: dict(zip(RULES, row["s"][side])) for side in PRIOR_VOTES}}
 
 
 def accuracies(model: dict) -> dict[str, float]:
@@ -180,7 +197,8 @@ def quality(df: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_
 
 
 def keep_good(df: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of df whose texts are kept, with df's columns."""
-    scored = common.materialize(with_votes(with_features(df, text_col)), "quality-stage")
+    """The rows of df whose texts are kept, with df's columns, whatever their names."""
+    rows, (text,) = common.placed(df, text_col)
+    scored = common.materialize(with_votes(with_features(rows, text)), "quality-stage")
     model = estimate(scored)
-    return scored.filter(~base_failed() & (posterior(model) >= threshold)).select(*[common.column(c) for c in df.columns])
+    return common.named_as(scored.filter(~base_failed() & (posterior(model) >= threshold)), df)

@@ -68,19 +68,19 @@ def op6_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS vec
+  SELECT row_number() OVER () AS row, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS vec
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
 ), parts AS (
-  SELECT vec_id, len(vec) AS dim, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM v
+  SELECT row, vec_id, len(vec) AS dim, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM v
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  SELECT q.row AS asked, c.row AS found, any_value(q.vec_id) AS query_id, any_value(c.vec_id) AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
   FROM parts q JOIN parts c ON q.i = c.i AND q.dim = c.dim AND q.vec_id <> c.vec_id
   WHERE q.vec_id % 100 = 0
   GROUP BY 1, 2
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """

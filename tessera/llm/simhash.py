@@ -250,9 +250,10 @@ def keep_one_of_each(df: DataFrame, threshold: int = 4, shingle: int = 4, id_col
     """One row of each component of df: the one with the smallest id (null ids last), of repeated rows any one. Same
     columns. A component's first row comes from an aggregate that combines before the shuffle, however large it is.
     With `alike`, texts whose `alike_shingle`-word shingles have at least that Jaccard similarity are linked, too."""
+    rows_of, (id_place, text_place) = common.placed(df, id_col, text_col)
     at = df.columns.index(text_col)
     more = [("__s_fp", T.LongType()), ("__s_row", T.LongType()), ("__s_set", T.LongType()), ("__s_n", T.LongType()), ("__s_keys", T.ArrayType(T.LongType())), ("__s_bits", T.ArrayType(T.LongType()))]
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in more]])
+    schema = T.StructType([*rows_of.schema.fields, *[T.StructField(n, t) for n, t in more]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
@@ -266,8 +267,8 @@ def keep_one_of_each(df: DataFrame, threshold: int = 4, shingle: int = 4, id_col
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64)), rows, *made], schema.names)
 
     common.small_batches(df.sparkSession)
-    marked = common.materialize(df.mapInArrow(run, schema), "dedup-stage")
-    mine = marked.select(common.column(id_col).alias("id"), F.col("__s_fp").alias("fp"), F.col("__s_row").alias("row"))
+    marked = common.materialize(rows_of.mapInArrow(run, schema), "dedup-stage")
+    mine = marked.select(F.col(id_place).alias("id"), F.col("__s_fp").alias("fp"), F.col("__s_row").alias("row"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     first = common.materialize(mine.groupBy("fp").agg(best), "distinct-prints")
     links = fingerprint_links(first, threshold)
@@ -275,7 +276,7 @@ def keep_one_of_each(df: DataFrame, threshold: int = 4, shingle: int = 4, id_col
         links = common.materialize(links, "near-links")
         own = F.min(F.struct(F.col("__s_row").alias("row"), F.col("__s_n").alias("n"), F.col("__s_keys").alias("keys"), F.col("__s_bits").alias("bits"))).alias("s")
         sketches = marked.groupBy("__s_fp", "__s_set").agg(own).select("s.row", F.col("__s_fp").alias("grp"), "s.n", "s.keys", "s.bits")
-        links = similar_links(sketches, marked.select(F.col("__s_row").alias("row"), common.column(text_col).alias("text")), links, alike, alike_shingle)
+        links = similar_links(sketches, marked.select(F.col("__s_row").alias("row"), F.col(text_place).alias("text")), links, alike, alike_shingle)
     roots = _roots(links)
     winners = first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias("__s_row"))
-    return marked.join(winners, "__s_row", "left_semi").select(*[common.column(c) for c in df.columns])
+    return common.named_as(marked.join(winners, "__s_row", "left_semi"), df)

@@ -270,8 +270,31 @@ def test_packing_stage_covers_documents(stages):
     assert set(total) == {r["doc_id"] for r in before.collect()} and all(a == b for a, b in total.values())
 
 
+def good_text(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    return docs.join(labels.filter("quality = 1 and toxic = 0"), "doc_id").filter("n_chars between 800 and 2000").orderBy("doc_id").first()["text"]
+
+
 def test_stages_on_empty_and_odd_rows(spark):
-    odd = spark.createDataFrame([(1, None, "en", "s", 0), (None, "w " * 50, "en", "s", 9), (2, "a b", None, None, None), (2, "a b", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
-    for docs in (odd, odd.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, docs, SF).collect()
+    clean = good_text(spark)
+    odd = spark.createDataFrame([(1, None, "en", "s", 0), (None, clean, "en", "s", 9), (2, "a b", None, None, None), (3, clean, None, None, None), (3, clean, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), SF).collect() == []
+        left[name] = sorted((r["doc_id"] for r in stage(spark, odd, SF).collect()), key=repr)
+    assert left["quality_rules"] == [3, 3, None]
+    assert left["toxicity"] == left["pii"] == [1, 2, 3, 3, None]
+    assert left["simhash_near_dedup"] == [1, 2, 3]
+    assert set(left["packing"]) == {1, 2, 3, None}
+
+
+def test_stages_keep_clashing_columns(spark):
+    names = ["doc_id", "text", "__q_n_words", "__q_text", "__s_row", "__s_fp", "__p_row", "__p_base", "a.b"]
+    text = good_text(spark)
+    rows = [(i, text + f" Number {i} wrote from a{i}@example.com.", 77, "kept", -1, -2, -3, "base", i) for i in range(4)]
+    df = spark.createDataFrame(rows, names)
+    for _, stage in [corpus_pipeline.STAGES[i] for i in (0, 2, 3)]:
+        got = stage(spark, df, SF)
+        assert got.columns == names and got.count() > 0
+        assert {tuple(r)[2:8] for r in got.collect()} == {rows[0][2:8]}
+        assert all(r["a.b"] == r["doc_id"] for r in got.collect())

@@ -41,6 +41,17 @@ def test_exact_search_equals_oracle(spark, duck):
     assert got == sorted(duck.sql(queries.OP6_SQL).fetchall())
 
 
+def test_search_sql_takes_repeated_ids_as_rows(spark, tmp_path):
+    import duckdb
+
+    rows = [(0, [1.0, 2.0]), (0, [2.0, 1.0]), (5, [1.0, 1.0]), (5, [3.0, 1.0]), (100, [0.5, 0.5]), (7, [1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in queries.op6_exact_search(spark, str(tmp_path)).collect())
+    assert got == sorted(duck.sql(queries.OP6_SQL).fetchall()) and len(got) == 10
+
+
 def test_pivots_eliminate():
     rng = np.random.default_rng(1)
     centres = rng.integers(-900, 900, (20, 8))
