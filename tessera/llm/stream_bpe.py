@@ -26,6 +26,8 @@ from .fast_ids import byte_symbols, plain_words
 from .vocab import library_tokenizer
 
 WINDOW, MEMO_WORDS, MEMO_CHARS = 1 << 16, 1 << 17, 64
+#: Symbols up to which plain search is faster than a heap; bits of an id; no merge.
+SHORT, _ID, _MASK, _NONE = 24, 24, (1 << 24) - 1, 1 << 62
 _SPACE = regex.compile(r"\s")
 _CLEAN = re.compile(r"[\x09-\x0d ](?=[\x21-\x7e])")
 
@@ -76,7 +78,8 @@ class Merges:
         symbols = byte_symbols()
         self.open = [vocab[c] for c, _ in sorted(symbols.items(), key=lambda x: x[1])]
         self.ended = {vocab[c]: vocab[c + end] for c in symbols}
-        self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: a pair of ids as one number: its rank and what it makes as one number
+        self.ranks = {vocab[a] << _ID | vocab[b]: rank << _ID | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         size = lambda token: len(token) - (len(end) if token.endswith(end) and token != end else 0)
         self.lookahead = sufficient_lookahead(pairs, size)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -88,29 +91,46 @@ class Merges:
             self.names[i] = token
         back = {c: b for c, b in symbols.items()}
         self.bytes = [bytes(back[c] for c in (x[: -len(end)] if x.endswith(end) else x)) + (b" " if x.endswith(end) else b"") if x not in self.special else x.encode() for x in self.names]
-        self.numbers = [str(i) for i in range(len(self.names))]
+        self.written, self.numbers = [x.encode() for x in self.names], [str(i) for i in range(len(self.names))]
         tokens = sorted(self.special, key=len, reverse=True)
         self.split = re.compile("|".join(map(re.escape, tokens)) or r"(?!)")
 
     def merged(self, ids: list[int]) -> list[int]:
         """All merges of a run of symbols: the lowest rank first, equal ones from the left."""
-        n, ranks = len(ids), self.ranks
+        if len(ids) > SHORT:
+            return self._merged_long(ids)
+        find, ids = self.ranks.get, list(ids)
+        made = [find(a << _ID | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while made:
+            best = min(made)
+            if best == _NONE:
+                break
+            i = made.index(best)
+            ids[i : i + 2] = [best & _MASK]
+            del made[i]
+            if i:
+                made[i - 1] = find(ids[i - 1] << _ID | ids[i], _NONE)
+            if i < len(made):
+                made[i] = find(ids[i] << _ID | ids[i + 1], _NONE)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of places and a list of neighbours."""
+        n, find, ids = len(ids), self.ranks.get, list(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*ranks[p], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
-        heap = [(rank, i, new, a, b) for rank, new, i, a, b in heap]
+        heap = [(found, i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (found := find(a << _ID | b, _NONE)) != _NONE]
         heapq.heapify(heap)
-        ids = list(ids)
         while heap:
-            _, i, new, a, b = heapq.heappop(heap)
+            best, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
+            if ids[i] < 0 or j >= n or find(ids[i] << _ID | ids[j], _NONE) != best:
                 continue
-            ids[i], ids[j], after[i] = new, -1, after[j]
+            ids[i], ids[j], after[i] = best & _MASK, -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < n and (found := ranks.get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (found[0], left, found[1], ids[left], ids[right]))
+                if left >= 0 and right < n and (found := find(ids[left] << _ID | ids[right], _NONE)) != _NONE:
+                    heapq.heappush(heap, (found, left))
         return [x for x in ids if x >= 0]
 
 
@@ -262,7 +282,7 @@ class Decoder:
     def __init__(self, table: Merges, written: bool = False):
         """written: as the vocabulary writes its tokens, one space between two, as the library's decode of a file without
         a decoder; else the text itself, in the lower case and with one space after each word."""
-        self.pieces = [x.encode() for x in table.names] if written else table.bytes
+        self.pieces = table.written if written else table.bytes
         self.between = b" " if written else b""
         self.state, self.first = codecs.getincrementaldecoder("utf-8")("replace"), True
 
