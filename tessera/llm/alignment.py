@@ -9,7 +9,7 @@ that what is shuffled are dictionaries and not links.
 from __future__ import annotations
 
 import functools
-import math
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +25,8 @@ from .vocab import library_tokenizer, rank_encoding, safe_chunks
 #: What is broadcast: the pairs of ids held by most documents, so many at most.
 FREQUENT = 1 << 16
 CHUNK_CHARS = 1 << 16
+#: Characters of a chunk of documents, which a longer text exceeds alone: bounds what a worker holds besides its batch.
+CHUNK = 2 << 20
 ALIGNED = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, links binary, pairs binary, held binary"
 
 
@@ -46,15 +48,19 @@ class Side:
 @functools.lru_cache(maxsize=2)
 def byte_side(vocab_path: str, ranks_path: str | None, pattern: str) -> Side:
     """A byte-level vocabulary file over a space and the text; strings of special tokens are plain text."""
-    tokenizer, symbols = library_tokenizer(vocab_path), byte_symbols()
-    names = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
-    tokens = [bytes(symbols[c] for c in x) if all(c in symbols for c in x) else x.encode() for x in names]
+    symbols = byte_symbols()
+    with open(vocab_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {x["id"]: x["content"] for x in spec["added_tokens"]}
+    names = {i: x for x, i in spec["model"]["vocab"].items()} | special
+    tokens = [names[i].encode() if i in special else bytes(symbols[c] for c in names[i]) for i in range(max(names) + 1)]
 
     def encode(text: str) -> np.ndarray:
         text = " " + text
         if ranks_path and plain(text):
             parts = [rank_encoding(ranks_path, pattern).encode_to_numpy(x, disallowed_special=()) for x in safe_chunks(text, CHUNK_CHARS)]
             return np.concatenate(parts).astype(np.int64)
+        tokenizer = library_tokenizer(vocab_path)
         tokenizer.encode_special_tokens = True
         try:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
@@ -113,25 +119,43 @@ def align(text: str | None, a: Side, b: Side) -> tuple[int, int, int, str, np.nd
     return len(ids_a), len(ids_b), int(group[-1]) + 1, written(ids_a, ids_b, of_a, of_b, a, b), ids_a[over_a] << 32 | ids_b[over_b]
 
 
+def _place(size: int) -> str:
+    """The type of a place in a dictionary of that size."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def alignments(df: DataFrame, sides: Callable[[], tuple[Side, Side]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for every document and, last in each chunk, one row with the chunk's dictionary.
 
-    Of a document: doc_id, n_a, n_b, n_groups, n_links, groups, and links, places in the dictionary (unsigned 32-bit). Of a
-    dictionary: pairs (A id << 32 | B id, 64-bit, ascending) and held, by how many documents of the chunk (unsigned 32-bit).
+    Of a document: doc_id, n_a, n_b, n_groups, n_links, groups, and links, places in the dictionary (unsigned, of 16 bits in
+    one of up to 65536 pairs, else 32). Of a dictionary: pairs (A id << 32 | B id, 64-bit, ascending) and held, by how many documents of the chunk (unsigned 32-bit).
     """
     names = [x.split()[0] for x in ALIGNED.split(", ")]
 
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids.append(doc_id)
+                texts.append(text.as_py())
+                size += len(texts[-1] or "")
+                if size >= CHUNK:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield ids, texts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = sides()
         chunk = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            done = [align(text, a, b) for text in batch.column(1).to_pylist()]
+        for ids, texts in chunks(batches):
+            done = [align(text, a, b) for text in texts]
             counts = np.array([len(x[4]) for x in done], np.int64)
             pairs, places = np.unique(np.concatenate([x[4] for x in done]), return_inverse=True)
             held = np.unique(np.repeat(np.arange(len(done)), counts) * max(1, len(pairs)) + places) % max(1, len(pairs))
             ends = np.cumsum(counts)
-            parts = [x.astype("<u4").tobytes() for x in np.split(places, ends[:-1])]
-            columns = [[*batch.column(0).to_pylist(), None], *[[*[x[i] for x in done], None] for i in range(3)], [*counts.tolist(), None], [*[x[3] for x in done], None], [*parts, None]]
+            parts = [x.tobytes() for x in np.split(places.astype(_place(len(pairs))), ends[:-1])]
+            columns = [[*ids, None], *[[*[x[i] for x in done], None] for i in range(3)], [*counts.tolist(), None], [*[x[3] for x in done], None], [*parts, None]]
             columns += [[None] * len(done) + [x] for x in (pairs.astype("<i8").tobytes(), np.bincount(held, minlength=len(pairs)).astype("<u4").tobytes())]
             kinds = [pa.int64()] * 6 + [pa.string()] + [pa.binary()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip([[chunk] * (len(done) + 1), *columns], kinds)], names)
@@ -202,7 +226,7 @@ def aligned(df: DataFrame, sides: Callable[[], tuple[Side, Side]], id_col: str =
         n, best = np.zeros(size, np.int64), np.zeros(size, np.int64)
         place = entries["place"].to_numpy()
         n[place], best[place] = entries["n"].to_numpy(), entries["is_best"].to_numpy().astype(np.int64)
-        links = [np.frombuffer(x, "<u4") for x in documents["links"].to_pylist()]
+        links = [np.frombuffer(x, _place(size)) for x in documents["links"].to_pylist()]
         out = documents.select(told)
         out = out.append_column("n_best", pa.array([int(best[x].sum()) for x in links], pa.int64()))
         return out.append_column("count_sum", pa.array([int(n[x].sum()) for x in links], pa.int64()))
