@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import evaluation as V
+from tessera.operators import lexical as X
 from tessera.operators import retrieval as R
+from tessera.operators.evidence import occurrences
 from tessera.plans.registry import query
 from tessera.session import table
+from tessera.sources.scratch import store
 
 _BM25 = r"""
 tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}', 0) AS w FROM documents),
@@ -46,6 +50,19 @@ def q_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir, 10).select("item_id", "doc_id", "score", "rank")
 
 
+def _bounded(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The lexical channel from a stored index, with bounds."""
+    asked = X.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    index = X.lexical_index(table(spark, sf_dir, "documents"), "doc_id", "text", asked)
+    return X.bounded_top_k(index, asked, "item_id", "doc_id", k)
+
+
+@query(f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM lexical WHERE rank <= 10")
+def q_bm25_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TK2, SR3, SR4: the same ten, from a stored index by impact, skipping what can't be among them."""
+    return _bounded(spark, sf_dir, 10)
+
+
 @query(f"WITH {_DENSE.format(k=3)} SELECT query_id, neighbour_id, score, rank FROM near")
 def q_knn_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SR5, TK3, WN4: three nearest vectors of every vector."""
@@ -152,3 +169,36 @@ def q_overfetch_filter_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = R.top_per(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), ["lang"], [F.desc("n_chars"), F.col("doc_id")], 100, "pre")
     kept = first.join(table(spark, sf_dir, "labels").filter("toxic = 0").select("doc_id"), "doc_id")
     return R.top_per(kept, ["lang"], [F.desc("n_chars"), F.col("doc_id")], 5).select("lang", "doc_id", "n_chars", "rank")
+
+
+_TRUTH = "truth AS (SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+@query(f"""WITH {_FUSED}, {_TRUTH},
+knn AS (SELECT query_id AS source, neighbour_id AS target, score FROM near WHERE rank <= 3 AND query_id < neighbour_id),
+deg AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM knn UNION ALL SELECT target FROM knn) GROUP BY node),
+step AS (SELECT source, target, score FROM knn UNION ALL SELECT target, source, score FROM knn),
+reached AS (SELECT item_id, target AS doc_id, rrf * greatest(s.score, 0) AS gain, 0.15::DOUBLE / 61 * degree / (SELECT max(degree) FROM deg) AS penalty
+  FROM best JOIN step s ON s.source = best.doc_id JOIN deg ON deg.node = s.target WHERE fused_rank <= 10),
+cand AS (SELECT 'flat_bm25' AS variant, item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS score FROM lexical
+  UNION ALL SELECT v, item_id, doc_id, rrf FROM best, (VALUES ('flat_hybrid'), ('adaptive'), ('adaptive_no_hub')) t(v)
+  UNION ALL SELECT 'adaptive', item_id, doc_id, gain - penalty FROM reached UNION ALL SELECT 'adaptive_no_hub', item_id, doc_id, gain FROM reached),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant, item_id ORDER BY score DESC, doc_id) AS rank FROM
+  (SELECT variant, item_id, doc_id, round(max(score), 9) AS score FROM cand GROUP BY ALL)) WHERE rank <= 10),
+listed AS (SELECT top.*, t.doc_id IS NOT NULL AS hit, d.n_chars, d.doc_id IS NOT NULL AS known FROM top LEFT JOIN truth t USING (item_id, doc_id) LEFT JOIN documents d ON d.doc_id = top.doc_id),
+sizes AS (SELECT item_id, count(*) AS n_true FROM truth GROUP BY item_id),
+each AS (SELECT variant, item_id, count(*) AS n, count(*) FILTER (hit) AS hits, coalesce(max(1.0::DOUBLE / rank) FILTER (hit), 0) AS rr FROM listed GROUP BY ALL),
+means AS (SELECT variant, sum(hits / n_true) AS r, sum(hits / n) AS p, sum(rr) AS rr FROM each JOIN sizes USING (item_id) GROUP BY variant),
+about AS (SELECT variant, count(*) FILTER (NOT known) AS fabricated, round(avg(n_chars), 6) AS evidence_chars FROM listed GROUP BY variant), q AS (SELECT count(*) AS n FROM sizes)
+SELECT variant, q.n AS queries_with_truth, round(coalesce(r, 0) / q.n, 6) AS recall, round(coalesce(p, 0) / q.n, 6) AS precision, round(coalesce(rr, 0) / q.n, 6) AS reciprocal_rank, fabricated, evidence_chars
+FROM about LEFT JOIN means USING (variant), q""")
+def q_variant_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SR19, SR20, AG15: four variants of the retrieval run over the benchmark passages, scored against the documents that
+    hold them; channels are made once and shared."""
+    docs, passages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    rows = store(_neighbours(spark, sf_dir, 30), "neighbours")
+    asked = passages.select(F.col("item_id").alias("query_id")).distinct()
+    dense = rows.join(asked, "query_id", "left_semi").select(F.col("query_id").alias("item_id"), F.col("neighbour_id").alias("doc_id"), "rank")
+    rankings = V.variant_rankings(_bounded(spark, sf_dir, 30), dense, R.knn_edges(rows.filter("rank <= 3")), "item_id", "doc_id")
+    truth = occurrences(docs, "doc_id", "text", passages, "item_id", "text").select("item_id", "doc_id")
+    return V.variant_scores(rankings, truth, docs.select("doc_id", "n_chars"), "item_id", "doc_id", "n_chars")
