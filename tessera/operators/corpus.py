@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import legal as G
 from tessera.functions.text import compact_upper, missing, stable_id
+from tessera.operators.patterns import phrase_matches
 from tessera.operators.relational import best_unless_tied, unique_match
 
 #: First words of lines that name an issuer, longest first.
@@ -130,11 +131,9 @@ def citations(sources: DataFrame, documents: DataFrame, provisions: DataFrame, a
     numbered = best_unless_tied(documents.filter("document_number is not null").select(compact_upper(F.col("document_number")).alias("number"), "document_id", "authority_rank"), ["number"], "authority_rank", "document_id")
     refs = refs.withColumn("number", F.when(F.col("instrument").isNotNull(), compact_upper(F.col("instrument"))))
     refs = refs.join(numbered.withColumnRenamed("document_id", "by_number"), "number", "left")
-    # aliases are a curated list: its rows are few, and it is joined by its words, not row by row
-    keyed = aliases.select(F.lower("alias").alias("alias"), F.col("document_id").alias("by_alias"), F.element_at(F.split(F.lower("alias"), r"\s+"), 1).alias("lead"))
-    words = F.array_distinct(F.split(F.lower("text"), r"\s+"))
-    bare = refs.filter("instrument is null").select("source_id", "n", F.lower("text").alias("low"), F.explode(words).alias("lead"))
-    named = bare.join(keyed, "lead").filter(F.col("low").contains(F.col("alias"))).groupBy("source_id", "n").agg(F.min("by_alias").alias("by_alias"), F.count_distinct("by_alias").alias("k")).filter("k = 1").drop("k")
+    bare = refs.filter("instrument is null").select(F.struct("source_id", "n").alias("ref"), "text")
+    named = phrase_matches(bare, "ref", "text", aliases, "document_id", "alias").groupBy("ref").agg(F.min("document_id").alias("by_alias"), F.count_distinct("document_id").alias("k"))
+    named = named.filter("k = 1").select("ref.source_id", "ref.n", "by_alias")
     refs = refs.join(named, ["source_id", "n"], "left")
     method = F.when(F.col("instrument").isNotNull(), "explicit_instrument_number").when(F.col("by_alias").isNotNull(), "curated_alias").when(F.col("owner").isNotNull(), "same_instrument").otherwise("unresolved")
     document = F.when(F.col("instrument").isNotNull(), F.col("by_number")).otherwise(F.coalesce("by_alias", "owner"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evidence as E
 from tessera.operators import relational as L
+from tessera.operators.patterns import phrase_matches
 from tessera.plans.inline import cte, frame
 from tessera.plans.registry import query
 from tessera.session import table
@@ -121,3 +122,11 @@ def q_citation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = F.concat_ws(" → ", "valid_from", "valid_to")
     claim = F.format_string("claim_%03d", F.col("position"))
     return rows.select("id", claim.alias("claim_id"), E.citation_text({k: F.col(k) for k in ("point", "clause", "article", "number")}).alias("place"), F.when(version != "", version).alias("law_version"))
+
+
+@query("""SELECT d.doc_id, b.item_id, CAST((length(d.text) - length(replace(lower(d.text), lower(b.text), ''))) / length(b.text) AS BIGINT) AS n, CAST(instr(lower(d.text), lower(b.text)) - 1 AS INTEGER) AS first
+FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) WHERE b.text <> ''""")
+def q_phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN7: every passage looked for in every text by one automaton."""
+    hits = phrase_matches(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text", whole_words=False, only_longest=False)
+    return hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.min("start").alias("first"))

@@ -10,7 +10,7 @@ import importlib
 from collections.abc import Callable
 
 FLAGSHIP = "q_bm25_topk"
-MODULES = ("retrieval", "relational", "graph", "text", "answer", "resolver", "gates", "documents", "streams", "build", "audits")
+MODULES = ("retrieval", "relational", "graph", "text", "answer", "resolver", "gates", "documents", "streams", "build", "audits", "versions")
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
