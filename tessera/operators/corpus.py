@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,18 +14,24 @@ from tessera.functions.text import compact_upper, missing, stable_id
 from tessera.operators.patterns import phrase_matches
 from tessera.operators.relational import best_unless_tied, unique_match
 
-#: First words of lines that name an issuer, longest first.
+#: First words of lines that name an issuer.
 ISSUERS = [
+    ("QUỐC HỘI", "Quốc hội"),
     ("ỦY BAN THƯỜNG VỤ QUỐC HỘI", "Ủy ban Thường vụ Quốc hội"),
-    ("BẢO HIỂM XÃ HỘI VIỆT NAM", "Bảo hiểm xã hội Việt Nam"),
-    ("HỘI ĐỒNG THẨM PHÁN", "Hội đồng Thẩm phán TANDTC"),
-    ("BỘ LAO ĐỘNG", "Bộ Lao động - Thương binh và Xã hội"),
     ("CHÍNH PHỦ", "Chính phủ"),
+    ("BỘ LAO ĐỘNG", "Bộ Lao động - Thương binh và Xã hội"),
     ("BỘ NỘI VỤ", "Bộ Nội vụ"),
-    ("QUỐC HỘI", "Quốc hội"),
+    ("HỘI ĐỒNG THẨM PHÁN", "Hội đồng Thẩm phán TANDTC"),
+    ("BẢO HIỂM XÃ HỘI VIỆT NAM", "Bảo hiểm xã hội Việt Nam"),
 ]
+#: Lines that name an instrument, that belong to its body, that end a title, and attachments.
 TITLE_LINE = r"^(BỘ LUẬT|LUẬT|NGHỊ ĐỊNH|THÔNG TƯ|NGHỊ QUYẾT|VĂN BẢN HỢP NHẤT)(?:\s|$)"
-TITLE_STOP = r"(?iu)^(Căn cứ|Điều\s|Số:|\(?Ban hành kèm)"
+BODY_LINE = r"(?iu)^(Căn cứ|Điều\s+\d)"
+TITLE_STOP = r"(?iu)^(Căn cứ|Điều|Số:|\(?Ban hành kèm)"
+ATTACHED = r"(?iu)ban hành kèm theo"
+#: Where a head ends, how a court's name begins, and names of files of cases.
+HEAD_END = r"(?iu)Căn cứ|Điều\s+1(?![\p{L}\p{N}_])"
+COURTS = ("TÒA ÁN NHÂN DÂN", "TOÀ ÁN NHÂN DÂN")
 CASE_FILE = r"(?iu)(\d{1,4})[-/](\d{4})[-/]((?:LĐ|LD)[A-ZĐ-]*|AL)(?:$|[_. ])"
 #: Markers of a judgment's sections.
 SECTION_MARKERS = {"facts": ["NỘI DUNG VỤ ÁN", "NỘI DUNG VỤ VIỆC"], "reasoning": ["NHẬN ĐỊNH CỦA TÒA ÁN", "NHẬN ĐỊNH CỦA TOÀ ÁN"], "decision": ["QUYẾT ĐỊNH"]}
@@ -37,31 +45,40 @@ def lines_of(text: Column, within: int) -> Column:
     return F.filter(F.transform(F.split(F.substring(text, 1, within), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def _before(lines: Column, pattern: str) -> Column:
+    """The lines before the first one that the pattern finds."""
+    at = F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), True).cast("int")
+    return F.when(at > 0, F.slice(lines, F.lit(1), at - 1)).otherwise(lines)
+
+
 def title_of(text: Column, filename: Column) -> Column:
-    """The line that names the instrument and up to three after it, else the file's name."""
+    """The line that names the instrument, before preamble and articles and not as an attachment, and up to three after it;
+    else the file's name."""
 
     def build(lines: Column) -> Column:
-        at = F.array_position(F.transform(lines, lambda x: x.rlike(TITLE_LINE)), True).cast("int")
-        rest = F.slice(lines, at + 1, F.lit(3))
-        stop = F.array_position(F.transform(rest, lambda x: x.rlike(TITLE_STOP)), True).cast("int")
-        kept = F.when(stop > 0, F.slice(rest, F.lit(1), F.greatest(F.lit(0), stop - 1))).otherwise(rest)
-        named = F.substring(F.array_join(F.concat(F.slice(lines, at, F.lit(1)), kept), " "), 1, 350)
-        return F.when(at > 0, named)
+        names = F.transform(_before(lines, BODY_LINE), lambda x: x.rlike(TITLE_LINE) & ~x.rlike(ATTACHED))
+        at = F.array_position(names, True).cast("int")
+        kept = _before(F.slice(lines, at + 1, F.lit(3)), TITLE_STOP)
+        return F.when(at > 0, F.substring(F.array_join(F.concat(F.slice(lines, F.greatest(at, F.lit(1)), F.lit(1)), kept), " "), 1, 350))
 
     found = F.transform(F.array(lines_of(text, 6000)), build)[0]
     return F.coalesce(found, F.replace(F.regexp_replace(filename, r"\.[^.]*$", ""), F.lit("_"), F.lit(" ")))
 
 
 def issuer_from_text(text: Column) -> Column:
-    """The issuer of the first of 25 head lines that begins with one; longer names are tried first."""
+    """The issuer of the first head line that begins with one, longer names before shorter, or the name of a court; the head
+    are the first 25 lines before preamble and first article."""
+    lead = lambda names, up: functools.reduce(operator.or_, [up.startswith(n) for n in names])
 
     def of(line: Column) -> Column:
-        out, up = None, F.upper(line)
-        for lead, issuer in ISSUERS:
-            out = F.when(up.startswith(lead), issuer) if out is None else out.when(up.startswith(lead), issuer)
-        return out
-
-    return F.get(F.array_compact(F.transform(F.slice(lines_of(text, 3000), 1, 25), of)), F.lit(0))
+        up, out = F.upper(line), F
+        for name, issuer in sorted(ISSUERS, key=lambda x: -len(x[0])):
+            out = out.when(up.startswith(name), issuer)
+        return out.when(lead(COURTS, up), line)
+
+    head = F.get(F.split(F.substring(text, 1, 3000), HEAD_END, 2), F.lit(0))
+    lines = F.transform(F.slice(F.split(head, r"\r?\n"), 1, 25), lambda x: F.trim(x))
+    return F.get(F.array_compact(F.transform(lines, of)), F.lit(0))
 
 
 def case_number(filename: Column, text: Column) -> Column:
