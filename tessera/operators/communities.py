@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.scratch import store
+from tessera.sources.scratch import discard, store
 
 #: Weights are rounded to this fraction.
 SCALE = 1_000_000
@@ -33,8 +33,8 @@ def lookup(rows: DataFrame, facts: DataFrame, key: str, often: Column, spread: s
     return out.select(*rows.columns, *[both[c].alias(c) for c in rest])
 
 
-def _start(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """links (u, v, w), both ways, and nodes (u, loop, k, n): own weight, all weight, number of links."""
+def _start(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A stored table, links (u, v, w) out of it (u, v, w), both ways, and nodes (u, loop, k, n): own weight, all weight, number of links."""
     weight = F.round(F.greatest(F.coalesce(F.col("weight"), F.lit(0.0)), F.lit(0.0)) * SCALE).cast("decimal(38,0)")
     known = edges.filter("source is not null and target is not null").select(F.col("source").cast("string").alias("u"), F.col("target").cast("string").alias("v"), weight.alias("w"))
     ways = F.explode(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
@@ -42,10 +42,10 @@ def _start(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _nodes(both)
 
 
-def _nodes(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _nodes(both: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     loop = F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(F.lit(0))).cast("decimal(38,0)")
     nodes = store(both.groupBy("u").agg(loop.alias("loop"), F.sum("w").cast("decimal(38,0)").alias("k"), F.count("*").alias("n")), "nodes")
-    return both.filter("u <> v"), nodes
+    return both, both.filter("u <> v"), nodes
 
 
 def _turn(links: DataFrame, nodes: DataFrame, labels: DataFrame, n_links: int, n_nodes: int, total: int, turn: int) -> DataFrame:
@@ -89,19 +89,22 @@ def modularity_communities(edges: DataFrame, turns: int = 30, levels: int = 20,
     A level takes turns until nothing moves or modularity gains less than `least_gain`, and keeps the best turn's labels; the
     next level begins with those as nodes, until they don't merge any more.
     """
-    links, nodes = _start(edges)
+    whole, links, nodes = _start(edges)
     total, n_links, n_nodes = nodes.agg(F.sum("k"), F.sum("n"), F.count("*")).first()
     of = nodes.select(F.col("u").alias("node"), F.col("u").alias("c"))
     for _ in range(levels if total else 0):
+        turned: list[DataFrame] = []
         labels, kept, best, quiet, still = nodes.select("u", F.col("u").alias("c")), None, None, 0, 0
         for turn in range(turns):
             state = store(_turn(links, nodes, labels, n_links, n_nodes, int(total), turn), "turn")
+            turned.append(state)
             q, moves = _score(state, int(total))
             quiet = 0 if best is None or q > best + least_gain else quiet + 1
             still = 0 if moves else still + 1
             if best is None or q > best:
                 kept, best = state, q
             labels = state.select("u", F.col("to").alias("c"))
+            discard(*[t for t in turned if t is not kept and t is not state])
             if quiet >= 4 or still >= 2:
                 break
         names = kept.select("u", "c")
@@ -109,6 +112,7 @@ def modularity_communities(edges: DataFrame, turns: int = 30, levels: int = 20,
         n_after = names.select("c").distinct().count()
         if n_after == n_nodes:
             break
+        discard(*([of] if hasattr(of, "_scratch") else []))
         of = merged
         ends = names.select(F.col("u").alias("v"), F.col("c").alias("cv"))
         degree = nodes.select(F.col("u").alias("v"), F.col("n").alias("at_v"))
@@ -117,7 +121,9 @@ def modularity_communities(edges: DataFrame, turns: int = 30, levels: int = 20,
         outer = half.groupBy("u", "cv").agg(F.sum("w").cast("decimal(38,0)").alias("w")).join(names, "u")
         inner = nodes.join(names, "u").select(F.col("c").alias("u"), F.col("c").alias("v"), F.col("loop").alias("w"))
         both = outer.select(F.col("c").alias("u"), F.col("cv").alias("v"), "w").unionByName(inner).groupBy("u", "v").agg(F.sum("w").cast("decimal(38,0)").alias("w"))
-        links, nodes = _nodes(store(both, "links"))
+        before = whole, nodes, *turned
+        whole, links, nodes = _nodes(store(both, "links"))
+        discard(*before)
         n_links, n_nodes = nodes.agg(F.sum("n"), F.count("*")).first()
     first = of.groupBy("c").agg(F.min("node").alias("community"), F.count("*").alias("members"))
     return lookup(of, first, "c", F.col("members") > max(of.count(), 1) / SHARES, "node").select("node", "community")
@@ -125,7 +131,7 @@ def modularity_communities(edges: DataFrame, turns: int = 30, levels: int = 20,
 
 def modularity(edges: DataFrame, communities: DataFrame) -> float:
     """The modularity of a partition (node, community) of such a graph."""
-    links, nodes = _start(edges)
+    _, links, nodes = _start(edges)
     total = nodes.agg(F.sum("k")).first()[0]
     if not total:
         return 0.0

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.scratch import store
+from tessera.sources.scratch import discard, store
 
 
 def next_edges(rows: DataFrame, parent: list[str], order: list[str], key: str) -> DataFrame:
@@ -75,7 +75,9 @@ def expand(seeds: DataFrame, edges: DataFrame, score: Column, rounds: int, max_n
         order = Window.partitionBy("seed").orderBy(F.desc("score"), "target")
         fresh = fresh.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_nodes)
         new = fresh.select("seed", F.col("target").alias("node"), F.lit(turn).alias("round"), "parent", "score")
-        visited = store(visited.unionByName(new), "expand")
+        before, visited = visited, store(visited.unionByName(new), "expand")
+        discard(before)
+    discard(step)
     return visited
 
 
@@ -86,8 +88,9 @@ def descendants(rows: DataFrame, key: str, parent: str, roots: DataFrame) -> Dat
     level = found
     while not level.isEmpty():
         below = links.join(level.select(F.col(key).alias(parent)), parent, "left_semi").select(key).distinct()
-        level = store(below.join(found, key, "left_anti"), "descendants")
-        found = store(found.unionByName(level), "descendants")
+        above, level = level, store(below.join(found, key, "left_anti"), "descendants")
+        before, found = found, store(found.unionByName(level), "descendants")
+        discard(above, before)
     return found
 
 
@@ -128,7 +131,9 @@ def communities(edges: DataFrame) -> DataFrame:
         up = moved.select(F.col("node").alias("c"), F.col("community").alias("cc"))
         moved = store(moved.join(up, moved["community"] == up["c"], "left").select("node", F.least("community", F.coalesce("cc", "community")).alias("community")), "communities")
         same = moved.join(labels.withColumnRenamed("community", "before"), "node").filter("community <> before").isEmpty()
-        labels = moved
+        before, labels = labels, moved
+        discard(before)
         if same:
             break
+    discard(both)
     return labels

@@ -15,6 +15,8 @@ from tessera.plans.registry import query
 from tessera.session import table
 from tessera.sources import sinks
 from tessera.sources.files import pending
+from tessera.sources.graph_store import load_graph, read_graph
+from tessera.sources.scratch import scratch_path
 
 DOCS = [
     ("laws/45-2019-QH14.pdf", "LEGAL_DOCUMENT", "LAW", "QUỐC HỘI\nBỘ LUẬT\nLAO ĐỘNG\nCăn cứ Hiến pháp\nĐiều 35. Quyền chấm dứt hợp đồng\n1. Người lao động có quyền đơn phương chấm dứt\na) Không được trả đủ lương đúng hạn\nĐiều 36. Theo khoản 1 Điều 35 thì báo trước\nBộ luật này có hiệu lực thi hành từ ngày 01 tháng 01 năm 2021."),
@@ -278,3 +280,20 @@ def q_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN6: the last question's turn carried forward."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")).alias("asked"))
     return C.carried(rows, ["conv_id"], ["turn"], ["asked"]).select("conv_id", "turn", F.coalesce("asked", F.lit(-1)).alias("asked"))
+
+
+@query("""SELECT kind, type, count(*) AS n, count(DISTINCT id) AS ids, min(properties) AS least FROM (
+  SELECT 'node' AS kind, 'NATION' AS type, 'n' || n_nationkey AS id, n_name AS properties FROM nation UNION ALL SELECT 'node', 'REGION', 'r' || r_regionkey, r_name FROM region
+  UNION ALL SELECT 'node', 'SUPPLIER', 's' || s_suppkey, s_name FROM supplier
+  UNION ALL SELECT 'edge', 'PART_OF', 'n' || n_nationkey || '>r' || n_regionkey, NULL FROM nation UNION ALL SELECT 'edge', 'BELONGS_TO', 's' || s_suppkey || '>n' || s_nationkey, NULL FROM supplier) GROUP BY kind, type""")
+def q_graph_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK3: nodes and edges loaded into the graph store in one transaction, and read back."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nation, region, supplier = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    node = lambda df, kind, p, c, name: df.select(key(p, c).alias("id"), F.lit(kind).alias("type"), F.col(name).alias("properties"))
+    nodes = node(nation, "NATION", "n", "n_nationkey", "n_name").unionByName(node(region, "REGION", "r", "r_regionkey", "r_name")).unionByName(node(supplier, "SUPPLIER", "s", "s_suppkey", "s_name"))
+    edge = lambda df, kind, a, b: df.select(F.concat(a, F.lit(">"), b).alias("id"), a.alias("source"), b.alias("target"), F.lit(kind).alias("type"), F.lit(None).cast("string").alias("properties"))
+    edges = edge(nation, "PART_OF", key("n", "n_nationkey"), key("r", "n_regionkey")).unionByName(edge(supplier, "BELONGS_TO", key("s", "s_suppkey"), key("n", "s_nationkey")))
+    path = scratch_path(spark, "graph-store")
+    load_graph(spark, nodes, edges, path)
+    return read_graph(spark, path).groupBy("kind", "type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min("properties").alias("least"))
