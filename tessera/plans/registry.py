@@ -10,7 +10,7 @@ import importlib
 from collections.abc import Callable
 
 FLAGSHIP = "q_bm25_topk"
-MODULES = ("retrieval", "relational", "graph", "text", "answer", "rounds", "resolver", "gates", "documents", "streams", "resolution", "build", "audits", "versions")
+MODULES = ("retrieval", "relational", "graph", "property_graph", "text", "answer", "rounds", "resolver", "gates", "documents", "streams", "resolution", "build", "audits", "versions")
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
