@@ -49,32 +49,55 @@ def top_per(rows: DataFrame, by: list[str], order: list[Column], k: int, rank: s
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
-def dense_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int = 2048) -> DataFrame:
+#: Rows of a block of vectors, at least and at most, and those of one product with a block.
+BLOCKS, SLAB = (2048, 16384), 512
+
+
+def _largest(score: np.ndarray, k: int, near: float = 2e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of at least each row's k largest scores and what comes close to them. A bound is the k-th
+    largest of the maxima of groups of columns: so many columns reach it."""
+    wide = 32 if score.shape[1] >= 64 * k else 1
+    maxima = score[:, : score.shape[1] // wide * wide].reshape(len(score), -1, wide).max(axis=2) if wide > 1 else score
+    if maxima.shape[1] > k:
+        bound = -np.partition(-maxima, k - 1, axis=1)[:, k - 1 : k] - near
+        i, j = np.nonzero(~(score < bound))  # scores that aren't numbers stay, as before
+    else:
+        i, j = (x.ravel() for x in np.indices(score.shape))
+    return i, j, score[i, j]
+
+
+def dense_top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, block: int | None = None) -> DataFrame:
     """query_id, neighbour_id, score, rank by inner product in doubles, rounded to 6 digits; own key left out.
 
-    Both sides are dealt out in blocks of fixed size and every pair of blocks is one matrix product, so neither side
-    is ever broadcast or held whole.
+    Both sides are dealt out in blocks of bounded size (an eighth of the rows, within BLOCKS, unless given) and every pair of
+    blocks is a matrix product, made a few rows at a time, so neither side is ever broadcast or held whole.
     """
-    clean = lambda df: df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    narrow = all(dict(df.dtypes)[vector] == "array<float>" for df in (queries, rows))  # doubles are made of them in the tasks
+    clean = lambda df: df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), (F.col(vector) if narrow else F.col(vector).cast("array<double>")).alias("v"))
     asked, have = clean(queries), clean(rows)
-    a, b = max(1, -(-asked.count() // block)), max(1, -(-have.count() // block))
+    n, m = asked.count(), have.count()
+    block = block or max(BLOCKS[0], min(BLOCKS[1], -(-m // 8)))
+    a, b = max(1, -(-n // block)), max(1, -(-m // block))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = asked.select("id", "v", deal(a).alias("qa"), every(b).alias("rb"))
     have = have.select("id", "v", deal(b).alias("rb"), every(a).alias("qa"))
 
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = lambda t: np.array(t["v"].to_pylist(), float).reshape(t.num_rows, -1)
-        ids, own = right["id"].to_numpy(), left["id"].to_numpy()
+        m = lambda t: t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
         out = {"query_id": [], "neighbour_id": [], "score": []}
         if left.num_rows and right.num_rows:
-            score = np.round(m(left) @ m(right).T, 6)
-            for i, s in enumerate(score):
-                order = np.lexsort((ids, -s))
-                order = order[ids[order] != own[i]][:k]
-                out["query_id"].append(np.full(len(order), own[i]))
-                out["neighbour_id"].append(ids[order])
-                out["score"].append(s[order])
+            asked, have = m(left), np.ascontiguousarray(m(right).T)
+            ids, own = right["id"].to_numpy(), left["id"].to_numpy()
+            for at in range(0, len(own), SLAB):
+                i, j, score = _largest(asked[at : at + SLAB] @ have, k + 1)
+                i, score = own[at + i], np.round(score, 6)
+                best = np.lexsort((ids[j], -score, i))
+                best = best[ids[j[best]] != i[best]]
+                rank = np.arange(len(best)) - np.searchsorted(i[best], i[best], side="left")
+                best = best[rank < k]
+                for name, values in zip(out, (i[best], ids[j[best]], score[best])):
+                    out[name].append(values)
         return pa.table({n: np.concatenate(x) if x else np.empty(0, float if n == "score" else np.int64) for n, x in out.items()})
 
     pairs = asked.groupBy("qa", "rb").cogroup(have.groupBy("qa", "rb")).applyInArrow(product, "query_id long, neighbour_id long, score double")
