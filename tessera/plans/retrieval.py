@@ -196,9 +196,9 @@ def q_variant_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SR19, SR20, AG15: four variants of the retrieval run over the benchmark passages, scored against the documents that
     hold them; channels are made once and shared."""
     docs, passages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    rows = store(_neighbours(spark, sf_dir, 30), "neighbours")
-    asked = passages.select(F.col("item_id").alias("query_id")).distinct()
-    dense = rows.join(asked, "query_id", "left_semi").select(F.col("query_id").alias("item_id"), F.col("neighbour_id").alias("doc_id"), "rank")
-    rankings = V.variant_rankings(_bounded(spark, sf_dir, 30), dense, R.knn_edges(rows.filter("rank <= 3")), "item_id", "doc_id")
+    dense = store(_neighbours(spark, sf_dir, 30, passages.select("item_id").distinct()), "neighbours")
+    dense = dense.select(F.col("query_id").alias("item_id"), F.col("neighbour_id").alias("doc_id"), "rank")
+    nearest = store(_neighbours(spark, sf_dir, 3), "neighbours")
+    rankings = V.variant_rankings(_bounded(spark, sf_dir, 30), dense, R.knn_edges(nearest), "item_id", "doc_id")
     truth = occurrences(docs, "doc_id", "text", passages, "item_id", "text").select("item_id", "doc_id")
     return V.variant_scores(rankings, truth, docs.select("doc_id", "n_chars"), "item_id", "doc_id", "n_chars")
