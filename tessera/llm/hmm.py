@@ -34,8 +34,7 @@ TAILS = 2048  # classes 1 to TAILS are of words without a class of their own; cl
 OWN, OWN_MOST, WORDS_PER_OWN = 2047, 1 << 15, 16  # words with a class of their own: at least, at most, else a share
 CLASSES = 1 + TAILS + OWN  # at least
 STATES = 8
-GAIN = 0.1  # training ends with the round that finds the one before to have gained less, in log10 a held-out token,
-SLOW = 2  # but for the first rounds: states start nearly alike and need some to part
+SLOW = 2  # training ends where held-out texts lose, but for the first rounds: states start nearly alike and need some to part
 ROUNDS, SETTLED = 30, 1e-4  # at most; also ended where no chance moves by more than SETTLED
 BATCH_TOKENS = 400_000  # tokens that are worked on side by side
 BUFFER_TOKENS = 4_000_000  # tokens that are held to bring texts of like length together
@@ -319,20 +318,20 @@ def train(coded: DataFrame, class_total: np.ndarray) -> Hmm:
     """Baum-Welch over the coded training texts; only sums by (state, class) and (state, state) leave the partitions.
 
     Each round also scores the held-out texts by the model it begins with, in the same pass. They teach it nothing but when
-    to stop: where the round before gained less than GAIN, and at once where it lost.
+    to stop: once the round before has lost, whose model is dropped. Small gains end nothing.
     """
-    model, before, known, gained = first_model(class_total), None, None, None
+    model, before, known = first_model(class_total), None, None
     spark, by_state = coded.sparkSession, [f"n{j}" for j in range(STATES)]
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            score = np.zeros(STATES)  # sum of log10, tokens
+            score = np.zeros((2, STATES))  # sum of log10 and tokens, in the first column
 
             def training() -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     for _, texts in _grouped(iter([batch.filter(batch.column(2))])):
-                        score[:2] += log_likelihoods(sent.value, texts).sum() / math.log(10), sum(map(len, texts))
+                        score[:, 0] += log_likelihoods(sent.value, texts).sum() / math.log(10), sum(map(len, texts))
                     yield batch.filter(pc.invert(batch.column(2)))
 
             for kind, table in enumerate((*counts_of(sent.value, training()), score)):
@@ -343,17 +342,16 @@ def train(coded: DataFrame, class_total: np.ndarray) -> Hmm:
         texts = coded.select("row", "classes", "held_out")
         sums = texts.mapInArrow(count, "kind int, i int, " + ", ".join(f"{n} double" for n in by_state)).groupBy("kind", "i").agg(*[F.sum(n).alias(n) for n in by_state])
         sums = sums.select("kind", "i", F.array(*by_state).alias("n")).collect()
-        held = [r["n"][0] / r["n"][1] for r in sums if r["kind"] == 3 and r["n"][1]]
+        held = {r["i"]: r["n"][0] for r in sums if r["kind"] == 3}
         sums = [r for r in sums if r["kind"] < 3]
         if not sums:
             break
-        if held:
-            gained, known = held[0] - known if known is not None else None, held[0]
-            if turn >= SLOW and gained < 0:
+        if held.get(1):
+            now = held.get(0, 0.0) / held[1]
+            if turn >= SLOW and now < known:
                 return before
+            known = now
         before, model = model, _reestimate(model, sums, class_total)
-        if turn >= SLOW and gained is not None and gained < GAIN:
-            break
         if max(np.abs(a - b).max() for a, b in ((before.start, model.start), (before.move, model.move), (before.emit, model.emit))) < SETTLED:
             break
     return model

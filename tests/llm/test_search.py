@@ -292,3 +292,16 @@ def test_components_over_many_files(spark, monkeypatch):
     monkeypatch.setattr(module, "LINKS_PER_FILE", 100)
     monkeypatch.setattr(module, "HUB", 20)
     assert sorted(map(tuple, module.connected_components(df.repartition(3), "a", "b").collect())) == once
+
+
+def test_training_goes_on_while_held_out_texts_gain(spark, monkeypatch):
+    """No gain is too small: training ends with ROUNDS, where held-out texts lose, or where nothing moves."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rounds, plain = [], hmm._reestimate
+    monkeypatch.setattr(hmm, "_reestimate", lambda *x: rounds.append(1) or plain(*x))
+    monkeypatch.setattr(hmm, "ROUNDS", 7)
+    held = lambda: sum(r["score"] for r in hmm.score_texts(docs).filter("held_out").collect())
+    seven = held()
+    assert len(rounds) == 7
+    monkeypatch.setattr(hmm, "ROUNDS", 4)
+    assert seven > held()
