@@ -18,6 +18,17 @@ def postings(units: DataFrame, key: str, text: str) -> DataFrame:
     return exploded.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
+#: Pairs of a query's term and a posting that one task adds up.
+PAIRS = 1_000_000
+
+
+def dealt(found: DataFrame, unit: str, asked: DataFrame) -> DataFrame:
+    """Postings (unit, term) dealt out by unit, to so many tasks that each meets about PAIRS pairs with asked terms."""
+    both = found.groupBy("term").agg(F.count("*").alias("n")).join(asked.groupBy("term").agg(F.count("*").alias("m")), "term")
+    pairs = both.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    return found.repartition(max(1, -(-pairs // PAIRS)), unit)
+
+
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     return queries.select(F.col(key), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
@@ -40,7 +51,7 @@ def bm25(units: DataFrame, unit_key: str, unit_text: str, queries: DataFrame, qu
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(mean or 1.0))))
-    scored = found.join(frequency, "term").join(asked, "term").groupBy(query_key, unit_key).agg(F.round(F.sum(idf * weight), 6).alias("score"))
+    scored = dealt(found, unit_key, asked).join(frequency, "term").join(asked, "term").groupBy(query_key, unit_key).agg(F.round(F.sum(idf * weight), 6).alias("score"))
     return top_per(scored, [query_key], [F.desc("score"), F.col(unit_key)], k)
 
 
@@ -168,5 +179,6 @@ def overlap_channel(units: DataFrame, unit: str, text: str, queries: DataFrame,
     asked = queries.select(F.col(query), F.array_distinct(tokens(F.col(query_text), least)).alias("q"))
     terms = asked.select(query, F.size("q").alias("n_terms"), F.explode("q").alias("term"))
     have = units.select(F.col(unit), F.explode(F.array_distinct(tokens(F.col(text), least))).alias("term"))
-    shared = have.join(terms, "term").groupBy(query, unit, "n_terms").agg(F.count("*").alias("overlap"))
+    have = store(have.join(terms.select("term").distinct(), "term", "left_semi"), "postings")
+    shared = dealt(have, unit, terms).join(terms, "term").groupBy(query, unit, "n_terms").agg(F.count("*").alias("overlap"))
     return shared.select(query, unit, "overlap", F.round(F.col("overlap") / F.greatest(F.lit(1), F.col("n_terms")), 6).alias("score"))
