@@ -9,7 +9,8 @@ smoothed share of its training counts:
 
 Word counts are summed over all partitions. Frequent words (a fixed number at most) go to every worker; all others meet
 their counts in a join. Baum-Welch counts of all partitions are summed by state and class; every round takes every
-training text, whole: texts too long for one step of work are walked through in pieces that hand on their states.
+training text, whole: texts too long for one step of work are walked through in pieces that hand on their states. Texts are
+laid out side by side once, in stored blocks that every round reads.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ CLASSES = 1 + TAILS + OWN  # at least
 STATES = 8
 SLOW = 2  # training ends where held-out texts lose, but for the first rounds: states start nearly alike and need some to part
 ROUNDS, SETTLED = 30, 1e-4  # at most; also ended where no chance moves by more than SETTLED
-BATCH_TOKENS = 400_000  # tokens that are worked on side by side
+BATCH_TOKENS = 800_000  # tokens that are worked on side by side
 BUFFER_TOKENS = 4_000_000  # tokens that are held to bring texts of like length together
 RESCALE = 8  # steps between two normalisations of a recursion
 
@@ -130,19 +131,27 @@ def encode(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out: list[list] = [[] for _ in range(7)]
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = words_of(text)
-                    where = np.array([index.get(w, -1) for w in words] + [-1], np.int64)[:-1]
-                    known = where >= 0
-                    rest = [words[i] for i in np.flatnonzero(~known)]
-                    classes = np.zeros(len(words) + 1, "<u2")
-                    if len(index):
-                        classes[:-1] = own[where]
-                    classes[:-1][~known] = [tail_class(w) for w in rest]
-                    row = (held_out(doc_id), len(classes), int(known.sum()) + (ends > 0), float(log_count[where[known]].sum()) + log_end, float(log_class[classes].sum()), classes.tobytes(), rest)
-                    for column, value in zip(out, row):
-                        column.append(value)
+                ids = part.column(0).to_pylist()
+                words = [words_of(text) for text in part.column(1).to_pylist()]
+                n = np.array([len(x) for x in words], np.int64)
+                ends_at = np.cumsum(n + 1)
+                begins = ends_at - n - 1
+                every = list(chain.from_iterable(words))
+                where = np.fromiter(map(index.get, every, repeat(-1)), np.int64, len(every))
+                known = where >= 0
+                at = np.arange(len(every)) + np.repeat(np.arange(len(words)), n)  # a place behind each text is its end's
+                classes, logs, hits = np.zeros(len(every) + len(words), "<u2"), np.zeros(len(every) + len(words)), np.zeros(len(every) + len(words), np.int64)
+                rest = [every[i] for i in np.flatnonzero(~known)]
+                classes[at[known]] = own[where[known]]
+                classes[at[~known]] = [tail_class(w) for w in rest]
+                logs[at[known]] = log_count[where[known]]
+                hits[at] = known
+                sums = [np.add.reduceat(x, begins) if len(begins) else x for x in (hits, logs, log_class[classes])]
+                rests = np.cumsum(n - sums[0]).tolist()
+                out = [
+                    [held_out(doc_id) for doc_id in ids], n + 1, sums[0] + (ends > 0), sums[1] + log_end, sums[2],
+                    [classes[a:b].tobytes() for a, b in zip(begins, ends_at)], [rest[a:b] for a, b in zip([0, *rests], rests)],
+                ]
                 kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()))
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), *[pa.array(x, k) for x, k in zip(out, kinds)]], names)
 
@@ -183,75 +192,104 @@ def _side_by_side(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.n
 def log_likelihoods(model: Hmm, texts: list[np.ndarray]) -> np.ndarray:
     """ln P(classes) of each text by the scaled forward recursion, many texts at a time."""
     order, tokens, running = _side_by_side(texts)
-    total, at = np.zeros(len(texts)), int(running[0])
+    out = np.empty(len(texts))
+    out[order] = _log_likelihoods(model, tokens, running)
+    return out
+
+
+def _log_likelihoods(model: Hmm, tokens: np.ndarray, running: np.ndarray) -> np.ndarray:
+    """The same of texts side by side, longest first."""
+    running = running.tolist()
+    total, at, ones = np.zeros(running[0]), running[0], np.ones((len(model.start), 1))
     now = model.start * model.emit[tokens[:at]]
-    for t in range(1, len(running)):
-        n = int(running[t])
-        if t % 8 == 0 or n < len(now):
-            scale = now.sum(axis=1)
-            total[: len(now)] += np.log(scale)
-            now = now / scale[:, None]
-        now = (now[:n] @ model.move) * model.emit[tokens[at : at + n]]
+    for t, n in enumerate(running[1:], 1):
+        if n < len(now):
+            total[n : len(now)] += np.log(now[n:].sum(axis=1))
+            now = now[:n]
+        if t % RESCALE == 0:
+            scale = now @ ones
+            total[:n] += np.log(scale[:, 0])
+            now = now / scale
+        now = now @ model.move
+        now *= model.emit[tokens[at : at + n]]
         at += n
     total[: len(now)] += np.log(now.sum(axis=1))
-    out = np.empty(len(texts))
-    out[order] = total
-    return out
+    return total
 
 
-def _recursions(model: Hmm, tokens: np.ndarray, running: np.ndarray, first: np.ndarray | None, last: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(emissions, forward, backward) of every token, first and last being states handed on from before the first and
-    behind the last tokens. Every RESCALE steps a text's emissions are divided by its forward sum, which changes no
-    posterior and keeps both recursions in range."""
-    emitted = model.emit[tokens]
-    forward, backward = np.empty_like(emitted), np.empty_like(emitted)
-    ends = np.cumsum(running).tolist()
-    begins, running = [0, *ends[:-1]], running.tolist()
-    now = forward[: ends[0]]
-    now[:] = model.start * emitted[: ends[0]] if first is None else first
+class _Room:
+    """Arrays that are used again from block to block: fresh memory would cost more than the sums."""
+
+    def __init__(self):
+        self.held: dict = {}
+
+    def __call__(self, name: str, rows: int, columns: int, kind: type) -> np.ndarray:
+        if self.held.get((name, kind), np.empty(0)).size < rows * columns:
+            self.held[name, kind] = np.empty(rows * columns, kind)
+        return self.held[name, kind][: rows * columns].reshape(rows, columns)
+
+
+def _block_counts(model: Hmm, tokens: np.ndarray, running: np.ndarray, first: np.ndarray | None, last: np.ndarray | None, room: _Room, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of starts, moves and emissions (state, class) of texts side by side, in numbers of that kind. Emissions are
+    divided by the largest of their class, and every RESCALE steps a text's by its forward sum; backward states begin with one
+    over the text's whole chance. So both recursions stay in range and their products are the posteriors."""
+    states, n, n_texts = len(model.start), len(tokens), int(running[0])
+    tokens, ones, move = tokens.astype(np.intp), np.ones((states, 1), kind), model.move.astype(kind)
+    share = (model.emit / np.maximum(model.emit.max(axis=1, keepdims=True), 1e-300)).astype(kind)
+    emitted = np.take(share, tokens, axis=0, out=room("emitted", n, states, kind), mode="clip")
+    forward, backward = room("forward", n, states, kind), room("backward", n, states, kind)
+    ends = np.cumsum(running)
+    begins = ends - running
+    sizes = np.searchsorted(-running, -np.arange(n_texts), side="left")
+    final = begins[sizes - 1] + np.arange(n_texts)  # each text's last token
+    begins, ends, running = begins.tolist(), ends.tolist(), running.tolist()
+    now = forward[:n_texts]
+    now[:] = model.start * emitted[:n_texts] if first is None else first / first.sum()
     for t in range(1, len(running)):
         now, scaled = now[: running[t]], emitted[begins[t] : ends[t]]
         if t % RESCALE == 0:
-            scaled /= now.sum(axis=1, keepdims=True)
+            scaled /= np.dot(now, ones)
         here = forward[begins[t] : ends[t]]
-        np.matmul(now, model.move, out=here)
+        np.dot(now, move, out=here)
         here *= scaled
         now = here
-    back = np.ascontiguousarray(model.move.T)
-    backward[begins[-1] :] = 1 if last is None else last
-    for t in range(len(running) - 2, -1, -1):
-        n, here = running[t + 1], backward[begins[t] : ends[t]]
-        np.matmul(emitted[begins[t + 1] : ends[t + 1]] * backward[begins[t + 1] : ends[t + 1]], back, out=here[:n])
-        here[n:] = 1
-    return emitted, forward, backward
-
-
-def expected_counts(model: Hmm, texts: list[np.ndarray], first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    last = np.ones((1, states), kind) if last is None else (last / last.sum()).astype(kind).reshape(1, -1)
+    backward[final] = last / (forward[final] * last).sum(axis=1, keepdims=True)
+    back, moves = np.ascontiguousarray(move.T), np.zeros((states, states))
+    for t in range(len(running) - 1, 0, -1):
+        m, after = running[t], emitted[begins[t] : ends[t]]
+        after *= backward[begins[t] : ends[t]]
+        before = begins[t - 1]
+        np.dot(after, back, out=backward[before : before + m])
+        moves += np.dot(forward[before : before + m].T, after)
+    np.multiply(forward, backward, out=backward)
+    by_state = room("by_state", states, n, np.float64)
+    by_state[:] = backward.T
+    by_state /= by_state.sum(axis=0)  # in short numbers they are one but for their last digits
+    begin = n_texts if first is not None else 0
+    emission = np.stack([np.bincount(tokens[begin:], row[begin:], len(model.emit)) for row in by_state])
+    start = np.zeros(states) if first is not None else by_state[:, :n_texts].sum(axis=1)
+    return start, moves * model.move, emission
+
+
+def _counts_side_by_side(model: Hmm, tokens: np.ndarray, running: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None, room: _Room | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_block_counts in short numbers, whose sums are right to about 1e-6; again in long ones where those leave their range."""
+    room = room or _Room()
+    wanted = len(tokens) - (int(running[0]) if first is not None else 0)  # each counted token has one state
+    with np.errstate(all="ignore"):
+        counts = _block_counts(model, tokens, running, first, last, room, np.float32)
+    if not (all(np.isfinite(x).all() for x in counts) and abs(counts[2].sum() - wanted) <= 1e-4 * wanted):
+        counts = _block_counts(model, tokens, running, first, last, room, np.float64)
+    return counts[0], counts[1], counts[2].T
+
+
+def expected_counts(model: Hmm, texts: list[np.ndarray], first: np.ndarray | None = None, last: np.ndarray | None = None, room: _Room | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch counts of starts, moves and emissions (class, state) of complete forward and backward recursions. With
     `first`, the first tokens are those that the piece before has counted: they hand on states and count no more."""
-    _, tokens, running = _side_by_side(texts)
-    emitted, forward, backward = _recursions(model, tokens, running, first, last)
-    ones = np.ones((len(model.start), 1))  # sums over states as products: faster
-    state = forward * backward
-    total = state @ ones
-    state /= total
-    n = int(running[0])
-    by_state = np.ascontiguousarray(state[n if first is not None else 0 :].T)
-    emission = np.column_stack([np.bincount(tokens[n if first is not None else 0 :], row, len(model.emit)) for row in by_state])
-    moves = np.zeros_like(model.move)
-    if len(running) > 1:
-        ends = np.cumsum(running)
-        begins = ends - running
-        time = np.repeat(np.arange(1, len(running)), running[1:])
-        before = forward[np.arange(n, ends[-1]) - begins[time] + begins[time - 1]]
-        after = emitted[n:] * backward[n:]
-        after /= total[n:]  # which is also the sum over the moves that lead here
-        moves = model.move * (before.T @ after)
-    start = np.zeros_like(model.start) if first is not None else state[:n].sum(axis=0)
-    return start, moves, emission
-
-
-def expected_counts_of_long(model: Hmm, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _counts_side_by_side(model, *_side_by_side(texts)[1:], first, last, room)
+
+
+def expected_counts_of_long(model: Hmm, text: np.ndarray, size: int, room: _Room | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for one text of any length, of which `size` tokens at a time are worked on. Neighbouring pieces share a
     token; a first pass finds the forward states there, the second goes back with the backward states."""
     cuts = [*range(0, len(text) - 1, size), len(text) - 1]
@@ -265,7 +303,7 @@ def expected_counts_of_long(model: Hmm, text: np.ndarray, size: int) -> tuple[np
     total, last = None, None
     for first, a, b in zip(reversed(firsts), reversed(cuts[:-1]), reversed(cuts[1:])):
         piece = text[a : b + 1]
-        counts = expected_counts(model, [piece], first, last)
+        counts = expected_counts(model, [piece], first, last, room)
         total = counts if total is None else tuple(x + y for x, y in zip(total, counts))
         back = np.ones(len(model.start)) if last is None else last
         for c in piece[:0:-1]:
@@ -275,22 +313,25 @@ def expected_counts_of_long(model: Hmm, text: np.ndarray, size: int) -> tuple[np
     return total
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _grouped(batches: Iterator[pa.RecordBatch], apart: bool = False) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(keys, class arrays) of about BATCH_TOKENS tokens from rows (key, classes); texts of like length come together,
-    so that few steps have few texts. A longer text stands alone."""
+    so that few steps have few texts. A longer text stands alone. If `apart`, so do rows of different keys."""
 
     def dealt(held: list) -> Iterator[tuple[list, list[np.ndarray]]]:
         held.sort(key=lambda x: -len(x[1]))
-        keys, texts, n = [], [], 0
-        for key, classes in held:
-            if n and n + len(classes) > BATCH_TOKENS:
+        for kind in sorted({key for key, _ in held}) if apart else [None]:
+            keys, texts, n = [], [], 0
+            for key, classes in held:
+                if apart and key != kind:
+                    continue
+                if n and n + len(classes) > BATCH_TOKENS:
+                    yield keys, texts
+                    keys, texts, n = [], [], 0
+                keys.append(key)
+                texts.append(classes)
+                n += len(classes)
+            if texts:
                 yield keys, texts
-                keys, texts, n = [], [], 0
-            keys.append(key)
-            texts.append(classes)
-            n += len(classes)
-        if texts:
-            yield keys, texts
 
     held, n = [], 0
     for batch in batches:
@@ -303,17 +344,33 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.
     yield from dealt(held)
 
 
-def counts_of(model: Hmm, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of all rows (key, classes)."""
-    k = len(model.start)
+def _sum_of_counts(model: Hmm, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch counts of all blocks (tokens side by side, texts that still run at each time)."""
+    k, room = len(model.start), _Room()
     total = (np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit))
-    for _, part in _grouped(batches):
-        long = len(part) == 1 and len(part[0]) > BATCH_TOKENS
-        for mine, more in zip(total, expected_counts_of_long(model, part[0], BATCH_TOKENS) if long else expected_counts(model, part)):
+    for tokens, running in blocks:
+        long = running[0] == 1 and len(tokens) > BATCH_TOKENS
+        for mine, more in zip(total, expected_counts_of_long(model, tokens, BATCH_TOKENS, room) if long else _counts_side_by_side(model, tokens, running, room=room)):
             mine += more
     return total
 
 
+def counts_of(model: Hmm, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch counts of all rows (key, classes)."""
+    return _sum_of_counts(model, (_side_by_side(texts)[1:] for _, texts in _grouped(batches)))
+
+
+def laid_out(coded: DataFrame) -> DataFrame:
+    """held_out, tokens, running: the texts in stored blocks side by side, which every round reads."""
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in _grouped(batches, apart=True):
+            _, tokens, running = _side_by_side(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:1], pa.bool_()), pa.array([tokens.tobytes()], pa.binary()), pa.array([running.astype("<i4").tobytes()], pa.binary())], ["held_out", "tokens", "running"])
+
+    return common.materialize(coded.select("held_out", "classes").mapInArrow(lay, "held_out boolean, tokens binary, running binary"), "blocks")
+
+
 def train(coded: DataFrame, class_total: np.ndarray) -> Hmm:
     """Baum-Welch over the coded training texts; only sums by (state, class) and (state, state) leave the partitions.
 
@@ -321,26 +378,28 @@ def train(coded: DataFrame, class_total: np.ndarray) -> Hmm:
     to stop: once the round before has lost, whose model is dropped. Small gains end nothing.
     """
     model, before, known = first_model(class_total), None, None
-    spark, by_state = coded.sparkSession, [f"n{j}" for j in range(STATES)]
+    spark, by_state, blocks = coded.sparkSession, [f"n{j}" for j in range(STATES)], laid_out(coded)
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             score = np.zeros((2, STATES))  # sum of log10 and tokens, in the first column
 
-            def training() -> Iterator[pa.RecordBatch]:
+            def training() -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 for batch in batches:
-                    for _, texts in _grouped(iter([batch.filter(batch.column(2))])):
-                        score[:, 0] += log_likelihoods(sent.value, texts).sum() / math.log(10), sum(map(len, texts))
-                    yield batch.filter(pc.invert(batch.column(2)))
-
-            for kind, table in enumerate((*counts_of(sent.value, training()), score)):
+                    for held, *block in zip(*[batch.column(i) for i in range(3)]):
+                        tokens, running = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(block, ("<u2", "<i4")))
+                        if held.as_py():
+                            score[:, 0] += _log_likelihoods(sent.value, tokens, running).sum() / math.log(10), len(tokens)
+                        else:
+                            yield tokens, running
+
+            for kind, table in enumerate((*_sum_of_counts(sent.value, training()), score)):
                 table = np.atleast_2d(table)
                 at = np.flatnonzero(table.any(axis=1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), *[pa.array(column) for column in table[at].T]], ["kind", "i", *by_state])
 
-        texts = coded.select("row", "classes", "held_out")
-        sums = texts.mapInArrow(count, "kind int, i int, " + ", ".join(f"{n} double" for n in by_state)).groupBy("kind", "i").agg(*[F.sum(n).alias(n) for n in by_state])
+        sums = blocks.mapInArrow(count, "kind int, i int, " + ", ".join(f"{n} double" for n in by_state)).groupBy("kind", "i").agg(*[F.sum(n).alias(n) for n in by_state])
         sums = sums.select("kind", "i", F.array(*by_state).alias("n")).collect()
         held = {r["i"]: r["n"][0] for r in sums if r["kind"] == 3}
         sums = [r for r in sums if r["kind"] < 3]

@@ -305,3 +305,27 @@ def test_training_goes_on_while_held_out_texts_gain(spark, monkeypatch):
     assert len(rounds) == 7
     monkeypatch.setattr(hmm, "ROUNDS", 4)
     assert seven > held()
+
+
+def test_blocks_hold_every_text_once(spark):
+    """Texts are laid out once for all rounds, held-out ones apart; each token is in one block."""
+    texts = [(i, i % 4 == 0, np.random.default_rng(i).integers(0, 50, 1 + i * 7 % 90).astype("<u2")) for i in range(200)]
+    coded = spark.createDataFrame([(i, h, bytearray(t.tobytes())) for i, h, t in texts], "row long, held_out boolean, classes binary").repartition(3)
+    got = {True: [], False: []}
+    for r in hmm.laid_out(coded).collect():
+        tokens, running = np.frombuffer(r["tokens"], "<u2"), np.frombuffer(r["running"], "<i4")
+        begins = np.cumsum(running) - running
+        got[r["held_out"]] += [tuple(tokens[begins[running > i] + i].tolist()) for i in range(running[0])]
+    assert all(sorted(got[h]) == sorted(tuple(t.tolist()) for _, x, t in texts if x == h) for h in got)
+
+
+def test_counts_stay_right_where_short_numbers_do_not_reach():
+    """States that a text favours by turns in the extreme: products of a few steps leave the range of short numbers."""
+    emit, move = np.array([[1 - 1e-30, 1e-30], [1e-30, 1 - 1e-30]]), np.array([[1 - 1e-12, 1e-12], [1e-12, 1 - 1e-12]])
+    model, text = hmm.Hmm(np.array([0.5, 0.5]), move, emit), np.array([0, 1, 0, 0, 1, 1, 0] * 9)
+    with np.errstate(all="ignore"):
+        short = hmm._block_counts(model, text, np.ones(len(text), int), None, None, hmm._Room(), np.float32)
+    got = hmm.expected_counts(model, [text])
+    want = hmm._block_counts(model, text, np.ones(len(text), int), None, None, hmm._Room(), np.float64)
+    assert not np.isfinite(short[2]).all() or not np.allclose(short[1], want[1])
+    assert all(np.allclose(a, b) for a, b in zip(got, (want[0], want[1], want[2].T))) and abs(got[1].sum() - len(text) + 1) < 1e-6
