@@ -8,9 +8,10 @@ smoothed share of its training counts:
     P(text) = sum over state paths of prod P(state | state before) P(class | state) * prod P(word | class).
 
 Word counts are summed over all partitions. Frequent words (a fixed number at most) go to every worker; all others meet
-their counts in a join. Baum-Welch counts of all partitions are summed by state and class; every round takes every
-training text, whole: texts too long for one step of work are walked through in pieces that hand on their states. Texts are
-laid out side by side once, in stored blocks that every round reads.
+their counts in a join. Baum-Welch counts of all partitions are summed by state and class, and every model comes of the
+counts of every training text, whole: texts too long for one step of work are walked through in pieces that hand on their
+states. The first round counts all texts, each later one counts a share of them anew and keeps the other shares' counts
+(incremental EM, Neal and Hinton 1998). Texts are laid out side by side once, in stored blocks by share.
 """
 
 from __future__ import annotations
@@ -35,10 +36,14 @@ TAILS = 2048  # classes 1 to TAILS are of words without a class of their own; cl
 OWN, OWN_MOST, WORDS_PER_OWN = 2047, 1 << 15, 16  # words with a class of their own: at least, at most, else a share
 CLASSES = 1 + TAILS + OWN  # at least
 STATES = 8
-SLOW = 2  # training ends where held-out texts lose, but for the first rounds: states start nearly alike and need some to part
+SLOW = 2  # training ends where held-out texts gain no more, but for the first rounds: states start nearly alike and need some to part
+SHARES = 4  # of the training texts, by their words, counted anew in turn
+STEP = 1.8  # of the way to a round's estimate, by logarithms; below 2 this keeps the fixed points of EM and their pull
+HELD_OUT = -1  # stands for the held-out texts among the shares
 ROUNDS, SETTLED = 30, 1e-4  # at most; also ended where no chance moves by more than SETTLED
 BATCH_TOKENS = 800_000  # tokens that are worked on side by side
 BUFFER_TOKENS = 4_000_000  # tokens that are held to bring texts of like length together
+MOVES = 4096  # moves that are added up in short numbers
 RESCALE = 8  # steps between two normalisations of a recursion
 
 
@@ -257,11 +262,12 @@ def _block_counts(model: Hmm, tokens: np.ndarray, running: np.ndarray, first: np
     backward[final] = last / (forward[final] * last).sum(axis=1, keepdims=True)
     back, moves = np.ascontiguousarray(move.T), np.zeros((states, states))
     for t in range(len(running) - 1, 0, -1):
-        m, after = running[t], emitted[begins[t] : ends[t]]
+        after = emitted[begins[t] : ends[t]]
         after *= backward[begins[t] : ends[t]]
-        before = begins[t - 1]
-        np.dot(after, back, out=backward[before : before + m])
-        moves += np.dot(forward[before : before + m].T, after)
+        np.dot(after, back, out=backward[begins[t - 1] : begins[t - 1] + running[t]])
+    before = np.arange(n_texts, n) - np.repeat(running[:-1], running[1:])  # the place of each later token's text a time earlier
+    for at in range(0, n - n_texts, MOVES):
+        moves += np.dot(forward[before[at : at + MOVES]].T, emitted[n_texts + at : n_texts + at + MOVES])
     np.multiply(forward, backward, out=backward)
     by_state = room("by_state", states, n, np.float64)
     by_state[:] = backward.T
@@ -344,76 +350,100 @@ def _grouped(batches: Iterator[pa.RecordBatch], apart: bool = False) -> Iterator
     yield from dealt(held)
 
 
-def _sum_of_counts(model: Hmm, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of all blocks (tokens side by side, texts that still run at each time)."""
-    k, room = len(model.start), _Room()
-    total = (np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit))
-    for tokens, running in blocks:
-        long = running[0] == 1 and len(tokens) > BATCH_TOKENS
-        for mine, more in zip(total, expected_counts_of_long(model, tokens, BATCH_TOKENS, room) if long else _counts_side_by_side(model, tokens, running, room=room)):
-            mine += more
-    return total
+def _no_counts(model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit)
+
+
+def _add_counts(total: tuple[np.ndarray, np.ndarray, np.ndarray], model: Hmm, tokens: np.ndarray, running: np.ndarray, room: _Room) -> None:
+    """Adds the Baum-Welch counts of a block (tokens side by side, texts that still run at each time)."""
+    long = running[0] == 1 and len(tokens) > BATCH_TOKENS
+    for mine, more in zip(total, expected_counts_of_long(model, tokens, BATCH_TOKENS, room) if long else _counts_side_by_side(model, tokens, running, room=room)):
+        mine += more
 
 
 def counts_of(model: Hmm, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch counts of all rows (key, classes)."""
-    return _sum_of_counts(model, (_side_by_side(texts)[1:] for _, texts in _grouped(batches)))
+    total, room = _no_counts(model), _Room()
+    for _, texts in _grouped(batches):
+        _add_counts(total, model, *_side_by_side(texts)[1:], room)
+    return total
 
 
 def laid_out(coded: DataFrame) -> DataFrame:
-    """held_out, tokens, running: the texts in stored blocks side by side, which every round reads."""
+    """held_out, tokens, running, share: the texts in stored blocks side by side, held-out ones and each share of the others
+    apart. A text's share depends on its words alone, so not on the order of rows; copies are spread over the tasks."""
+    spark = coded.sparkSession
+    share = F.when(F.col("held_out"), HELD_OUT).otherwise(F.pmod(F.xxhash64("classes"), F.lit(SHARES))).cast("int")
+    tokens = coded.agg(F.sum(F.octet_length("classes"))).first()[0] or 0
+    tasks = max(1, -(-tokens // 2 // BUFFER_TOKENS))
+    part = F.pmod(F.xxhash64("row"), F.lit(-(-tasks // SHARES)))
+    texts = coded.select(share.alias("share"), "classes", part.alias("part")).repartition(tasks, "share", "part").drop("part")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in _grouped(batches, apart=True):
             _, tokens, running = _side_by_side(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:1], pa.bool_()), pa.array([tokens.tobytes()], pa.binary()), pa.array([running.astype("<i4").tobytes()], pa.binary())], ["held_out", "tokens", "running"])
+            columns = [[keys[0] == HELD_OUT], [tokens.tobytes()], [running.astype("<i4").tobytes()], keys[:1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.bool_(), pa.binary(), pa.binary(), pa.int32()))], ["held_out", "tokens", "running", "share"])
 
-    return common.materialize(coded.select("held_out", "classes").mapInArrow(lay, "held_out boolean, tokens binary, running binary"), "blocks")
+    blocks, path = texts.mapInArrow(lay, "held_out boolean, tokens binary, running binary, share int"), common.scratch_path(spark, "blocks")
+    blocks.write.partitionBy("share").parquet(path)
+    return spark.read.schema(blocks.schema).parquet(path)
 
 
 def train(coded: DataFrame, class_total: np.ndarray) -> Hmm:
-    """Baum-Welch over the coded training texts; only sums by (state, class) and (state, state) leave the partitions.
+    """Baum-Welch over the coded training texts; only sums by (share, state, class) and (share, state, state) leave the
+    partitions. A round counts a share anew by the model it begins with, the first round all of them; the next model is made
+    of the last counts of all shares.
 
     Each round also scores the held-out texts by the model it begins with, in the same pass. They teach it nothing but when
-    to stop: once the round before has lost, whose model is dropped. Small gains end nothing.
+    to stop: once a turn of all shares has brought no gain. The model that was best on them is kept. Small gains end nothing.
     """
-    model, before, known = first_model(class_total), None, None
+    model, best, known, since = first_model(class_total), None, None, 0
     spark, by_state, blocks = coded.sparkSession, [f"n{j}" for j in range(STATES)], laid_out(coded)
+    counts: dict[int, tuple] = {}  # the last ones of each share
+    models = [model]
     for turn in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            model, room, totals = sent.value, _Room(), {}
             score = np.zeros((2, STATES))  # sum of log10 and tokens, in the first column
-
-            def training() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for batch in batches:
-                    for held, *block in zip(*[batch.column(i) for i in range(3)]):
-                        tokens, running = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(block, ("<u2", "<i4")))
-                        if held.as_py():
-                            score[:, 0] += _log_likelihoods(sent.value, tokens, running).sum() / math.log(10), len(tokens)
-                        else:
-                            yield tokens, running
-
-            for kind, table in enumerate((*_sum_of_counts(sent.value, training()), score)):
-                table = np.atleast_2d(table)
-                at = np.flatnonzero(table.any(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), *[pa.array(column) for column in table[at].T]], ["kind", "i", *by_state])
-
-        sums = blocks.mapInArrow(count, "kind int, i int, " + ", ".join(f"{n} double" for n in by_state)).groupBy("kind", "i").agg(*[F.sum(n).alias(n) for n in by_state])
-        sums = sums.select("kind", "i", F.array(*by_state).alias("n")).collect()
-        held = {r["i"]: r["n"][0] for r in sums if r["kind"] == 3}
-        sums = [r for r in sums if r["kind"] < 3]
-        if not sums:
+            for batch in batches:
+                for held, *block, share in zip(*[batch.column(i) for i in range(4)]):
+                    tokens, running = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(block, ("<u2", "<i4")))
+                    if held.as_py():
+                        score[:, 0] += _log_likelihoods(model, tokens, running).sum() / math.log(10), len(tokens)
+                    else:
+                        _add_counts(totals.setdefault(share.as_py(), _no_counts(model)), model, tokens, running, room)
+            for share, tables in [*totals.items(), (HELD_OUT, [score])]:
+                for kind, table in enumerate(tables):
+                    table = np.atleast_2d(table)
+                    at = np.flatnonzero(table.any(axis=1))
+                    yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(at), x, np.int32)) for x in (share, kind)], pa.array(at.astype(np.int32)), *[pa.array(column) for column in table[at].T]], ["share", "kind", "i", *by_state])
+
+        # with no share counted yet, all are
+        asked = blocks.filter(F.col("share").isin(HELD_OUT, sorted(counts)[(turn - 1) % len(counts)])) if counts else blocks
+        sums = asked.mapInArrow(count, "share int, kind int, i int, " + ", ".join(f"{n} double" for n in by_state)).groupBy("share", "kind", "i").agg(*[F.sum(n).alias(n) for n in by_state])
+        sums = sums.select("share", "kind", "i", *by_state).toArrow().to_pandas()
+        held = dict(zip(*[sums.loc[sums["share"] == HELD_OUT, c].tolist() for c in ("i", "n0")]))
+        for share, rows in sums[sums["share"] != HELD_OUT].groupby("share"):
+            counts[int(share)] = tables = _no_counts(model)
+            for kind, table in enumerate(tables):
+                mine = rows[rows["kind"] == kind]
+                np.atleast_2d(table)[mine["i"].to_numpy()] = mine[by_state].to_numpy()
+        if not counts:
             break
         if held.get(1):
             now = held.get(0, 0.0) / held[1]
-            if turn >= SLOW and now < known:
-                return before
-            known = now
-        before, model = model, _reestimate(model, sums, class_total)
-        if max(np.abs(a - b).max() for a, b in ((before.start, model.start), (before.move, model.move), (before.emit, model.emit))) < SETTLED:
+            best, known, since = (model, now, 0) if known is None or now > known or turn < SLOW else (best, known, since + 1)
+            if since >= len(counts):
+                return best
+        estimate = _reestimate(model, [{"kind": kind, "i": i, "n": n} for kind, tables in enumerate(zip(*counts.values())) for i, n in enumerate(np.atleast_2d(sum(tables)))], class_total)
+        model = _further(model, estimate) if turn else estimate
+        models = [*models[-len(counts) :], model]
+        if len(models) > len(counts) and max(np.abs(a - b).max() for a, b in ((models[0].start, model.start), (models[0].move, model.move), (models[0].emit, model.emit))) < SETTLED:
             break
-    return model
+    return best if since else model
 
 
 def _reestimate(model: Hmm, sums: list, class_total: np.ndarray) -> Hmm:
@@ -428,6 +458,15 @@ def _reestimate(model: Hmm, sums: list, class_total: np.ndarray) -> Hmm:
     return Hmm(start[0] / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
+def _further(model: Hmm, estimate: Hmm) -> Hmm:
+    """STEP times the way from the model to its new estimate."""
+    ways = []
+    for a, b, axis in ((model.start, estimate.start, 0), (model.move, estimate.move, 1), (model.emit, estimate.emit, 0)):
+        x = np.exp((1 - STEP) * np.log(np.maximum(a, 1e-300)) + STEP * np.log(np.maximum(b, 1e-300)))
+        ways.append(x / x.sum(axis=axis, keepdims=True))
+    return Hmm(*ways)
+
+
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; scores are log10.
 

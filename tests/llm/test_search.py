@@ -319,6 +319,28 @@ def test_blocks_hold_every_text_once(spark):
     assert all(sorted(got[h]) == sorted(tuple(t.tolist()) for _, x, t in texts if x == h) for h in got)
 
 
+def test_shares_depend_on_words_alone(spark, monkeypatch):
+    """A round after the first counts one share of the texts anew. Every training text is in one share, whatever the order and
+    number of tasks; a text that occurs often doesn't fall to one task."""
+    monkeypatch.setattr(hmm, "BUFFER_TOKENS", 200)
+    texts = [(i, i % 5 == 0, bytes(np.random.default_rng(i if i < 150 else 1).integers(0, 50, 20).astype("<u2"))) for i in range(400)]
+    seen = []
+    for parts in (1, 4):
+        coded = spark.createDataFrame([(i, h, bytearray(t)) for i, h, t in texts], "row long, held_out boolean, classes binary").repartition(parts)
+        blocks, shares = hmm.laid_out(coded), {}
+        for r in blocks.collect():
+            tokens, running = np.frombuffer(r["tokens"], "<u2"), np.frombuffer(r["running"], "<i4")
+            assert r["held_out"] == (r["share"] == hmm.HELD_OUT)
+            begins = np.cumsum(running) - running
+            for i in range(running[0]):
+                shares.setdefault(r["share"], []).append(tokens[begins[running > i] + i].tobytes())
+        seen.append({s: sorted(x) for s, x in shares.items()})
+        often = max((s for s in shares if s != hmm.HELD_OUT), key=lambda s: len(shares[s]))
+        assert len(blocks.filter(f"share = {often}").inputFiles()) > 2
+    assert seen[0] == seen[1] and set(seen[0]) == {hmm.HELD_OUT, *range(hmm.SHARES)}
+    assert sorted(x for s, y in seen[0].items() if s != hmm.HELD_OUT for x in y) == sorted(t for _, h, t in texts if not h)
+
+
 def test_counts_stay_right_where_short_numbers_do_not_reach():
     """States that a text favours by turns in the extreme: products of a few steps leave the range of short numbers."""
     emit, move = np.array([[1 - 1e-30, 1e-30], [1e-30, 1 - 1e-30]]), np.array([[1 - 1e-12, 1e-12], [1e-12, 1 - 1e-12]])
