@@ -3,34 +3,42 @@
 Modularity compares what lies inside communities with what chance would put there. A round lets nodes move to the
 neighbouring community that gains most, then makes each community one node of a smaller graph. Weights are whole numbers,
 so that sums and comparisons are exact and don't depend on the order of rows. Every step is joins and aggregates over
-stored tables; keys that hold a large share of all rows, hubs and large communities, are looked up in a broadcast table of
-bounded size, all others by a shuffle.
+stored tables by a shuffle; nothing is broadcast. The facts of keys that hold a large share of all rows, hubs and large
+communities, are dealt out in copies, their rows to one copy each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.scratch import discard, store
 
 #: Weights are rounded to this fraction.
 SCALE = 1_000_000
-#: A key is looked up by broadcast from this share of all rows on; there are no more than so many of them.
+#: A key's facts are dealt out in COPIES from this share of all rows on, if it has MANY rows; there are no more than so many of them.
 SHARES = 1000
+MANY = 10_000
+COPIES = 32
 
 
-def lookup(rows: DataFrame, facts: DataFrame, key: str, often: Column, spread: str) -> DataFrame:
-    """rows with the columns of facts (unique `key`), null where it lacks the key. Keys with `often`, which must be few by
-    their definition, come by broadcast; their rows are spread by the column `spread` in the shuffle for the others."""
+def frequent(counted: DataFrame, key: str, n: str, rows: int) -> list:
+    """The keys (unique) that hold so large a share of the rows that one task mustn't take them; `n` counts a key's rows."""
+    least = max(rows / SHARES, MANY)
+    return [r[0] for r in counted.filter(F.col(n) > least).select(key).collect()] if rows > least else []
+
+
+def lookup(rows: DataFrame, facts: DataFrame, key: str, often: list, spread: str) -> DataFrame:
+    """rows with the columns of facts (unique `key`), null where it lacks the key. The facts of keys in `often` meet their rows
+    in copies, to which rows are dealt by the column `spread`."""
     rest = [c for c in facts.columns if c != key]
-    hot = facts.filter(often).select(F.col(key), F.struct(*rest).alias("__hot"))
-    out = rows.join(F.broadcast(hot), key, "left")
-    cold = facts.select(F.col(key).alias("__cold"), F.struct(*rest).alias("__facts"))
-    at = F.when(F.col("__hot").isNotNull(), F.concat(F.lit("\x00"), F.col(spread))).otherwise(F.col(key))
-    out = out.withColumn("__at", at).join(cold, F.col("__at") == F.col("__cold"), "left")
-    both = F.coalesce("__hot", "__facts")
-    return out.select(*rows.columns, *[both[c].alias(c) for c in rest])
+    facts = facts.withColumnRenamed(key, "__key")
+    if not often:
+        return rows.join(facts.hint("merge"), F.col(key) == F.col("__key"), "left").select(*rows.columns, *rest)
+    copies = F.when(F.col("__key").isin(often), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
+    at = F.when(F.col(key).isin(often), F.pmod(F.xxhash64(spread), F.lit(COPIES)).cast("int")).otherwise(F.lit(0))
+    facts = facts.withColumn("__copy", F.explode(copies)).hint("merge")
+    return rows.withColumn("__at", at).join(facts, (F.col(key) == F.col("__key")) & (F.col("__at") == F.col("__copy")), "left").select(*rows.columns, *rest)
 
 
 def _start(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -48,18 +56,18 @@ def _nodes(both: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return both, both.filter("u <> v"), nodes
 
 
-def _turn(links: DataFrame, nodes: DataFrame, labels: DataFrame, n_links: int, n_nodes: int, total: int, turn: int) -> DataFrame:
+def _turn(links: DataFrame, nodes: DataFrame, labels: DataFrame, hubs: list, large: list, total: int, turn: int) -> DataFrame:
     """u, k, c, own (weight into c, loop included), to: the community that each node is in and the one it moves to. Half of
-    the nodes may move in a turn, another half in the next."""
-    named = labels.join(nodes, "u").select("u", "c", "k", "loop", "n")
+    the nodes may move in a turn, another half in the next. `hubs` and `large`: frequent nodes and communities."""
+    named = labels.join(nodes.hint("merge"), "u").select("u", "c", "k", "loop")
     sizes = named.groupBy("c").agg(F.sum("k").cast("decimal(38,0)").alias("mass"), F.count("*").alias("members"))
-    whose = named.select(F.col("u").alias("v"), F.col("c").alias("near"), F.col("n").alias("at_v"))
-    seen = lookup(links, whose, "v", F.col("at_v") > n_links / SHARES, "u")
+    whose = named.select(F.col("u").alias("v"), F.col("c").alias("near"))
+    seen = lookup(links, whose, "v", hubs, "u")
     into = seen.groupBy("u", "near").agg(F.sum("w").cast("decimal(38,0)").alias("w"))
     # a node's own community counts, also without a link into it
     mine = named.select("u", F.col("c").alias("near"), F.lit(0).cast("decimal(38,0)").alias("w"))
     into = into.unionByName(mine).groupBy("u", "near").agg(F.sum("w").cast("decimal(38,0)").alias("w"))
-    weighed = lookup(into, sizes.withColumnRenamed("c", "near"), "near", F.col("members") > n_nodes / SHARES, "u").join(named, "u")
+    weighed = lookup(into, sizes.withColumnRenamed("c", "near"), "near", large, "u").join(named.hint("merge"), "u")
     here = F.col("near") == F.col("c")
     others = F.col("mass") - F.when(here, F.col("k")).otherwise(F.lit(0))
     gain = (F.col("w") * F.lit(total).cast("decimal(38,0)")).cast("decimal(38,0)") - (F.col("k") * others).cast("decimal(38,0)")
@@ -94,9 +102,10 @@ def modularity_communities(edges: DataFrame, turns: int = 30, levels: int = 20,
     of = nodes.select(F.col("u").alias("node"), F.col("u").alias("c"))
     for _ in range(levels if total else 0):
         turned: list[DataFrame] = []
+        hubs, large = frequent(nodes, "u", "n", n_links), []
         labels, kept, best, quiet, still = nodes.select("u", F.col("u").alias("c")), None, None, 0, 0
         for turn in range(turns):
-            state = store(_turn(links, nodes, labels, n_links, n_nodes, int(total), turn), "turn")
+            state = store(_turn(links, nodes, labels, hubs, large, int(total), turn), "turn")
             turned.append(state)
             q, moves = _score(state, int(total))
             quiet = 0 if best is None or q > best + least_gain else quiet + 1
@@ -104,29 +113,28 @@ def modularity_communities(edges: DataFrame, turns: int = 30, levels: int = 20,
             if best is None or q > best:
                 kept, best = state, q
             labels = state.select("u", F.col("to").alias("c"))
+            large = frequent(labels.groupBy("c").agg(F.count("*").alias("members")), "c", "members", n_nodes)
             discard(*[t for t in turned if t is not kept and t is not state])
             if quiet >= 4 or still >= 2:
                 break
         names = kept.select("u", "c")
-        merged = store(of.join(names.withColumnRenamed("u", "inner").withColumnRenamed("c", "outer"), F.col("c") == F.col("inner")).select("node", F.col("outer").alias("c")), "communities")
+        merged = store(of.join(names.withColumnRenamed("u", "inner").withColumnRenamed("c", "outer").hint("merge"), F.col("c") == F.col("inner")).select("node", F.col("outer").alias("c")), "communities")
         n_after = names.select("c").distinct().count()
         if n_after == n_nodes:
             break
         discard(*([of] if hasattr(of, "_scratch") else []))
         of = merged
         ends = names.select(F.col("u").alias("v"), F.col("c").alias("cv"))
-        degree = nodes.select(F.col("u").alias("v"), F.col("n").alias("at_v"))
-        ends = ends.join(degree, "v")
-        half = lookup(links, ends, "v", F.col("at_v") > n_links / SHARES, "u").select("u", "cv", "w")
-        outer = half.groupBy("u", "cv").agg(F.sum("w").cast("decimal(38,0)").alias("w")).join(names, "u")
-        inner = nodes.join(names, "u").select(F.col("c").alias("u"), F.col("c").alias("v"), F.col("loop").alias("w"))
+        half = lookup(links, ends, "v", hubs, "u").select("u", "cv", "w")
+        outer = half.groupBy("u", "cv").agg(F.sum("w").cast("decimal(38,0)").alias("w")).join(names.hint("merge"), "u")
+        inner = nodes.join(names.hint("merge"), "u").select(F.col("c").alias("u"), F.col("c").alias("v"), F.col("loop").alias("w"))
         both = outer.select(F.col("c").alias("u"), F.col("cv").alias("v"), "w").unionByName(inner).groupBy("u", "v").agg(F.sum("w").cast("decimal(38,0)").alias("w"))
         before = whole, nodes, *turned
         whole, links, nodes = _nodes(store(both, "links"))
         discard(*before)
         n_links, n_nodes = nodes.agg(F.sum("n"), F.count("*")).first()
     first = of.groupBy("c").agg(F.min("node").alias("community"), F.count("*").alias("members"))
-    return lookup(of, first, "c", F.col("members") > max(of.count(), 1) / SHARES, "node").select("node", "community")
+    return lookup(of, first, "c", frequent(first, "c", "members", of.count()), "node").select("node", "community")
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> float:

@@ -98,3 +98,18 @@ def test_query_is_as_good_as_the_sequential_search(spark):
     got = {r["node"]: r["community"] for r in graph.q_modularity_communities(spark, sf).collect()}
     best = max(plain_modularity(edges, louvain(edges, seed)) for seed in range(3))
     assert plain_modularity(edges, got) >= best - 0.01
+
+
+def test_nothing_is_broadcast_and_frequent_keys_give_the_same(spark, monkeypatch):
+    """Facts of hubs and large communities are dealt out in copies by a shuffle; no step broadcasts a table."""
+    from tessera.operators import communities as module
+
+    edges = planted(2, 8, 0.8, 0.05, 3) + [("hub", f"n00_{i:02d}", 0.1) for i in range(8)]
+    plans, plain, often, lookup = [], module.store, [], module.lookup
+    monkeypatch.setattr(module, "store", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, label))
+    once = found(spark, edges)[1]
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+    monkeypatch.setattr(module, "MANY", 3)
+    monkeypatch.setattr(module, "SHARES", 20)
+    monkeypatch.setattr(module, "lookup", lambda rows, facts, key, keys, spread: often.append(len(keys)) or lookup(rows, facts, key, keys, spread))
+    assert found(spark, edges)[1] == once and sum(n > 0 for n in often) > 2
