@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from tessera.functions.text import tokens
+from tessera.session import small_batches
 from tessera.sources.scratch import store
 
 
@@ -18,40 +24,167 @@ def postings(units: DataFrame, key: str, text: str) -> DataFrame:
     return exploded.groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
 
 
-#: Pairs of a query's term and a posting that one task adds up.
-PAIRS = 1_000_000
+#: Pairs of a query's term and a posting that one task adds up; in arrays, where a pair costs far less, FOLD times as many.
+PAIRS, FOLD = 1_000_000, 4
+#: Queries of a block at most; cells (queries by units) and pairs of an array at most, but for a single unit.
+QUERIES, CELLS = 1024, 4_000_000
+#: Asked terms that go to the tasks, which drop other words early. If there are more, all words wait for the join.
+ASKED = 65_536
+
+
+def parts(frequency: DataFrame, asked: DataFrame, pairs: int) -> int:
+    """How many parts of about so many pairs the postings (term, df) of the asked terms make."""
+    both = frequency.join(asked.groupBy("term").agg(F.count("*").alias("m")), "term")
+    return max(1, -(-(both.agg(F.sum(F.col("df") * F.col("m"))).first()[0] or 0) // pairs))
 
 
-def dealt(found: DataFrame, unit: str, asked: DataFrame) -> DataFrame:
-    """Postings (unit, term) dealt out by unit, to so many tasks that each meets about PAIRS pairs with asked terms."""
-    both = found.groupBy("term").agg(F.count("*").alias("n")).join(asked.groupBy("term").agg(F.count("*").alias("m")), "term")
-    pairs = both.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
-    return found.repartition(max(1, -(-pairs // PAIRS)), unit)
+def dealt(found: DataFrame, by: str, n: int) -> DataFrame:
+    """Postings dealt out by a column to n tasks."""
+    return found.repartition(n, by)
 
 
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     return queries.select(F.col(key), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
 
 
+def _words_counted(rows: DataFrame, asked: pa.Array | None) -> DataFrame:
+    """unit, length, terms, counts of rows (unit, words): each row's distinct words, of the asked ones if given."""
+
+    def count(batches):
+        for batch in batches:
+            words, n = batch["words"], batch.num_rows
+            flat, length = words.flatten(), pc.list_value_length(words)
+            if asked is None:
+                flat = flat.dictionary_encode()
+                names, term = flat.dictionary, flat.indices
+            else:
+                names, term = asked, pc.index_in(flat, asked)
+            row = np.repeat(np.arange(n), length.fill_null(0).to_numpy())[term.is_valid().to_numpy(zero_copy_only=False)]
+            both, tf = np.unique(row * len(names) + term.drop_null().to_numpy(), return_counts=True)
+            at = pa.array(np.searchsorted(both, np.arange(n + 1) * len(names)), pa.int32())
+            terms = names.take(pa.array(both % max(1, len(names))))
+            lists = [pa.ListArray.from_arrays(at, x) for x in (terms, pa.array(tf, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch["unit"], length, *lists], ["unit", "length", "terms", "counts"])
+
+    small_batches(rows.sparkSession)
+    schema = StructType([rows.schema["unit"]]).add("length", IntegerType()).add("terms", ArrayType(StringType())).add("counts", ArrayType(IntegerType()))
+    return rows.mapInArrow(count, schema)
+
+
+def term_counts(units: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """A stored table of unit, length, copies, terms, counts: one row per unit key and length with its distinct words (of the
+    column term of `only`, if given) and their numbers. Where several units share both, copies says how many and a word may
+    stand in the lists once for each. Null texts have a null length. Texts are read and split once."""
+    some = None if only is None else only.select("term").distinct().limit(ASKED + 1).collect()
+    few = None if some is None or len(some) > ASKED else pa.array([r["term"] for r in some], pa.string())
+    rows = _words_counted(units.select(F.col(key).alias("unit"), tokens(F.col(text)).alias("words")), few)
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("terms", "counts")]
+    rows = store(rows.groupBy("unit", "length").agg(F.count("*").alias("copies"), *lists), "term-counts")
+    if only is None or few is not None:
+        return rows
+    each = rows.select("unit", "length", "copies", F.explode_outer(F.arrays_zip("terms", "counts")).alias("x"))
+    each = each.select("unit", "length", "copies", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf"))
+    each = each.join(only.select("term").distinct().withColumn("wanted", F.lit(True)), "term", "left")
+    pair = F.when(F.col("wanted"), F.struct(F.col("term").alias("t"), F.col("tf").alias("c")))  # collect_list leaves nulls out
+    kept = each.groupBy("unit", "length", "copies").agg(F.collect_list(pair).alias("x"))
+    return store(kept.select("unit", "length", "copies", F.col("x.t").alias("terms"), F.col("x.c").alias("counts")), "term-counts")
+
+
+def _best(query: np.ndarray, order: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Where each query's k best scores stand, ties to smaller orders."""
+    best = np.lexsort((order, -score, query))
+    rank = np.arange(len(best)) - np.searchsorted(query[best], query[best], side="left")
+    return best[rank < k]
+
+
+def _scores(left: pa.Table, right: pa.Table, k: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Query, unit and score (6 digits) of each query's k best units in a block of units by a block of queries: the pairs of a
+    query's term and a posting are laid out in arrays, some units at a time, and added up by cell."""
+    flat = lambda name, table: table[name].combine_chunks().flatten()
+    lengths = lambda table: pc.list_value_length(table["terms"]).to_numpy()
+    keys = left["unit"].combine_chunks()
+    names = flat("terms", right).unique()
+    asked = pc.index_in(flat("terms", right), names).to_numpy()
+    by_term = np.argsort(asked, kind="stable")
+    query = np.repeat(np.arange(right.num_rows), lengths(right))[by_term]
+    idf, start = flat("idfs", right).to_numpy()[by_term], np.searchsorted(asked[by_term], np.arange(len(names) + 1))
+    term = pc.index_in(flat("terms", left), names).fill_null(-1).to_numpy()
+    row, tf = np.repeat(np.arange(left.num_rows), lengths(left)), flat("counts", left).to_numpy().astype(float)
+    row, tf, term = row[term >= 0], tf[term >= 0], term[term >= 0]
+    if (left["copies"].to_numpy() > 1).any():  # a word's numbers in units of one key and length are one number
+        both, back = np.unique(row * len(names) + term, return_inverse=True)
+        row, term, tf = both // len(names), both % len(names), np.bincount(back, tf)
+    weight = weigh(tf, left["length"].to_numpy()[row])
+    places = pc.sort_indices(keys, null_placement="at_start").to_numpy()
+    new = np.ones(len(places), bool)
+    if len(places) > 1:
+        here, before = keys.take(pa.array(places[1:])), keys.take(pa.array(places[:-1]))
+        same = pc.or_(pc.fill_null(pc.equal(here, before), False), pc.and_(here.is_null(), before.is_null()))
+        new[1:] = ~same.to_numpy(zero_copy_only=False)
+    order = np.empty(len(places), np.int64)  # the units' numbers by key, alike for rows of one key
+    order[places] = np.cumsum(new) - 1
+    by_unit = np.argsort(order[row], kind="stable")
+    unit, term, weight = order[row][by_unit], term[by_unit], weight[by_unit]
+    n, nq = int(new.sum()), right.num_rows
+    first = np.searchsorted(unit, np.arange(n + 1))  # each unit's postings
+    pairs = np.concatenate([[0], np.cumsum(np.diff(start)[term])])[first]
+    held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    at = 0
+    while at < n:
+        most = np.searchsorted(pairs, pairs[at] + CELLS, side="right") - 1
+        to = max(at + 1, min(n, at + max(1, CELLS // nq), int(most)))
+        some = slice(first[at], first[to])
+        m = np.diff(start)[term[some]]
+        each = np.repeat(np.arange(some.start, some.stop), m)
+        with_ = start[term[each]] + np.arange(len(each)) - np.repeat(np.cumsum(m) - m, m)
+        cells = np.bincount(query[with_] * (to - at) + unit[each] - at, weight[each] * idf[with_], nq * (to - at)).reshape(nq, -1)
+        score = np.floor(cells * 1e6 + 0.5) / 1e6
+        if to - at > k:
+            bound = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+            q, u = np.nonzero((cells > 0) & (score >= bound))
+        else:
+            q, u = np.nonzero(cells > 0)
+        held = tuple(np.concatenate(x) for x in zip(held, (q, u + at, score[q, u])))
+        best = _best(*held, k)
+        held = tuple(x[best] for x in held)
+        at = to
+    return right["query"].combine_chunks().take(pa.array(held[0])), keys.take(pa.array(places[new][held[1]])), held[2]
+
+
 def bm25(units: DataFrame, unit_key: str, unit_text: str, queries: DataFrame, query_key: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query key, unit key, score, rank: the k best units of each query.
 
-    idf = ln(1 + (N - df + .5) / (df + .5)), weight = tf / (tf + k1 (1 - b + b length / mean length)). Texts are read and
-    split once: the postings of the queries' terms are stored, with one row without a term per unit that bears its length.
-    Ties go to smaller unit keys.
+    idf = ln(1 + (N - df + .5) / (df + .5)), weight = tf / (tf + k1 (1 - b + b length / mean length)). The asked words of each
+    unit are stored; blocks of units meet blocks of queries, and of each pair of blocks only every query's k best units leave
+    the task. Ties go to smaller unit keys.
     """
-    asked = store(query_terms(queries, query_key, query_text), "asked-terms")
-    words = units.select(F.col(unit_key), tokens(F.col(unit_text)).alias("words")).withColumn("length", F.size("words"))
-    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
-    terms = F.explode(F.concat(F.array(F.lit(None).cast("string")), "words"))
-    found = words.select(unit_key, "length", terms.alias("term")).join(wanted, "term", "left").filter("wanted or term is null")
-    found = store(found.groupBy(unit_key, "length", "term").agg(F.count("*").alias("tf")), "postings")
-    n, mean = found.filter("term is null").agg(F.sum("tf"), F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).first()
-    n, found = n or 0, found.filter("term is not null")
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(mean or 1.0))))
-    scored = dealt(found, unit_key, asked).join(frequency, "term").join(asked, "term").groupBy(query_key, unit_key).agg(F.round(F.sum(idf * weight), 6).alias("score"))
+    asked = store(query_terms(queries, query_key, query_text).distinct(), "asked-terms")
+    found = term_counts(units, unit_key, unit_text, asked)
+    n, mean = found.agg(F.sum("copies"), F.sum(F.col("length") * F.col("copies")) / F.sum(F.when(F.col("length").isNotNull(), F.col("copies")))).first()
+    n, mean = float(n or 0), float(mean or 1.0)
+    words = F.when(F.col("copies") > 1, F.array_distinct("terms")).otherwise(F.col("terms"))
+    frequency = store(found.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "frequency", 1)
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    many = max(1, -(-asked.select(query_key).distinct().count() // QUERIES))
+    postings = frequency.agg(F.sum("df")).first()[0] or 0
+    n_blocks = max(-(-parts(frequency, asked, FOLD * PAIRS) // many), -(-postings // (FOLD * PAIRS)), 1)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    number = (F.col("u") * many + F.col("q")).cast("int").alias("block")
+    left = found.filter(F.size("terms") > 0).withColumn("u", block("unit", n_blocks)).withColumn("q", every(many))
+    left = dealt(left.select(number, "unit", "length", "copies", "terms", "counts"), "block", n_blocks * many)
+    known = asked.join(frequency, "term").select(F.col(query_key).alias("query"), "term", idf.alias("idf"))
+    known = known.groupBy("query").agg(F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idfs"))
+    right = known.withColumn("q", block("query", many)).withColumn("u", every(n_blocks)).select(number, "query", "terms", "idfs")
+    schema = StructType([StructField(query_key, known.schema["query"].dataType), StructField(unit_key, found.schema["unit"].dataType), StructField("score", DoubleType())])
+
+    def best(units: pa.Table, queries: pa.Table) -> pa.Table:
+        if not units.num_rows or not queries.num_rows:
+            return to_arrow_schema(schema).empty_table()
+        weigh = lambda tf, length: tf / (tf + k1 * (1 - b + b * length / mean))
+        return pa.table(_scores(units, queries, k, weigh), to_arrow_schema(schema))
+
+    scored = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(best, schema)
     return top_per(scored, [query_key], [F.desc("score"), F.col(unit_key)], k)
 
 
@@ -180,5 +313,6 @@ def overlap_channel(units: DataFrame, unit: str, text: str, queries: DataFrame,
     terms = asked.select(query, F.size("q").alias("n_terms"), F.explode("q").alias("term"))
     have = units.select(F.col(unit), F.explode(F.array_distinct(tokens(F.col(text), least))).alias("term"))
     have = store(have.join(terms.select("term").distinct(), "term", "left_semi"), "postings")
-    shared = dealt(have, unit, terms).join(terms, "term").groupBy(query, unit, "n_terms").agg(F.count("*").alias("overlap"))
+    tasks = parts(have.groupBy("term").agg(F.count("*").alias("df")), terms, PAIRS)
+    shared = dealt(have, unit, tasks).join(terms, "term").groupBy(query, unit, "n_terms").agg(F.count("*").alias("overlap"))
     return shared.select(query, unit, "overlap", F.round(F.col("overlap") / F.greatest(F.lit(1), F.col("n_terms")), 6).alias("score"))
