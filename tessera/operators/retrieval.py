@@ -90,42 +90,47 @@ def term_counts(units: DataFrame, key: str, text: str, only: DataFrame | None =
     return store(kept.select("unit", "length", "copies", F.col("x.t").alias("terms"), F.col("x.c").alias("counts")), "term-counts")
 
 
-def _best(query: np.ndarray, order: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+def best_places(query: np.ndarray, order: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Where each query's k best scores stand, ties to smaller orders."""
     best = np.lexsort((order, -score, query))
     rank = np.arange(len(best)) - np.searchsorted(query[best], query[best], side="left")
     return best[rank < k]
 
 
-def _scores(left: pa.Table, right: pa.Table, k: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[pa.Array, pa.Array, np.ndarray]:
-    """Query, unit and score (6 digits) of each query's k best units in a block of units by a block of queries: the pairs of a
-    query's term and a posting are laid out in arrays, some units at a time, and added up by cell."""
-    flat = lambda name, table: table[name].combine_chunks().flatten()
-    lengths = lambda table: pc.list_value_length(table["terms"]).to_numpy()
-    keys = left["unit"].combine_chunks()
-    names = flat("terms", right).unique()
-    asked = pc.index_in(flat("terms", right), names).to_numpy()
-    by_term = np.argsort(asked, kind="stable")
-    query = np.repeat(np.arange(right.num_rows), lengths(right))[by_term]
-    idf, start = flat("idfs", right).to_numpy()[by_term], np.searchsorted(asked[by_term], np.arange(len(names) + 1))
-    term = pc.index_in(flat("terms", left), names).fill_null(-1).to_numpy()
-    row, tf = np.repeat(np.arange(left.num_rows), lengths(left)), flat("counts", left).to_numpy().astype(float)
+def unit_postings(units: pa.Table, names: pa.Array, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the units in order, then the postings of the named terms: a unit's and a term's place, weight."""
+    keys, lists = units["unit"].combine_chunks(), units["terms"].combine_chunks()
+    term = pc.index_in(lists.flatten(), names).fill_null(-1).to_numpy()
+    row, tf = np.repeat(np.arange(len(keys)), pc.list_value_length(lists).to_numpy()), units["counts"].combine_chunks().flatten().to_numpy().astype(float)
     row, tf, term = row[term >= 0], tf[term >= 0], term[term >= 0]
-    if (left["copies"].to_numpy() > 1).any():  # a word's numbers in units of one key and length are one number
+    if (units["copies"].to_numpy() > 1).any():  # a word's numbers in units of one key and length are one number
         both, back = np.unique(row * len(names) + term, return_inverse=True)
         row, term, tf = both // len(names), both % len(names), np.bincount(back, tf)
-    weight = weigh(tf, left["length"].to_numpy()[row])
+    weight = weigh(tf, units["length"].to_numpy()[row])
     places = pc.sort_indices(keys, null_placement="at_start").to_numpy()
     new = np.ones(len(places), bool)
     if len(places) > 1:
         here, before = keys.take(pa.array(places[1:])), keys.take(pa.array(places[:-1]))
         same = pc.or_(pc.fill_null(pc.equal(here, before), False), pc.and_(here.is_null(), before.is_null()))
         new[1:] = ~same.to_numpy(zero_copy_only=False)
-    order = np.empty(len(places), np.int64)  # the units' numbers by key, alike for rows of one key
+    order = np.empty(len(places), np.int64)  # alike for rows of one key
     order[places] = np.cumsum(new) - 1
-    by_unit = np.argsort(order[row], kind="stable")
-    unit, term, weight = order[row][by_unit], term[by_unit], weight[by_unit]
-    n, nq = int(new.sum()), right.num_rows
+    return keys.take(pa.array(places[new])), order[row], term, weight
+
+
+def _scores(left: pa.Table, right: pa.Table, k: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Query, unit and score (6 digits) of each query's k best units in a block of units by a block of queries: the pairs of a
+    query's term and a posting are laid out in arrays, some units at a time, and added up by cell."""
+    lists = right["terms"].combine_chunks()
+    names = lists.flatten().unique()
+    asked = pc.index_in(lists.flatten(), names).to_numpy()
+    by_term = np.argsort(asked, kind="stable")
+    query = np.repeat(np.arange(right.num_rows), pc.list_value_length(lists).to_numpy())[by_term]
+    idf, start = right["idfs"].combine_chunks().flatten().to_numpy()[by_term], np.searchsorted(asked[by_term], np.arange(len(names) + 1))
+    keys, unit, term, weight = unit_postings(left, names, weigh)
+    by_unit = np.argsort(unit, kind="stable")
+    unit, term, weight = unit[by_unit], term[by_unit], weight[by_unit]
+    n, nq = len(keys), right.num_rows
     first = np.searchsorted(unit, np.arange(n + 1))  # each unit's postings
     pairs = np.concatenate([[0], np.cumsum(np.diff(start)[term])])[first]
     held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
@@ -145,10 +150,10 @@ def _scores(left: pa.Table, right: pa.Table, k: int, weigh: Callable[[np.ndarray
         else:
             q, u = np.nonzero(cells > 0)
         held = tuple(np.concatenate(x) for x in zip(held, (q, u + at, score[q, u])))
-        best = _best(*held, k)
+        best = best_places(*held, k)
         held = tuple(x[best] for x in held)
         at = to
-    return right["query"].combine_chunks().take(pa.array(held[0])), keys.take(pa.array(places[new][held[1]])), held[2]
+    return right["query"].combine_chunks().take(pa.array(held[0])), keys.take(pa.array(held[1])), held[2]
 
 
 def bm25(units: DataFrame, unit_key: str, unit_text: str, queries: DataFrame, query_key: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:

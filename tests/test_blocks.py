@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from tessera.operators import lexical as X
 from tessera.operators import retrieval as R
 
 
@@ -46,3 +47,21 @@ def test_blocks_equal_plain_sums(spark, monkeypatch, bounds):
     assert [(q, u, pytest.approx(s, abs=2e-6), r) for q, u, s, r in sorted(map(tuple, got.collect()))] == plain(units, asked, 4)
     if not bounds:  # one block: no more than the best of each query leave it
         assert rows[0].count() == 8 * 4
+
+
+@pytest.mark.parametrize("block", [10**6, 40])
+def test_bounded_search_of_blocks_equals_plain_sums(spark, monkeypatch, block):
+    monkeypatch.setattr(X, "BLOCK", block)
+    monkeypatch.setattr(X, "QUERIES", 1024 if block > 40 else 3)
+    rng = random.Random(4)
+    words = [f"w{i:02}" for i in range(40)]
+    units = [(f"u{i:02}", " ".join(rng.choices(words, [1 / (i + 1) for i in range(40)], k=rng.randint(1, 20))) + f" rare{i % 9}" * (i % 3 == 0)) for i in range(80)]
+    units += [(f"v{i}", units[0][1]) for i in range(9)] + [units[1], ("u02", "w00 w01")]  # copies, a row twice, one key with two texts
+    asked = [(q, " ".join(rng.choices(words, k=6)) + f" rare{q}") for q in range(9)] + [(50, "none")]
+    found, top_per = [], R.top_per
+    monkeypatch.setattr(X, "top_per", lambda *x: found.append(x[0]) or top_per(*x))
+    index = X.lexical_index(spark.createDataFrame(units, "u string, text string"), "u", "text")
+    got = X.bounded_top_k(index, X.query_terms(spark.createDataFrame(asked, "q int, text string"), "q", "text"), "q", "u", 2)
+    assert [(q, u, pytest.approx(s, abs=2e-6), r) for q, u, s, r in sorted(map(tuple, got.collect()))] == plain(units, asked, 2)
+    assert (index.postings.filter("term is null").count() > 5) == (block == 40)  # so many blocks have units
+    assert max(df.count() for df in found) <= index.blocks * 9 * 2  # a query's best of a block, not a row for each pair
