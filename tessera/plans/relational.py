@@ -180,10 +180,10 @@ def q_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS INTEGER) AS pick FROM f WHERE k = 1)
 SELECT l_orderkey, l_suppkey, l_linenumber, pick FROM p WHERE pick <= CASE l_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 6 ELSE 12 END""")
 def q_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN8: the best line of each supplier, then as many per order as its route allows. Lines of equal price and number, whose
-    order the SQL leaves open, go by supplier and part."""
+    """WN8: the best line of each supplier, then as many per order as its route allows. Null numbers come last, as in the SQL. Lines of
+    equal price and number, whose order the SQL leaves open, go by supplier and part."""
     limit = F.when(F.col("l_orderkey") % 3 == 0, 1).when(F.col("l_orderkey") % 3 == 1, 6).otherwise(12)
-    return L.diverse(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_suppkey"], [F.desc("l_extendedprice"), "l_linenumber", "l_suppkey", "l_partkey"], limit).select("l_orderkey", "l_suppkey", "l_linenumber", "pick")
+    return L.diverse(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_suppkey"], [F.desc("l_extendedprice"), F.asc_nulls_last("l_linenumber"), "l_suppkey", "l_partkey"], limit).select("l_orderkey", "l_suppkey", "l_linenumber", "pick")
 
 
 @query("""WITH a AS (SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 25), b AS (SELECT l_suppkey AS k FROM lineitem WHERE l_discount > 0.05),
