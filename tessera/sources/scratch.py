@@ -34,17 +34,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def store(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+def store(df: DataFrame, label: str, files: int | None = None, buckets: str | None = None) -> DataFrame:
     """Writes df once to the shared folder and reads it back; `files` bounds the number of files of a small table. What was
-    shuffled for it isn't needed any more and is deleted."""
-    path, conf = scratch_path(df.sparkSession, label), df.sparkSession.conf
+    shuffled for it isn't needed any more and is deleted.
+
+    `buckets`: a column by which the files are Spark's buckets, as many as a shuffle has partitions, so that the table meets others
+    by that column without being shuffled itself. Spark reads buckets only from a table of its catalog: the name is dropped as
+    soon as the plan that is returned has it, the files stay.
+    """
+    spark = df.sparkSession
+    path, conf = scratch_path(spark, label), spark.conf
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
+    writer = (df.coalesce(files) if files else df).write.mode("overwrite").option("compression", "zstd")
     try:
-        (df.coalesce(files) if files else df).write.mode("overwrite").option("compression", "zstd").parquet(path)
+        if buckets is None:
+            writer.parquet(path)
+            out = spark.read.schema(df.schema).parquet(path)
+        else:
+            name = f"spark_catalog.default.scratch_{uuid.uuid4().hex}"
+            n = int(conf.get("spark.sql.shuffle.partitions"))
+            try:
+                writer.bucketBy(n, buckets).option("path", path).format("parquet").saveAsTable(name)
+                out = spark.table(name).select(*df.columns)
+            finally:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
     finally:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
